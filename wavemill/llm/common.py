@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,10 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/wavemill-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches by size: ten thousand long texts are too much for one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage is cut and lost executors cost nothing."""
+    """Writes df as Parquet in the shared folder and reads it back: the lineage is cut and lost executors cost nothing.
+
+    A collection of the driver's garbage follows, upon which Spark deletes the shuffle files of jobs that are done.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,7 +51,7 @@ def texts(batch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def by_bytes(batches: Iterator, most: int = 24 << 20) -> Iterator:
+def by_bytes(batches: Iterator, most: int = 8 << 20) -> Iterator:
     """The same rows in Arrow batches of about `most` bytes, so that long texts don't add up in one batch."""
     for batch in batches:
         size = max(1, batch.nbytes)
@@ -48,6 +60,19 @@ def by_bytes(batches: Iterator, most: int = 24 << 20) -> Iterator:
             yield batch.slice(at, step)
 
 
+def gathered(batches: Iterator, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes, for work that gains by seeing many rows at once."""
+    carry, size = [], 0
+    for batch in by_bytes(batches, most):
+        if carry and size + batch.nbytes > most:
+            yield pa.concat_batches(carry)
+            carry, size = [], 0
+        carry.append(batch)
+        size += batch.nbytes
+    if carry:
+        yield pa.concat_batches(carry)
+
+
 def whole_groups(batches: Iterator, keys: list[str], least: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables that hold whole runs of equal keys of a sorted partition, each with the rows where its runs begin and end."""
     carry: list = []
@@ -55,7 +80,7 @@ def whole_groups(batches: Iterator, keys: list[str], least: int = 20_000) -> Ite
     for batch in batches:
         carry.append(batch)
         rows, size = rows + batch.num_rows, size + batch.nbytes
-        if rows < least and size < 24 << 20:
+        if rows < least and size < 12 << 20:
             continue
         table = pa.Table.from_batches(carry)
         cuts = _cuts(table, keys)
@@ -79,6 +104,11 @@ def _cuts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), table.num_rows)
 
 
+def together(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Partitions by keys, each sorted by `order` (the keys by default), for whole_groups()."""
+    return df.repartition(*keys).sortWithinPartitions(*(order or keys))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of `edges` (u long, v long) as (id, component), component the smallest id reachable.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, components, staged, texts, whole_groups
+from .common import by_bytes, components, small_batches, staged, texts, together, whole_groups
 from .rolling import Ranges, U, mix
 
 WIDTH = 5
@@ -208,10 +208,6 @@ def dealt(df: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def together(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys)
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of `docs` (doc_id, text, ...).
 
@@ -219,6 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
     equal sets share a component; rows that repeat a doc_id are one node (each row returns); a null doc_id stands alone
     with a null component and is kept. Other columns are ignored. `miss` is the chance at each batch to lose a pair.
     """
+    small_batches(docs.sparkSession)
     least = least_matches(percent / 100, miss)
     plain = docs.select("doc_id", "text")
     sets = staged(plain.mapInArrow(sketched, "doc_id long, n_shingles long, set_key binary, sig binary"))
@@ -229,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
     counts = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     counts = counts.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
     shared = dealt(bands, "bucket", counts).join(same.select("id", "sig"), "id")
-    shared = together(shared.select("bucket", "i", "j", "block", "id", "sig"), "bucket", "i", "j")
+    shared = together(shared.select("bucket", "i", "j", "block", "id", "sig"), ["bucket", "i", "j"])
     forest = shared.mapInArrow(link_buckets(least), "u long, v long")
     canopies = staged(components(forest))
     wide = canopies.join(same.select("id", "n"), "id").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
@@ -237,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
     members = dealt(canopies, "component", wide).join(same.select("id", "sig"), "id")
     source = plain.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(canopies.select("id"), "id", "left_semi").dropDuplicates(["id"])
     members = members.join(source, "id").select("component", "i", "j", "block", "id", "sig", "text")
-    links = together(members, "component", "i", "j").mapInArrow(link_canopies(least, percent), "u long, v long")
+    links = together(members, ["component", "i", "j"]).mapInArrow(link_canopies(least, percent), "u long, v long")
     found = components(links)
     rep = same.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("root"))
     out = sets.drop("sig").join(rep, "set_key", "left")
