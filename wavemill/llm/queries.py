@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, suffix_dedup, token_store
+from . import ann, decontaminate, licences, near_dedup, pieces, quality, suffix_dedup, surrogates, token_store, toxicity
 from .common import shared_dir, table
 
 
@@ -26,6 +27,34 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_near_dedup, op7_suffix_dedup, op9_token_store)}
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.default_model(), keep=False)
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_types")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.grades(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.fit(docs))
+    return found.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_found"), "licences", "found")
+
+
+_ALL = (op1_ann, op2_decontamination, op3_toxicity, op4_pieces, op5_near_dedup, op6_surrogates, op7_suffix_dedup, op8_quality, op9_token_store, op10_licences)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
