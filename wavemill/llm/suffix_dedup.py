@@ -7,8 +7,8 @@ always at the same offset from equal triggers.
 
 The dictionary has each distinct phrase once, with its first place in corpus order; the parse is the places of phrases. A
 phrase seen before is removed whole. Suffixes have to be told apart only for dictionary phrases whose trigger occurs in other
-phrases too: their suffixes are ranked by a 128-bit digest of the 100-byte head (only equality of heads matters here, so the
-order among unlike heads is left open), and within a head by corpus order; all but the first are removed.
+phrases too: per trigger their suffixes are sorted by a 64-bit digest of the 100-byte head (only equality of heads matters
+here, so the order among unlike heads is left open) and then in corpus order; all but the first of a head are removed.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, staged
+from .common import by_bytes, gathered, small_batches, staged, together, whole_groups
 from .rolling import Ranges, U, mix, sliding_min
 
 LENGTH = 100
 GRAM = 32
+#: Phrases of one trigger that a task may hold.
+HOT = 50_000
 _PLACE = (1 << 28) - 1  # a text may have 256 MB
 
 
@@ -48,11 +50,6 @@ def phrases(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     return grams[trigger], mix(whole ^ ((trigger - first).astype(np.uint64) * U(0x9E3779B97F4A7C15)) + count.astype(np.uint64)), first, count
 
 
-def heads(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Two digests of the head of every suffix."""
-    return Ranges(data, 0).every(length), Ranges(data, 1).every(length)
-
-
 def _bytes(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
     for t in batch.column(batch.schema.get_field_index(name)).to_pylist():
         yield np.frombuffer((t or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -82,7 +79,7 @@ def parsed(batch: pa.RecordBatch, length: int, gram: int):
 
 def trigger_counts(length: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in gathered(batches):
             if (p := parsed(batch, length, gram)) is not None:
                 t, c = np.unique(p[0][p[5]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(t), pa.array(np.minimum(c, 2), pa.int32())], ["t", "c"])
@@ -94,7 +91,7 @@ def phrase_rows(length: int, gram: int) -> Callable:
     """t, d, doc_id, lo, n; repeats within a batch have a null t: they are removed whatever else there is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in gathered(batches):
             if (p := parsed(batch, length, gram)) is not None:
                 t, d, doc, lo, n, first = p
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64), pa.int64(), mask=~first), _signed(d), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["t", "d", "doc_id", "lo", "n"])
@@ -102,28 +99,64 @@ def phrase_rows(length: int, gram: int) -> Callable:
     return run
 
 
-def suffix_rows(length: int) -> Callable:
-    """h1, h2, doc_id, p for the suffixes that start in the listed phrases of each text."""
+_PACKED = pa.schema([("t", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("heads", pa.binary())])
+
+
+def packed_heads(length: int) -> Callable:
+    """t, doc_id, lo, heads: a digest of the head of each suffix that starts in the listed phrases of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 8 << 20):
-            out = []
+        for batch in by_bytes(batches, 2 << 20):
+            out: list[tuple] = []
             for doc, data, at in zip(batch.column(0).to_pylist(), _bytes(batch), batch.column(2).to_pylist(), strict=True):
-                p = np.unique(np.concatenate([np.arange(x["lo"], x["lo"] + x["n"]) for x in at]))
-                a, b = heads(data, length)
-                out.append((a[p], b[p], np.full(len(p), doc, dtype=np.int64), p))
-            if not out:
-                continue
-            a, b, doc, p = (np.concatenate(x) for x in zip(*out, strict=True))
-            order = np.lexsort((p, doc, b, a))
-            a, b, doc, p = a[order], b[order], doc[order], p[order]
-            first = np.ones(len(a), dtype=bool)
-            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            yield pa.RecordBatch.from_arrays([_signed(a), pa.array(b.view(np.int64), pa.int64(), mask=~first), pa.array(doc), pa.array(p.astype(np.int32))], ["h1", "h2", "doc_id", "p"])
+                h = Ranges(data, 1).every(length)
+                out.extend((x["t"], doc, x["lo"], h[x["lo"] : x["lo"] + x["n"]].tobytes()) for x in at)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
     return run
 
 
+def _unpacked(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, head, doc_id and start of each suffix."""
+    blobs = table.column("heads").to_pylist()
+    n = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, np.frombuffer(b"".join(blobs), dtype=np.uint64), table.column("doc_id").to_numpy()[row], table.column("lo").to_numpy()[row] + inside
+
+
+def _runs(doc: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    """doc_id, lo, n of runs of starts sorted by document and place."""
+    cut = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(p, prepend=-9) != 1)) if len(p) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.append(cut, len(p)))
+    return pa.RecordBatch.from_arrays([pa.array(doc[cut], pa.int64()), pa.array(p[cut].astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "lo", "n"])
+
+
+def later_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of suffixes whose head an earlier one of the same trigger has; rows sorted by (t, doc_id, lo)."""
+    for table, cuts in whole_groups(batches, ["t"]):
+        row, h, doc, p = _unpacked(table)
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint64)[row]
+        key = mix(h + group * U(0x9E3779B97F4A7C15))
+        order = np.argsort(key, kind="stable")  # corpus order within a head
+        later = np.zeros(len(key), dtype=bool)
+        later[order[1:]] = key[order[1:]] == key[order[:-1]]
+        yield _runs(doc[later], p[later])
+
+
+def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """t, h, doc_id, p for each suffix of the packed rows; repeats within a batch have a null h."""
+    for batch in gathered(batches, 4 << 20):
+        row, h, doc, p = _unpacked(batch)
+        t = batch.column(0).to_numpy()[row]
+        order = np.lexsort((p, doc, h, t))
+        t, h, doc, p = t[order], h[order], doc[order], p[order]
+        first = np.ones(len(t), dtype=bool)
+        first[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(h.view(np.int64), pa.int64(), mask=~first), pa.array(doc), pa.array(p.astype(np.int32))], ["t", "h", "doc_id", "p"])
+
+
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -160,18 +193,27 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     at = F.struct("doc_id", "lo")
     book = staged(places.groupBy("t", "d").agg(F.min(F.struct("doc_id", "lo", "n")).alias("first"), F.count("*").alias("times")))
     known = book.where("times > 1").select("t", "d", F.struct("first.doc_id", "first.lo").alias("first"))
-    again = places.join(known, ["t", "d"]).where(at != F.col("first")).select("doc_id", "lo", "n")
+    again = staged(places.join(known, ["t", "d"]).where(at != F.col("first")).select("doc_id", "lo", "n"))
     unlike = book.groupBy("t").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b").select("t")
-    open_phrases = book.join(unlike, "t", "left_semi").select("first.*")
-    per_doc = open_phrases.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("at"))
-    heads_ = docs.join(per_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(suffix_rows(length), "h1 long, h2 long, doc_id long, p int")
-    heads_ = staged(heads_)
-    ranked = heads_.where("h2 is not null")
+    unlike = staged(book.join(unlike, "t", "left_semi").select("t", "first.*"))
+    # A trigger with few phrases is settled in one task. One with very many goes out suffix by suffix.
+    hot = staged(unlike.groupBy("t").agg(F.count("*").alias("phrases")).where(F.col("phrases") > HOT).select("t"))
+    few = together(_packed(docs, unlike.join(hot, "t", "left_anti"), length), ["t"], ["t", "doc_id", "lo"])
+    out = local.union(again).union(staged(few.mapInArrow(later_suffixes, "doc_id long, lo int, n int")))
+    if not hot.limit(1).count():
+        return out
+    rows = staged(_packed(docs, unlike.join(hot, "t", "left_semi"), length).mapInArrow(suffix_rows, "t long, h long, doc_id long, p int"))
     place = F.struct("doc_id", "p")
-    lead = ranked.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = ranked.join(lead, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "p")
-    later = later.union(heads_.where("h2 is null").select("doc_id", "p"))
-    return local.union(again).union(later.select("doc_id", F.col("p").alias("lo"), F.lit(1).alias("n")))
+    ranked = rows.where("h is not null")
+    lead = ranked.groupBy("t", "h").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    many = ranked.join(lead, ["t", "h"]).where(place != F.col("first")).select("doc_id", "p").union(rows.where("h is null").select("doc_id", "p"))
+    return out.union(many.select("doc_id", F.col("p").alias("lo"), F.lit(1).alias("n")))
+
+
+def _packed(docs: DataFrame, open_phrases: DataFrame, length: int) -> DataFrame:
+    """The heads of the suffixes of phrases, from the texts at their first places."""
+    per_doc = open_phrases.groupBy("doc_id").agg(F.collect_list(F.struct("t", "lo", "n")).alias("at"))
+    return docs.join(per_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(packed_heads(length), "t long, doc_id long, lo int, heads binary")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -192,6 +234,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     document). Null text is empty. Rows that repeat a doc_id, or have none, count as separate documents, nulls first and
     then by text. Texts shorter than `length` stay; other columns are ignored. `gram` is below `length`.
     """
+    small_batches(docs.sparkSession)
     plain, back = numbered(docs)
     spans = repeated_starts(plain, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("at"))
     out = plain.join(spans, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(cutter(length, keep), _OUT)
