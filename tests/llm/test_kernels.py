@@ -1,0 +1,159 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from wavemill.llm import decontaminate, licences, near_dedup, pieces, pretokens, quality, suffix_dedup, token_store, toxicity
+
+TOKENIZERS = pytest.importorskip("public_tokenizers")
+
+
+def texts(seed=0, n=200):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(" \n\t'abs1é,. ") for _ in range(rng.randrange(40))) for _ in range(n)] + ["", " ", "a", "½ x²y ٣٤ __ 'll", "<|endoftext|> x", "éa 中文 字", "🙂 ok", "a\xa0b \xa0c", "x\n y"]
+
+
+def test_pretoken_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = TOKENIZERS.path("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(path), pretokens.encoder(path)
+    ts = texts()
+    assert [x.tolist() for x in encode(ts)] == [library.encode(t, add_special_tokens=False).ids for t in ts]
+    assert [x.tolist() for x in encode(ts[:50])] == [library.encode(t, add_special_tokens=False).ids for t in ts[:50]]
+
+
+def test_word_ids_forget(monkeypatch):
+    from wavemill.llm import word_ids
+
+    monkeypatch.setattr(word_ids, "MOST", 5)
+    w = word_ids.WordIds(lambda ws, first: [[zlib.crc32(x.encode()) % 97, f] for x, f in zip(ws, first, strict=True)], True)
+    for k in range(4):
+        ts = [f"a b{k} c d e f g{k}", "a", "", "q b a"]
+        want = [[v for i, x in enumerate(t.split(" ")) for v in (zlib.crc32(x.encode()) % 97, i == 0)] if t else [] for t in ts]
+        assert [x.tolist() for x in w.encode(ts)] == want
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 1000])
+def test_huffman_round_trip(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.3, n), 70_000).astype(np.uint32)
+    counts = np.bincount(ids)
+    lengths = token_store.code_lengths(counts)
+    assert (2.0 ** -lengths[lengths > 0].astype(float)).sum() <= 1 + 1e-12 and ((lengths > 0) == (counts > 0)).all()
+    codes = token_store.canonical(lengths)
+    bits, marks = token_store.pack(ids, codes, lengths)
+    assert (token_store.unpack(bits, marks, n, token_store.lookup(lengths, codes)) == ids).all()
+
+
+def test_lengths_are_optimal_and_limited():
+    import heapq
+
+    counts = np.array([2**k for k in range(24)])
+    lengths = token_store.code_lengths(counts)
+    assert lengths.max() == token_store.LONGEST
+    counts = np.array([5, 9, 12, 13, 16, 45, 0])
+    heap, cost = [int(c) for c in counts if c], 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a = heapq.heappop(heap) + heapq.heappop(heap)
+        cost += a
+        heapq.heappush(heap, a)
+    assert int((counts * token_store.code_lengths(counts)).sum()) == cost
+    assert token_store.code_lengths(np.zeros(4, dtype=int)).sum() == 0 and token_store.code_lengths(np.array([0, 7])).tolist() == [0, 1]
+
+
+def whole_viterbi(w, text):
+    m = pieces.MARK + text.replace(" ", pieces.MARK)
+    best = [0.0] + [float("-inf")] * len(m)
+    for i in range(len(m)):
+        for j in range(i + 1, min(len(m), i + 48) + 1):
+            s = w.score.get(m[i:j], w.out if j == i + 1 else None)
+            if s is not None:
+                best[j] = max(best[j], best[i] + s)
+    return best[-1]
+
+
+def test_pieces_score_and_round_trip():
+    w = pieces.Pieces(pieces.default_model())
+    by_id = {i: w.score[p] for p, i in w.id.items()}
+    plain = [t for t in ["the cat sat on the mat", "Thend hend then", "a  b", " x ", "x y z" * 30] + texts(3, 40) if t and all(c in w.score for c in pieces.MARK + t.replace(" ", pieces.MARK))]
+    assert len(plain) > 5
+    for t in plain:
+        assert sum(by_id[i] for i in w.encode([t])[0].tolist()) == pytest.approx(whole_viterbi(w, t))
+    ts = texts(4) + ["🙂 中文 tab\tq", "x" * 3000]
+    assert [w.decode(x) for x in w.encode(ts)] == ts
+    assert w.decode(w.encode(["x▁y"])[0]) == "x y"
+
+
+def test_shingles_and_signatures():
+    assert len(near_dedup.shingles("")) == 0 and len(near_dedup.shingles(" \t\n ")) == 0 and len(near_dedup.shingles("a b")) == 1
+    assert len(near_dedup.shingles("a b c d e f")) == 2 and (near_dedup.shingles("A B c") == near_dedup.shingles("a\tb\n\nc")).all()
+    assert len(near_dedup.shingles("\xa0 b")) == 1 and not (near_dedup.shingles("a\xa0b") == near_dedup.shingles("a b")).any()
+    rng = random.Random(1)
+    base = [str(rng.random()) for _ in range(400)]
+    a, b = near_dedup.shingles(" ".join(base)), near_dedup.shingles(" ".join(base[:380] + base[:0]))
+    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    x, y = (np.frombuffer(near_dedup.signature(s), dtype=np.uint8) for s in (a, b))
+    assert abs((x == y).mean() - true) < 0.06
+    least = near_dedup.least_matches(0.85, 1e-6)
+    assert all(m < n * 0.85 for m, n in zip(least, range(near_dedup.BATCH, near_dedup.HASHES + 1, near_dedup.BATCH), strict=True)) and least[-1] > 0.7 * near_dedup.HASHES
+
+
+def test_phrases_cover_all_starts():
+    rng = np.random.default_rng(0)
+    for n in (0, 99, 100, 101, 500):
+        data = rng.integers(0, 4, n).astype(np.uint8)
+        _, _, first, count = suffix_dedup.phrases(data)
+        starts = [p for a, k in zip(first.tolist(), count.tolist(), strict=True) for p in range(a, a + k)]
+        assert starts == list(range(max(0, n - 99)))
+
+
+def test_decontamination_words():
+    assert decontaminate.words("Ab-c1 É, x y") == [b"ab", b"c1", "É".encode(), "x y".encode()]
+    m = decontaminate.automaton([(1, "one two three"), (2, " ".join(map(str, range(12)))), (3, "...")])
+    n, hits, items = decontaminate.scan("zero ONE, two three! " + " ".join(map(str, range(1, 12))), m)
+    assert (n, hits, items) == (15, [(1, 15)], {1, 2})
+    text = "é ONE, two  three."
+    (a, b), = decontaminate.original_spans(text, decontaminate.scan(text, m)[1])
+    assert text.encode()[a:b] == b"ONE, two  three"
+    assert decontaminate.scan("ones two three", m)[1] == [] and decontaminate.scan(None, m) == (0, [], set())
+
+
+def test_folding_and_lexicon():
+    assert toxicity.fold("M0r0n!").split() == toxicity.fold("moron").split() and toxicity.fold("іdі0t") == toxicity.fold("IDIOT")
+    assert toxicity.fold("p@thétic") == toxicity.fold("pathetic") and toxicity.fold("") == " "
+    lex = toxicity.Lexicon({toxicity.fold("moron"): 2.0, " idi": 1.0}, ("no moron",))
+    assert lex.measure("a MORON, idiots") == (3.0, 3, 2) and lex.measure("no moron here")[0] == 0.0 and lex.measure("") == (0.0, 0, 0)
+    assert lex.measure("oxymoron")[0] == 0.0
+
+
+def test_ordinal_regression_orders_grades():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 300)
+    at = [np.array([0, 1 + g], dtype=np.int32) for g in y]
+    m = quality.fit_ordinal(at, [np.ones(2, dtype=np.float32)] * 300, y, width=4, steps=300)
+    assert (np.diff(m["cuts"]) > 0).all()
+    f = m["w"][1:] + m["w"][0]
+    assert f[0] < m["cuts"][0] < f[1] < m["cuts"][1] < f[2]
+
+
+def test_quality_slots():
+    for t in ("", "x", "ab", "one two two\n\n"):
+        assert np.isfinite(quality.score_text(t, np.ones(quality.WIDTH)))
+
+
+def test_licences():
+    m = licences.train([licences.features(licences.word_hashes(t)[0]) for t in ("plain words of a text", "another line of words here", "the cat sat on the mat")] * 5)
+    s = licences.Scanner(m)
+    assert m["accuracy"] > 0.9
+    for f, notices in licences.NOTICES.items():
+        for n in notices:
+            if len(licences.word_hashes(n)[0]) >= 3:
+                assert [x["family"] for x in s.text("intro line\n" + n)[1]] == [f], n
+    for n in licences.NEAR_MISSES:
+        assert s.text(n)[1] == []
+    long = "w " * 300 + licences.NOTICES["MIT"][2] + " w" * 300
+    found = s.text("é\n" + long)[1]
+    assert {x["family"] for x in found} <= {"MIT"} and s.text("") == (0, [])
