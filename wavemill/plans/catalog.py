@@ -7,12 +7,17 @@ the hierarchy of sessions and subjects. Doubles are rounded and whole numbers ar
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import classify, filters, spd
 from ..functions import scalar as S
-from ..operators import fusion, scoring, sequence, stats
+from ..operators import fusion, scoring, sequence, signal, stats
+from ..sources import synthetic
+from . import config, session
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -233,20 +238,20 @@ def ema_series(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.posexplode("ema").alias("k", "ema")).select("user_id", (long("k") + 1).alias("k"), F.round("ema", 4).alias("ema"))
 
 
-@register("with a as (select user_id, event_id as at, 0 as kind from events where event_type = 'click'), b as (select user_id, event_id - event_id % 10 as at, 1 as kind from events where event_type = 'purchase'), u as (select * from a union all select * from b) select user_id, at::bigint at, kind::bigint kind, row_number() over (partition by user_id order by at, kind)::bigint place from u")
+@register("with a as (select user_id, event_id as tick, 0 as kind from events where event_type = 'click'), b as (select user_id, event_id - event_id % 10 as tick, 1 as kind from events where event_type = 'purchase'), u as (select * from a union all select * from b) select user_id, tick, kind::bigint kind, row_number() over (partition by user_id order by tick, kind)::bigint place from u")
 def union_events(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("at"))
     b = e.where("event_type = 'purchase'").select("user_id", (F.col("event_id") - F.col("event_id") % 10).alias("at"))
-    return sequence.event_order(a, b, U).withColumn("kind", long("kind"))
+    return sequence.event_order(a, b, U).withColumn("kind", long("kind")).withColumnRenamed("at", "tick")
 
 
-@register(f"with {STREAM}, ev as (select user_id, sample as at from s where event_type = 'purchase'), j as (select s.user_id, ev.at, s.sample - ev.at as off, s.value, avg(case when s.sample < ev.at then s.value end) over (partition by s.user_id, ev.at) base from s join ev on s.user_id = ev.user_id and s.sample between ev.at - 5 and ev.at + 4) select user_id, at::bigint at, off::bigint as offset_, round(value - base, 6) v from j")
+@register(f"with {STREAM}, ev as (select user_id, sample as tick from s where event_type = 'purchase'), j as (select s.user_id, ev.tick, s.sample - ev.tick as off, s.value, avg(case when s.sample < ev.tick then s.value end) over (partition by s.user_id, ev.tick) base from s join ev on s.user_id = ev.user_id and s.sample between ev.tick - 5 and ev.tick + 4) select user_id, tick::bigint tick, off::bigint as offset_, round(value - base, 6) v from j")
 def baseline_epochs(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     ev = s.where("event_type = 'purchase'").select("user_id", F.col("sample").alias("at"))
     e = sequence.baseline_epochs(s, ev, U, "value", 5, 5)
-    return e.select("user_id", "at", long("offset").alias("offset_"), r6("value").alias("v"))
+    return e.select("user_id", F.col("at").alias("tick"), long("offset").alias("offset_"), r6("value").alias("v"))
 
 
 @register("with p as (select o_orderkey k, o_custkey, o_orderstatus from orders), l as (select l_orderkey k, count(*) n, round(sum(l_quantity), 2) q from lineitem group by 1) select p.k, p.o_custkey, p.o_orderstatus, l.n::bigint n, l.q from p join l using (k)")
@@ -486,3 +491,87 @@ def signed_rank(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("c"))
     w = stats.wilcoxon(li.select((F.col("s") - F.col("c") - 0.01 * F.col("l_orderkey")).alias("a"), F.lit(0.0).alias("b")), "a", "b")
     return w.select(F.round("w", 2).alias("w"), "n")
+
+
+# Kernel queries: no SQL gives an infinite impulse response or a fitted discriminant, so these have tests instead.
+
+
+def _vectors(spark: SparkSession, d: str, p: int = 6) -> DataFrame:
+    """Labelled vectors cut into sessions; a vector's lagged products stand for its covariance matrix."""
+    e = read(spark, d, "embeddings").withColumn("session_id", F.concat(F.lit("s"), F.col("vec_id") % 5))
+    return e.select("session_id", "vec_id", (F.col("label") % 3 + 1).alias("label"), F.transform(F.slice("embedding", 1, 48), lambda x: x.cast("double")).alias("x"))
+
+
+@register()
+def iir_filter(spark: SparkSession, d: str) -> DataFrame:
+    sos = filters.butterworth(2, 0.1, 1.0, "lowpass")
+    f = signal.filtered(samples(spark, d).select("user_id", "sample", "value"), U, ["sample"], "value", sos)
+    return f.select("user_id", "sample", r6("filtered").alias("filtered"))
+
+
+@register()
+def spd_tangent(spark: SparkSession, d: str) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        m = np.stack(x.to_numpy()).reshape(len(x), -1, 6)
+        return pd.Series(list(spd.tangent(spd.estimate(np.einsum("nti,ntj->nij", m, m) / m.shape[1], m.shape[1]))))
+
+    return _vectors(spark, d).select("vec_id", "label", run("x").alias("tangent"))
+
+
+@register()
+def slda_predict(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    models = fusion.grouped_fit(v, ["session_id"], "x", "label", classify.fit_slda)
+    out = fusion.applied(v, models, ["session_id"], "x")
+    return out.select("session_id", "vec_id", long("label").alias("truth"), long(S.argmax_first("lp")).alias("y"))
+
+
+@register()
+def lr_predict(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d).withColumn("x", F.slice("x", 1, 12))
+    models = fusion.grouped_fit(v, ["session_id"], "x", "label", classify.fit_logistic)
+    return fusion.applied(v, models, ["session_id"], "x").select("session_id", "vec_id", long("label").alias("truth"), long(S.argmax_first("lp")).alias("y"))
+
+
+@register()
+def csp_features(spark: SparkSession, d: str) -> DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 6)
+        covs = spd.ridge(np.einsum("nti,ntj->nij", m, m) / m.shape[1], 1e-3)
+        f = spd.csp_features(spd.csp(covs, g["label"].to_numpy(), (1, 2, 3), 1), covs)
+        return pd.DataFrame({"session_id": key[0], "vec_id": g["vec_id"], "feature": list(f)})
+
+    return _vectors(spark, d).groupBy("session_id").applyInPandas(run, "session_id string, vec_id long, feature array<double>")
+
+
+@register()
+def mdm_riemann(spark: SparkSession, d: str) -> DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 6)
+        covs = spd.estimate(np.einsum("nti,ntj->nij", m, m) / m.shape[1], m.shape[1])
+        model = classify.fit_mdm(covs, g["label"].to_numpy())
+        y = classify.mdm_log_prob(model, covs).argmax(axis=1) + 1 if model else np.ones(len(g), dtype=int)
+        return pd.DataFrame({"session_id": key[0], "vec_id": g["vec_id"], "y": y.astype("int64")})
+
+    return _vectors(spark, d).groupBy("session_id").applyInPandas(run, "session_id string, vec_id long, y long")
+
+
+@register()
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    m = scoring.metrics(truth3(spark, d, "l_suppkey"), ["l_suppkey"]).withColumn("subject", F.col("l_suppkey") % 10)
+    b = stats.bootstrap(m, "subject", "min_f1", 400)
+    return b.agg(*[r6(q).alias(n) for q, n in zip(stats.quantiles("value", [0.025, 0.5, 0.975]), ("low", "middle", "high"), strict=True)])
+
+
+@register()
+def session_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The block-by-block session plan on seeded recordings, which the driver's tables don't have."""
+    s, eeg, nirs = synthetic.recordings(spark)
+    return session.scored(session.run(s, eeg, nirs, config.build()), s)
+
+
+@register()
+def metric_correlations(spark: SparkSession, d: str) -> DataFrame:
+    m = scoring.metrics(truth3(spark, d, "l_suppkey"), ["l_suppkey"])
+    return stats.spearman(m, "min_f1", "macro_recall").select(r6("rho").alias("rho"), "n")
