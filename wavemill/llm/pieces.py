@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_bytes, small_batches, texts
+from .word_ids import WordIds
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words kept between batches.
-MOST = 300_000
 
 
 class Pieces:
@@ -58,11 +57,11 @@ class Pieces:
         crossing = any(MARK in p.lstrip(MARK) for p in self.score)
         used = {c for p in self.score if len(p) > 1 for c in p}
         alone = re.escape("".join(c for c in map(chr, range(128)) if c not in used))
+        self.simple = prefix and not crossing
         self.words = re.compile(".+" if crossing else f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+", re.DOTALL)
-        self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.kept = WordIds(lambda words, _: self.encode_words(words), by_place=False)
 
-    def _ids(self, word: str, back: list[int]) -> bytes:
+    def _ids(self, word: str, back: list[int]) -> list[int]:
         out, at = [], len(word)
         while at:
             p = word[back[at] : at]
@@ -74,12 +73,12 @@ class Pieces:
             else:
                 out.append(self.unknown)
             at = back[at]
-        return np.array(out[::-1], dtype="<u4").tobytes()
+        return out[::-1]
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes distinct words in one walk of their trie."""
+    def walk(self, words: set[str]) -> dict[str, list[int]]:
+        """Encodes distinct marked words in one walk of their trie."""
         score, sizes, out = self.score.get, self.sizes.get, self.out
-        best, back, before = [0.0], [0], ""
+        best, back, before, found = [0.0], [0], "", {}
         for word in sorted(words):
             n, most = 0, min(len(before), len(word))
             while n < most and before[n] == word[n]:
@@ -97,33 +96,29 @@ class Pieces:
                     top, start = s, at
                 best.append(top), back.append(start)
             before = word
-            self.known[word] = self._ids(word, back)
+            found[word] = self._ids(word, back)
+        return found
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32; an empty text has none.
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of a text that spaces parted."""
+        cut = [self.words.findall(MARK + w) for w in words]
+        ids = self.walk({p for ps in cut for p in ps})
+        return [ids[ps[0]] if len(ps) == 1 else [i for p in ps for i in ids[p]] for ps in cut]
 
-        A text with single spaces only is cut at them, which is faster than the pattern and gives the same words.
+    def encode(self, batch: list[str]) -> list[np.ndarray]:
+        """Ids of each text as uint32; an empty text has none.
+
+        A text with single spaces only is cut at them, and the ids of its words are kept between batches.
         """
-        simple = [self.prefix and MARK not in t and "  " not in t and t[:1] != " " and t[-1:] != " " for t in batch]
+        simple = [self.simple and MARK not in t and "  " not in t and t[:1] != " " and t[-1:] != " " for t in batch]
+        easy = iter(self.kept.encode([t for t, s in zip(batch, simple, strict=True) if s]))
         head = MARK if self.prefix else ""
-        cut = [[] if not t else t.split(" ") if s else self.words.findall(head + t.replace(" ", MARK)) for t, s in zip(batch, simple, strict=True)]
-        chunks = {w for ws, s in zip(cut, simple, strict=True) if s for w in ws}
-        if len(self.known) + len(self.chunks) > MOST:  # what this batch needs stays
-            self.known.clear()
-            self.chunks = {c: self.chunks[c] for c in chunks if c in self.chunks}
-        chunks.difference_update(self.chunks)
-        parts = {c: self.words.findall(MARK + c) for c in chunks}
-        words = {w for ws, s in zip(cut, simple, strict=True) if not s for w in ws}
-        words.update(w for ws in parts.values() for w in ws)
-        self.learn(words.difference(self.known))
-        get = self.known.__getitem__
-        for c, ws in parts.items():
-            self.chunks[c] = b"".join(map(get, ws))
-        whole = self.chunks.__getitem__
-        return [b"".join(map(whole if s else get, ws)) for ws, s in zip(cut, simple, strict=True)]
-
-    def decode(self, ids: bytes) -> str:
-        data = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        cut = [[] if s or not t else self.words.findall(head + t.replace(" ", MARK)) for t, s in zip(batch, simple, strict=True)]
+        ids = self.walk({w for ws in cut for w in ws})
+        return [next(easy) if s else np.array([i for w in ws for i in ids[w]], dtype=np.uint32) for ws, s in zip(cut, simple, strict=True)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        data = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         return data.decode("utf-8", "surrogatepass")[1 if self.prefix else 0 :]
 
 
@@ -134,11 +129,11 @@ def encoded(path: str, keep: bool):
             ts = texts(batch)
             ids = walker.encode(ts)
             back = [walker.decode(x) for x in ids]
-            cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+            cols = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
             cols += [pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back]), pa.array([b == t for b, t in zip(back, ts, strict=True)])]
             names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"]
             if keep:
-                cols.append(pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
