@@ -7,7 +7,6 @@ word ranges, whose byte offsets in the original text come from the same pass.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts
+from .common import by_bytes, small_batches, texts
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton. A larger benchmark is scanned in as many blocks as that takes.
@@ -117,6 +116,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: in
     Each row of `docs` gives a row for each benchmark block, one if the benchmark is below `most` bytes. Null text has no
     words; an empty benchmark hits nothing; items with null text or id are skipped; repeated items count once.
     """
+    small_batches(docs.sparkSession)
     parts = [docs.select("doc_id", "text").mapInArrow(scanner([tuple(r) for r in b.collect()], width), _SCHEMA) for b in blocks(benchmark, most)]
     out = parts[0]
     for p in parts[1:]:
@@ -141,7 +141,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mo
     return s.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of `docs` without any hit; rows with a null doc_id are judged by the same scan and share one verdict."""
-    bad = contamination(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+def _without_hits(items: list[tuple], width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(items, width)
+        for batch in by_bytes(batches):
+            yield batch.filter(pa.array([not scan(t, machine)[1] for t in texts(batch)], pa.bool_()))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of `docs` without any hit, columns as given; one scan for each benchmark block, nothing shuffled."""
+    small_batches(docs.sparkSession)
+    for block in blocks(benchmark, most):
+        docs = docs.mapInArrow(_without_hits([tuple(r) for r in block.collect()], width), docs.schema)
+    return docs
