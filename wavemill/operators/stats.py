@@ -11,22 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def mean_rank(value: str, keys: list[str] | None = None) -> Column:
-    """Rank from 1, the mean rank of equals."""
-    w = Window.partitionBy(*(keys or []))
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(keys or []), value)) - 1) / 2.0
-
-
 def ordinal_rank(value: str, order: list[str], keys: list[str] | None = None) -> Column:
     return F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(value, *order))
 
 
-def tie_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Adds _rank, the mean rank, from counts of distinct values: only those are sorted together, not the rows."""
+def tie_ranks(df: DataFrame, value: str, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Adds _rank, the mean rank of equals, from counts of distinct values.
+
+    Within keys the values of a key are sorted together. Without keys they are cut into `buckets` ranges at approximate
+    quantiles; ranges are ranked in parallel and shifted by the counts of those below, so no task sees all values.
+    """
     keys = keys or []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_rank", F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0)
+    if keys:
+        part, base = keys, F.lit(0)
+    else:
+        shares = F.array(*[F.lit((k + 1) / buckets) for k in range(buckets - 1)])
+        cuts = counts.agg(F.percentile_approx(value, shares, F.lit(10_000)).alias("_cuts"))
+        counts = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(value)))).drop("_cuts")
+        sums = counts.groupBy("_b").agg(F.sum("_c").alias("_s"))  # a row per range
+        below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("_b", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_base"))
+        counts, part, base = counts.join(F.broadcast(sums), "_b"), ["_b"], F.col("_base")
+    w = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_rank", base + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0)
+    counts = counts.select(*keys, value, "_rank")
     on = [counts[c].eqNullSafe(df[c]) for c in [*keys, value]]
     return df.join(counts, on).select(df["*"], counts["_rank"])
 
