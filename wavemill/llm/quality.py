@@ -107,7 +107,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", most: int =
     picked = F.lit(False)
     for g in grades:
         picked = picked | ((F.col("y") == g) & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(1_000_000 * min(1, each / counts[g]))))
-    rows = docs.select("doc_id", "text").join(y.where(picked), "doc_id").select("text", F.col("y").cast("long").alias("y"))
+    # At most twice the bound, so that it can go to all tasks; texts of other rows are never shuffled.
+    rows = docs.select("doc_id", "text").join(F.broadcast(y.where(picked).limit(2 * most)), "doc_id").select("text", F.col("y").cast("long").alias("y"))
     x = rows.mapInArrow(sparse_rows, "y long, at binary, v binary").collect()
     rank = {g: i for i, g in enumerate(grades)}
     ys = np.array([rank[r["y"]] for r in x], dtype=np.int64)
