@@ -108,10 +108,10 @@ def latency_penalty(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("event").agg(r6(F.avg("seconds")).alias("mean_s"), r6(F.max("seconds")).alias("max_s"), F.count("*").alias("n"), r6(scoring.penalty(F.col("seconds"), *scoring.LIMITS["predict"])).alias("penalty"))
 
 
-@register("with s as (select o_custkey, o_orderstatus st, avg(o_totalprice) m from orders group by all), p as (select o_custkey, max(m) filter (where st = 'F') f, max(m) filter (where st = 'O') o, max(m) filter (where st = 'P') p from s group by 1) select o_custkey, round(f, 4) f, round(o, 4) o, round(p, 4) p from p where f is not null and o is not null and p is not null")
+@register("with s as (select o_custkey, o_orderstatus st, avg(o_totalprice) m from orders group by all), p as (select o_custkey, max(m) filter (where st = 'F') f, max(m) filter (where st = 'O') o, max(m) filter (where st = 'P') p from s group by 1) select o_custkey, round(f, 6) f, round(o, 6) o, round(p, 6) p from p where f is not null and o is not null and p is not null")
 def pivot_dropna(spark: SparkSession, d: str) -> DataFrame:
     p = scoring.complete_pivot(read(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_totalprice", ["F", "O", "P"])
-    return p.select("o_custkey", *[F.round(c, 4).alias(c.lower()) for c in ("F", "O", "P")])
+    return p.select("o_custkey", *[r6(c).alias(c.lower()) for c in ("F", "O", "P")])
 
 
 @register("with a as (select n_regionkey, s_nationkey, avg(s_acctbal) m from supplier join nation on s_nationkey = n_nationkey group by all) select n_regionkey::bigint region, round(avg(m), 6) m from a group by 1")
@@ -267,14 +267,14 @@ def left_reindex(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-@register("select f.n_nationkey::bigint fold, count(*)::bigint n, round(avg(s_acctbal), 6) m from nation f join supplier on s_nationkey <> f.n_nationkey group by 1")
+@register("select f.n_nationkey::bigint fold, count(*)::bigint n, round(sum(round(s_acctbal * 100)::bigint)::double / count(*) / 100, 8) m from nation f join supplier on s_nationkey <> f.n_nationkey group by 1")
 def loso_anti(spark: SparkSession, d: str) -> DataFrame:
     # Leave one out from per-subject sums: total less own, so no fold copies the rows.
-    s = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("s"), F.count("*").alias("n"))
+    s = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.sum(long(F.round(F.col("s_acctbal") * 100))).alias("s"), F.count("*").alias("n"))
     every = s.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     f = read(spark, d, "nation").select("n_nationkey").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").crossJoin(F.broadcast(every))
     n = F.col("tn") - F.coalesce("n", F.lit(0))
-    return f.select(long("n_nationkey").alias("fold"), n.alias("n"), r6((F.col("ts") - F.coalesce("s", F.lit(0.0))) / n).alias("m"))
+    return f.select(long("n_nationkey").alias("fold"), n.alias("n"), F.round((F.col("ts") - F.coalesce("s", F.lit(0))) / n / 100, 8).alias("m"))
 
 
 @register("select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'P'")
