@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches, texts
+from .common import by_bytes, small_batches, staged, texts
 
 #: Labelled rows that the fit looks at, at most (in expectation).
 FIT_ROWS = 20_000
@@ -55,7 +55,8 @@ def fold(text: str) -> str:
     """Words with one space around each."""
     text = unicodedata.normalize("NFC", text) if not text.isascii() else text
     text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return " " + " ".join(text.translate(_fold).split()) + " "
+    words = " ".join(text.translate(_fold).split())
+    return f" {words} " if words else " "
 
 
 def terms(folded: str) -> set[str]:
@@ -165,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), mo
     total = y.count()
     if total > most:
         y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * most / total))
-    rows = docs.select("doc_id", "text").join(y, "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    # At most twice the bound, so that it can go to all tasks; texts of other rows are never shuffled.
+    rows = docs.select("doc_id", "text").join(F.broadcast(y.limit(2 * most)), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    rows = staged(rows)
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
