@@ -137,6 +137,22 @@ def train(unknown: list[np.ndarray], seed: int = 5, steps: int = 60) -> dict:
     return {"w": w.astype(np.float32), "b": b, "sharp": min(loss, key=loss.get), "accuracy": float((z.argmax(axis=1) == t).mean())}
 
 
+def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a text with their byte offsets, and where the words of its lines begin and end (one more than lines)."""
+    w, start, end = word_hashes(text)
+    lines = np.flatnonzero(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8) == 10)
+    cuts = np.flatnonzero(np.diff(np.searchsorted(lines, start), prepend=-1))
+    return w, start, end, np.append(cuts, len(w))
+
+
+def _hits(w: np.ndarray, cuts: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Numbers of the lines that hold a three-word run of a template."""
+    three = grams(w, 3)
+    at = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, three), len(runs) - 1)] == three)
+    line = np.searchsorted(cuts, at, side="right") - 1
+    return np.unique(line[at + 3 <= cuts[line + 1]])
+
+
 def sampled(share: float):
     runs = template_runs()
 
@@ -144,10 +160,11 @@ def sampled(share: float):
         for batch in by_bytes(batches, 4 << 20):
             out = []
             for t in texts(batch):
-                for p in t.split("\n"):
-                    w = word_hashes(p)[0]
-                    if len(w) and int(w.sum()) % 1_000_003 < share * 1_000_003 and not np.isin(grams(w, 3), runs).any():
-                        out.append(features(w[:WINDOW]).astype(np.int32).tobytes())
+                w, _, _, cuts = paragraphs(t)
+                if len(w):
+                    key = mix(np.add.reduceat(w, cuts[:-1])) >> U(40)
+                    for k in np.setdiff1d(np.flatnonzero(key < int(share * (1 << 24))), _hits(w, cuts, runs)):
+                        out.append(features(w[cuts[k] : min(cuts[k + 1], cuts[k] + WINDOW)]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["x"])
 
     return run
@@ -171,9 +188,7 @@ class Scanner:
         """(family, first word, end word, probability) of windows whose family is confirmed."""
         out = []
         three = grams(w, 3)
-        hit = np.isin(three, self.runs) if len(three) else np.zeros(0, dtype=bool)
-        if not hit.any():  # no template can confirm anything here
-            return out
+        hit = np.isin(three, self.runs)
         for a, b in windows(len(w)):
             if not hit[a : max(a, b - 2)].any():
                 continue
@@ -187,14 +202,13 @@ class Scanner:
         return out
 
     def text(self, text: str) -> tuple[int, list[dict]]:
-        n, at, found = 0, 0, []
-        for p in text.split("\n"):
-            w, start, end = word_hashes(p)
-            n += len(w) > 0
-            for k, a, b, q in self.paragraph(w):
-                found.append({"family": FAMILIES[k], "a": at + int(start[a]), "b": at + int(end[b - 1]), "probability": q})
-            at += len(p.encode("utf-8", "surrogatepass")) + 1
-        return n, found
+        w, start, end, cuts = paragraphs(text)
+        found = []
+        for k in _hits(w, cuts, self.runs).tolist() if len(w) else ():  # no template can confirm anything elsewhere
+            first = int(cuts[k])
+            for f, a, b, q in self.paragraph(w[first : cuts[k + 1]]):
+                found.append({"family": FAMILIES[f], "a": int(start[first + a]), "b": int(end[first + b - 1]), "probability": q})
+        return len(cuts) - 1, found
 
 
 def scanned(model: dict):
