@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, decontaminate, licences, near_dedup, pieces, quality, suffix_dedup, surrogates, token_store, toxicity
 from .common import shared_dir, table
+from .oracles import ORACLES
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +58,4 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_ann, op2_decontamination, op3_toxicity, op4_pieces, op5_near_dedup, op6_surrogates, op7_suffix_dedup, op8_quality, op9_token_store, op10_licences)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
