@@ -28,7 +28,7 @@ def test_word_ids_forget(monkeypatch):
     from wavemill.llm import word_ids
 
     monkeypatch.setattr(word_ids, "MOST", 5)
-    w = word_ids.WordIds(lambda ws, first: [[zlib.crc32(x.encode()) % 97, f] for x, f in zip(ws, first, strict=True)], True)
+    w = word_ids.WordIds(lambda ws, first: word_ids.laid_out([[zlib.crc32(x.encode()) % 97, f] for x, f in zip(ws, first, strict=True)]), True)
     for k in range(4):
         ts = [f"a b{k} c d e f g{k}", "a", "", "q b a"]
         want = [[v for i, x in enumerate(t.split(" ")) for v in (zlib.crc32(x.encode()) % 97, i == 0)] if t else [] for t in ts]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_bytes, small_batches, texts
-from .word_ids import WordIds
+from .word_ids import WordIds, laid_out
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -59,7 +59,7 @@ class Pieces:
         alone = re.escape("".join(c for c in map(chr, range(128)) if c not in used))
         self.simple = prefix and not crossing
         self.words = re.compile(".+" if crossing else f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+", re.DOTALL)
-        self.kept = WordIds(lambda words, _: self.encode_words(words), by_place=False)
+        self.kept = WordIds(lambda words, _: laid_out(self.encode_words(words)), by_place=False)
 
     def _ids(self, word: str, back: list[int]) -> list[int]:
         out, at = [], len(word)

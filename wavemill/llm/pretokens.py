@@ -1,42 +1,40 @@
-"""Ids of whole texts from a byte-level BPE of the tokenizers library, each distinct pre-token encoded once.
+"""Ids of whole texts from a byte-level BPE of the tokenizers library, each distinct word encoded once.
 
-The library cuts a text into pre-tokens and encodes each by itself, so ids of equal pre-tokens are equal. Texts are cut here
-by the same pattern, distinct pre-tokens go through the library in one batch, and texts are put together from the results.
-Texts that hold an added token, and tokenizers of another make, go through the library whole.
+The library cuts a text into pre-tokens and encodes each by itself. A space before a character that isn't white space always
+begins a pre-token, so a text without longer runs of white space about its spaces can be cut at the spaces: distinct words go
+through the library, and texts are put together from the results. Other texts, those that hold an added token, and
+tokenizers of another make go through the library whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
-import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-import regex
-
-#: Fixed: the pre-token pattern of byte-level BPE, and the same where all letters and digits are as `re` sees them.
-PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Pre-tokens kept between batches.
-MOST = 400_000
-
-
-def is_plain(text: str, seen: dict[str, bool]) -> bool:
-    """Whether both patterns cut the text alike: beyond ASCII, letters only, as `re` takes digits and marks otherwise."""
-    if text.isascii():
-        return not any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to `re` alone
-    for c in set(text):
-        ok = seen.get(c)
-        if ok is None:
-            ok = seen[c] = unicodedata.category(c)[0] == "L" and c.isalpha() if c > "\x7f" else c not in "\x1c\x1d\x1e\x1f"
-        if not ok:
-            return False
-    return True
-
-
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids as little-endian uint32."""
+
+from .word_ids import WordIds
+
+#: White space beyond ASCII, as both the library and Unicode have it; next to a space it makes a run.
+WIDE = re.compile("[\x85\xa0  -     　]")
+#: ASCII white space but space and line break, and what `re` alone takes for white space.
+ODD = re.compile("[\t\v\f\r\x1c-\x1f]")
+#: Words in one call of the library.
+CALL = 4_000
+
+
+def has_run(text: str) -> bool:
+    """Whether a cut at spaces could go through a run of white space."""
+    if text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
+        return True
+    return ODD.search(text) is not None or (not text.isascii() and WIDE.search(text) is not None)
+
+
+def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """A function from texts to their ids as uint32."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
@@ -44,23 +42,45 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     kind = spec.get("pre_tokenizer") or {}
     cut = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer")
     added = [t["content"] for t in spec.get("added_tokens", [])]
-    ids: dict[str, bytes] = {}
-    seen: dict[str, bool] = {}
-
-    def whole(batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(batch, add_special_tokens=False)]
-
-    def encode(batch: list[str]) -> list[bytes]:
-        if not cut:
-            return whole(batch)
-        if len(ids) > MOST:
-            ids.clear()
-        parts = [None if any(a in t for a in added) else (PLAIN if is_plain(t, seen) else PATTERN).findall(t) for t in batch]
-        new = {p for ps in parts if ps for p in ps}
-        new.difference_update(ids)
-        new = list(new)
-        ids.update(zip(new, whole(new), strict=True))
-        get = ids.__getitem__
-        return [whole([t])[0] if ps is None else b"".join(map(get, ps)) for t, ps in zip(batch, parts, strict=True)]
+    line = library.encode("\n", add_special_tokens=False).ids
+    white = re.compile(r"[^\S\n]|\n\n")
+
+    def whole(batch: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in library.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def each(words: list[str], first: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Many words in one text, a line each: a line break before a character that isn't white space, or before a single
+        space, is a pre-token by itself, so its id parts the words. Words with other white space go by themselves."""
+        plain = [bool(w) and w[0] != "\n" and w[-1] != "\n" and len(line) == 1 and not white.search(w) for w in words]
+        words = [w if f else " " + w for w, f in zip(words, first, strict=True)]
+        place, size = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int32)
+        parts, at = [], 0
+        bare, odd = np.flatnonzero(plain), [i for i, p in enumerate(plain) if not p]
+        for start in range(0, len(bare), CALL):
+            which = bare[start : start + CALL]
+            part = [words[i] for i in which]
+            ids = np.array(library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            breaks = np.append(np.flatnonzero(ids == line[0]), len(ids))
+            last = np.cumsum([1 + w.count("\n") for w in part]) - 1  # the break that ends each word
+            if last[-1] != len(breaks) - 1:
+                odd.extend(which.tolist())
+                continue
+            end = breaks[last]
+            begin = np.concatenate([[0], end[:-1] + 1])
+            place[which], size[which] = at + begin, end - begin
+            parts.append(ids)
+            at += len(ids)
+        for i, ids in zip(odd, whole([words[i] for i in odd]), strict=True):
+            place[i], size[i] = at, len(ids)
+            parts.append(ids)
+            at += len(ids)
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), place, size
+
+    known = WordIds(each, by_place=True)
+
+    def encode(batch: list[str]) -> list[np.ndarray]:
+        simple = [bool(cut) and not has_run(t) and not any(a in t for a in added) for t in batch]
+        easy = iter(known.encode([t for t, s in zip(batch, simple, strict=True) if s]))
+        return [next(easy) if s else whole([t])[0] for t, s in zip(batch, simple, strict=True)]
 
     return encode

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, staged, texts
+from .common import by_bytes, small_batches, staged, texts
 from .pretokens import encoder
 
 LONGEST = 16
@@ -115,13 +115,22 @@ def unpack(data: bytes, marks: np.ndarray, count: int, tables) -> np.ndarray:
     return out.T.reshape(-1)[:count]
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    """Ids on their way: their width in bytes (2 where that does), then the ids."""
+    width = 2 if len(ids) and int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.uint32)
+
+
 def tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        end = np.array([end_id], dtype=np.uint32).tobytes()
-        for batch in by_bytes(batches, 8 << 20):
-            blobs = [x + end for x in encode(texts(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for batch in by_bytes(batches, 4 << 20):
+            ids = [np.append(x, np.uint32(end_id)) for x in encode(texts(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([narrow(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -130,7 +139,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for blob in batch.column(0).to_pylist():
-            c = np.bincount(np.frombuffer(blob, dtype=np.uint32))
+            c = np.bincount(wide(blob))
             if len(c) > len(total):
                 total, c = c, total
             total[: len(c)] += c
@@ -159,7 +168,7 @@ def packer(lengths: bytes):
 
         for batch in batches:
             for doc, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(blob, dtype=np.uint32)
+                ids = wide(blob)
                 if have and have + len(ids) > BLOCK_TOKENS:
                     yield flush(False, False)
                 if len(ids) > BLOCK_TOKENS:  # such a document has blocks of its own
@@ -182,6 +191,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
     Null text is empty; every document ends with `end_id`. No rows make a store without blocks.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     tokens = staged(docs.select("doc_id", "text").mapInArrow(tokenised(tokenizer, end_id), "doc_id long, n_tokens long, ids binary"))
     counts = tokens.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.collect()  # one row per id: bounded by the vocabulary

@@ -19,9 +19,10 @@ PART = 1 << 20
 
 
 class WordIds:
-    """`learn` takes words and whether each begins its text, and gives their ids; `by_place` tells if that matters."""
+    """`learn` takes words and whether each begins its text, and gives ids in one array with the place and number of each
+    word's; `by_place` tells if it matters that a word begins a text."""
 
-    def __init__(self, learn: Callable[[list[str], list[bool]], list], by_place: bool):
+    def __init__(self, learn: Callable[[list[str], list[bool]], tuple], by_place: bool):
         self.learn, self.by_place = learn, by_place
         self._clear()
 
@@ -73,15 +74,13 @@ class WordIds:
         new = np.flatnonzero(place < 0)
         if len(new):
             w = where[new]
-            ids = self.learn([buffer[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[w].tolist(), stop[w].tolist(), strict=True)], lead[w].tolist())
-            size = np.array([len(i) for i in ids], dtype=np.int32)
-            flat = np.concatenate([np.asarray(i, dtype=np.uint32) for i in ids])
+            flat, place, size = self.learn([buffer[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[w].tolist(), stop[w].tolist(), strict=True)], lead[w].tolist())
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), dtype=np.uint32)])
             self.flat[self.used : self.used + len(flat)] = flat
             spot = np.searchsorted(self.keys, need[new])
             self.keys, self.size = np.insert(self.keys, spot, need[new]), np.insert(self.size, spot, size)
-            self.at = np.insert(self.at, spot, self.used + np.cumsum(size) - size)
+            self.at = np.insert(self.at, spot, self.used + place)
             self.used += len(flat)
             place = self._found(need)
         return place
@@ -93,6 +92,12 @@ class WordIds:
         return np.where(self.keys[at] == need, at, -1)
 
 
+def laid_out(ids: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A list of ids per word as one array, places and numbers."""
+    size = np.array([len(i) for i in ids], dtype=np.int32)
+    return np.array([v for i in ids for v in i], dtype=np.uint32), np.cumsum(size, dtype=np.int64) - size, size
+
+
 def _parts(docs: list[bytes]) -> Iterator[list[bytes]]:
     part: list[bytes] = []
     size = 0
