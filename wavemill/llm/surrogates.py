@@ -30,7 +30,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
 #: Types in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "token": r"(?<=token = \x22)[0-9a-f]{20,64}(?=\x22)|(?<=token=)[0-9A-Za-z_-]{12,64}",
     "password": r"(?<=password=)[^\s\x22']{4,64}",
@@ -38,11 +38,19 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d-])",
-    "name": r"(?<=\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + rf")\.? ){_NAME}(?: {_NAME})?",
+    "name": r"(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])(?<=\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + rf")\.? ){_NAME}(?: {_NAME})?",
 }
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())  # the card has the only group
-#: What every entity has; texts without it hold none.
-HINT = "[@0-9]|AKIA|token=|password=|" + "|".join(rf"\b{t}\.? " for ts in TITLES.values() for t in ts if len(t) > 1) + r"|\bM\. "
+#: What every entity has one of, besides a digit or an at sign; texts without any hold none.
+HINTS = ("AKIA", "token=", "password=", *(f"{t}{end}" for ts in TITLES.values() for t in ts for end in (" ", ". ")))
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text may hold an entity: plain searches, which are much cheaper than the pattern."""
+    out = text.rlike("[@0-9]")
+    for h in HINTS:
+        out = out | text.contains(h)
+    return out
 
 
 def _digits(c: Column) -> Column:
@@ -159,7 +167,7 @@ def replaced(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     `docs` with one of the added names give way to them. n_chars, where there is one, follows the new text.
     """
     base = docs.drop("n_entities", "entity_types")
-    has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(FOUND), F.lit(False))
+    has = F.coalesce(hinted(F.col("text")) & F.col("text").rlike(FOUND), F.lit(False))
     rest = base.where(~has).withColumn("n_entities", F.lit(0).cast("long")).withColumn("entity_types", F.lit(""))
     some = base.where(has).withColumn("_key", F.md5("text"))
     titles = "|".join(TITLES["f"])
