@@ -53,6 +53,21 @@ def test_sessions_without_the_slow_stream(spark):
     assert got.count() > 0 and got.where("y_nirs is not null").count() == 0
 
 
+@pytest.mark.parametrize("preset", ["csp", "ts_mdm"])
+def test_presets_learn(data, preset):
+    s, eeg, nirs = data
+    keep = "session_id like 's000%'"
+    got = session.run(s.where(keep), eeg.where(keep), nirs.where(keep), config.build(preset=preset, override={"nirs": {"use": False}}))
+    r = scoring.metrics(got.where("block = 3"), [], "y_eeg", "true_y").first()
+    assert r.n > 20 and r.macro_recall > 0.4
+
+
+def test_eye_movement(data):
+    one = data[1].where("session_id like 's000%' and sample < 1000")
+    got = signal.eye_movement(one).agg(F.count("eye_h").alias("n"), F.avg(F.isnan("eye_v").cast("int")).alias("bad")).first()
+    assert got.n == 1000 and got.bad == 0
+
+
 def test_left_out_subject_models(data):
     w = session.eeg_windows(data[1], config.DEFAULTS["eeg"], 250.0)
     f = session.eeg_features(w, config.DEFAULTS["eeg"]).where("fit = 3 and role = 'train'")
