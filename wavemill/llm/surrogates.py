@@ -3,11 +3,15 @@
 One pattern finds all entities of a text. An entity's identity (its type and its digits, or its lower-case form) is hashed
 with a key; the digest gives the surrogate's characters, digit for digit and letter for letter, so equal entities have equal
 surrogates everywhere, whatever their punctuation or case. Names keep the gender their title tells and the script they are
-written in. Surrogates that two identities share, or that are themselves an identity of the corpus, are drawn again.
+written in. A secret is whatever follows its label up to the delimiter, however long, and all of its characters are drawn.
+Surrogates that two identities share, or that are themselves an identity of the corpus, are drawn again; names, addresses and
+secrets get longer then, so their forms don't run out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from .common import staged
 
 #: Rounds of drawing again; what still collides then is an error.
 ROUNDS = 12
+LOWER = "abcdefghijklmnopqrstuvwxyz"
 # Titles with the gender they tell, in four languages and Cyrillic.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "M", "Señor", "Sr", "господин", "г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "г-жа")}
 GIVEN = {
@@ -28,12 +33,13 @@ ENDINGS = {("m", "Latin"): "n", ("f", "Latin"): "n", ("m", "Cyrillic"): "ов",
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
-#: Types in the order in which they are tried at a place.
+_EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+#: Types in the order in which they are tried at a place. Secrets come first: another type could take a part of one.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
+    "token": r"(?<=token = \x22)[0-9a-f]{20,}+(?=\x22)|(?<=token=)[0-9A-Za-z_-]{12,}+(?:[.~+/]++[0-9A-Za-z_-]++)*+=*+",
+    "password": r"(?<=password=)[^\s\x22']{4,}+",
+    "email": rf"(?<![A-Za-z0-9._%+-]){_EMAIL}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "token": r"(?<=token = \x22)[0-9a-f]{20,64}(?=\x22)|(?<=token=)[0-9A-Za-z_-]{12,64}",
-    "password": r"(?<=password=)[^\s\x22']{4,64}",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
@@ -41,8 +47,9 @@ PATTERNS = {
     "name": r"(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])(?<=\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + rf")\.? ){_NAME}(?: {_NAME})?",
 }
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())  # the card has the only group
+SECRETS = f"{PATTERNS['token']}|{PATTERNS['password']}"
 #: What every entity has one of, besides a digit or an at sign; texts without any hold none.
-HINTS = ("AKIA", "token=", "password=", *(f"{t}{end}" for ts in TITLES.values() for t in ts for end in (" ", ". ")))
+HINTS = ("AKIA", "token=", 'token = "', "password=", *(f"{t}{end}" for ts in TITLES.values() for t in ts for end in (" ", ". ")))
 
 
 def hinted(text: Column) -> Column:
@@ -58,7 +65,7 @@ def _digits(c: Column) -> Column:
 
 
 def kind(e: Column) -> Column:
-    """The type of a found entity, from its own form."""
+    """The type of a found entity that is no labelled secret, from its own form."""
     out = F.when(e.rlike("@"), "email").when(e.rlike("^AKIA[0-9A-Z]{16}$"), "key").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
     out = out.when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip").when(e.rlike(r"^\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}$"), "card")
     out = out.when(e.rlike(r"^[+(\d][\d ().-]+$") & (F.length(_digits(e)) >= 7) & e.rlike(r"[ ().+-]"), "phone")
@@ -67,10 +74,9 @@ def kind(e: Column) -> Column:
 
 def identity(e: Column, t: Column) -> Column:
     """What makes two entities of a type the same: the last ten digits of a phone number, all digits of a card, else the
-    form, in lower case for e-mail addresses and names."""
+    form, in lower case for e-mail addresses and names. The digits are those that are written anew."""
     digits = _digits(e)
-    phone = F.substring(F.concat(F.lit("0000000000"), digits), -10, 10)
-    return F.when(t == "phone", phone).when(t.isin("card", "ssn"), digits).when(t.isin("email", "name"), F.lower(e)).otherwise(e)
+    return F.when(t == "phone", F.right(digits, F.lit(10))).when(t.isin("card", "ssn"), digits).when(t.isin("email", "name"), F.lower(e)).otherwise(e)
 
 
 def _digest(key: str, t: Column, who: Column, attempt: Column) -> Column:
@@ -83,16 +89,23 @@ def _byte(h: Column, i: Column | int) -> Column:
     return F.conv(F.substring(h, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _alike(s: Column, h: Column) -> Column:
-    """Digit for digit, hex letters for hex letters if there are no others, letter for letter; the rest stays."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _alike(s: Column, h: Column, rest: str = "") -> Column:
+    """Digit for digit, hex letters for hex letters if there are no others, letter for letter; other characters stay, or
+    become one of `rest`."""
     hexed = s.rlike("^[0-9a-f]*$") & s.rlike("[a-f]")
+    pick = lambda i, letters: F.substring(F.lit(letters), _byte(h, i) % len(letters) + 1, F.lit(1))
 
     def swap(c: Column, i: Column) -> Column:
-        b = _byte(h, i)
-        pick = lambda letters: F.substring(F.lit(letters), b % len(letters) + 1, F.lit(1))
-        return F.when(hexed, pick("0123456789abcdef")).when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+        out = F.when(c.rlike("[0-9]"), pick(i, "0123456789")).when(c.rlike("[a-z]"), pick(i, LOWER)).when(c.rlike("[A-Z]"), pick(i, LOWER.upper()))
+        return out.otherwise(pick(i, rest) if rest else c)
 
-    return F.array_join(F.transform(F.split(s, ""), swap), "")
+    letters = F.split(s, "")
+    return F.array_join(F.when(hexed, F.transform(letters, lambda c, i: pick(i, "0123456789abcdef"))).otherwise(F.transform(letters, swap)), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -101,13 +114,13 @@ def _luhn(digits: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
-def _name(who: Column, gender: Column, h: Column) -> Column:
-    """A surname, with a given name before it if the entity has two words."""
+def _name(who: Column, gender: Column, h: Column, attempt: Column) -> Column:
+    """A surname of four syllables and one for each attempt, with a given name before it if the entity has two words."""
     cyrillic, two = who.rlike("[а-яё]"), who.rlike(" ")
 
     def build(g: str, script: str) -> Column:
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        surname = F.initcap(F.concat(*[F.element_at(syllables, _byte(h, k) % 16 + 1) for k in (1, 2, 3, 4)], F.lit(ENDINGS[g, script])))
+        surname = F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda k: F.element_at(syllables, _byte(h, k) % 16 + 1)), ""), F.lit(ENDINGS[g, script])))
         given = F.element_at(F.array(*map(F.lit, GIVEN[g, script])), _byte(h, 0) % 16 + 1)
         return F.when(two, F.concat_ws(" ", given, surname)).otherwise(surname)
 
@@ -117,14 +130,19 @@ def _name(who: Column, gender: Column, h: Column) -> Column:
 
 def drawn(t: Column, who: Column, gender: Column, key: str, attempt: Column) -> Column:
     """The surrogate identity of an identity."""
-    h = _digest(key, t, who, attempt)
-    local, domain = F.split_part(who, F.lit("@"), F.lit(1)), F.split_part(who, F.lit("@"), F.lit(2))
-    card = F.concat(F.substring(who, 1, 1), _alike(F.substring(who, 2, 14), h))
-    ip = F.concat_ws(".", *[(_byte(h, k) % 223 + 1).cast("string") for k in range(4)])
-    phone = F.concat((_byte(h, 40) % 8 + 2).cast("string"), _alike(F.substring(who, 2, 9), h))
-    out = F.when(t == "email", F.concat(_alike(local, h), F.lit("@"), _alike(F.split_part(domain, F.lit("."), F.lit(1)), F.reverse(h)), F.lit(".example.net")))
-    out = out.when(t == "card", F.concat(card, _luhn(card))).when(t == "ip", ip).when(t == "phone", phone)
-    return out.when(t == "key", F.concat(F.lit("AKIA"), _alike(F.substring(who, 5, 16), h))).when(t == "name", F.lower(_name(who, gender, h))).otherwise(_alike(who, h))
+
+    def build(h: Column) -> Column:
+        local, domain = F.split_part(who, F.lit("@"), F.lit(1)), F.split_part(who, F.lit("@"), F.lit(2))
+        card = F.concat(F.substring(who, 1, 1), _alike(F.substring(who, 2, 14), h))
+        ip = F.concat_ws(".", *[(_byte(h, k) % 223 + 1).cast("string") for k in range(4)])
+        phone = F.concat((_byte(h, 40) % 8 + 2).cast("string"), _alike(F.substring(who, 2, 9), h))
+        more = F.substring(h, F.lit(65), F.greatest(attempt - 2, F.lit(0)) * 2)  # the entity's own length has had its tries
+        out = F.when(t == "email", F.concat(_alike(local, h), F.lit("@"), _alike(F.split_part(domain, F.lit("."), F.lit(1)), F.reverse(h)), more, F.lit(".example.net")))
+        out = out.when(t == "card", F.concat(card, _luhn(card))).when(t == "ip", ip).when(t == "phone", phone)
+        out = out.when(t == "key", F.concat(F.lit("AKIA"), _alike(F.substring(who, 5, 16), h))).when(t == "name", F.lower(_name(who, gender, h, attempt)))
+        return out.when(t == "ssn", _alike(who, h)).otherwise(F.concat(_alike(who, h, LOWER), more))
+
+    return _let(_digest(key, t, who, attempt), build)
 
 
 def _fill(e: Column, digits: Column) -> Column:
@@ -171,8 +189,9 @@ def replaced(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     rest = base.where(~has).withColumn("n_entities", F.lit(0).cast("long")).withColumn("entity_types", F.lit(""))
     some = base.where(has).withColumn("_key", F.md5("text"))
     titles = "|".join(TITLES["f"])
-    texts = some.select("_key", "text").dropDuplicates(["_key"]).select("_key", F.regexp_extract_all("text", F.lit(FOUND), 0).alias("es"), F.regexp_extract_all("text", F.lit(rf"\b(?:{titles})\.? ({_NAME}(?: {_NAME})?)"), 1).alias("women"))
-    parts = texts.select("_key", F.posexplode("es").alias("place", "e"), "women").withColumn("t", kind(F.col("e")))
+    texts = some.select("_key", "text").dropDuplicates(["_key"]).select("_key", F.regexp_extract_all("text", F.lit(FOUND), 0).alias("es"), F.regexp_extract_all("text", F.lit(rf"\b(?:{titles})\.? ({_NAME}(?: {_NAME})?)"), 1).alias("women"), F.when(F.col("text").contains("password=") | F.col("text").contains("token"), F.regexp_extract_all("text", F.lit(SECRETS), F.lit(0))).alias("secrets"))
+    parts = texts.select("_key", F.posexplode("es").alias("place", "e"), "women", "secrets")
+    parts = parts.withColumn("t", F.when(F.array_contains("secrets", F.col("e")), "secret").otherwise(kind(F.col("e"))))
     parts = staged(parts.select("_key", "place", "e", "t", identity(F.col("e"), F.col("t")).alias("who"), F.when(F.array_contains("women", F.col("e")), "f").otherwise("a").alias("gender")))
     sur = mapping(parts, key)
     new = parts.join(sur, ["t", "who"]).select("_key", F.struct("place", formed(F.col("e"), F.col("t"), F.col("sur")).alias("s"), "t").alias("x"))
