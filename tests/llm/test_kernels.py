@@ -157,3 +157,18 @@ def test_licences():
     long = "w " * 300 + licences.NOTICES["MIT"][2] + " w" * 300
     found = s.text("é\n" + long)[1]
     assert {x["family"] for x in found} <= {"MIT"} and s.text("") == (0, [])
+
+
+def test_licences_over_lines_and_together():
+    m = licences.train([licences.features(licences.word_hashes(t)[0]) for t in ("plain words of a text", "another line of words here", "the cat sat on the mat")] * 5)
+    s = licences.Scanner(m)
+    names = lambda t: {x["family"] for x in s.text(t)[1]}
+    for f, notices in licences.NOTICES.items():
+        for n in notices:
+            words = n.split()
+            for k in range(1, len(words) if len(licences.word_hashes(n)[0]) >= 3 else 0):
+                assert names("# intro\n#\n# " + " ".join(words[:k]) + "\n# " + " ".join(words[k:]) + "\n") == {f}, (n, k)
+    assert names("Licensed under the MIT license or Apache License, Version 2.0") == {"MIT", "Apache-2.0"}
+    assert names("released under the MIT license or the BSD license") == {"MIT", "BSD"}
+    assert names("This work is licensed under the GNU Affero General Public License, version 3") == {"AGPL-3.0"}
+    assert s.text("a b\nc\n\n//\nd\n * \n\n")[0] == 2 and s.text("\n\n\nx")[0] == 1

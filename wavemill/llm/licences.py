@@ -3,6 +3,7 @@
 The classifier learns from the notices below, thinned and set in other words at random, against paragraphs of the corpus that
 share no three words with any notice and against near misses. Its probabilities are calibrated by a temperature on notices held out. A family
 counts only if the paragraph also shares enough three-word runs with one of its templates; else the paragraph is unknown.
+A paragraph is a run of lines with words, whatever signs of comments stand before them; it may name several families.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BUCKETS = 1 << 14
 #: Words of a window; longer paragraphs are read in windows that overlap by half.
 WINDOW = 48
 LEAST_PROBABILITY, LEAST_COVERAGE = 0.6, 0.6
+#: What parts paragraphs: line ends with no word between them.
+BREAK = r"\n[^0-9A-Za-z\x{80}-\x{10FFFF}]*\n"
 # Short notices by which works refer to public licences.
 NOTICES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": ("licensed under the GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"),
@@ -138,19 +141,20 @@ def train(unknown: list[np.ndarray], seed: int = 5, steps: int = 60) -> dict:
 
 
 def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a text with their byte offsets, and where the words of its lines begin and end (one more than lines)."""
+    """Words of a text with their byte offsets, and where the words of its paragraphs begin and end (one more than
+    paragraphs). Lines without words part paragraphs."""
     w, start, end = word_hashes(text)
     lines = np.flatnonzero(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8) == 10)
-    cuts = np.flatnonzero(np.diff(np.searchsorted(lines, start), prepend=-1))
+    cuts = np.flatnonzero(np.diff(np.searchsorted(lines, start), prepend=-2) > 1)
     return w, start, end, np.append(cuts, len(w))
 
 
 def _hits(w: np.ndarray, cuts: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """Numbers of the lines that hold a three-word run of a template."""
+    """Numbers of the paragraphs that hold a three-word run of a template."""
     three = grams(w, 3)
     at = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, three), len(runs) - 1)] == three)
-    line = np.searchsorted(cuts, at, side="right") - 1
-    return np.unique(line[at + 3 <= cuts[line + 1]])
+    part = np.searchsorted(cuts, at, side="right") - 1
+    return np.unique(part[at + 3 <= cuts[part + 1]])
 
 
 def sampled(share: float):
@@ -162,9 +166,13 @@ def sampled(share: float):
             for t in texts(batch):
                 w, _, _, cuts = paragraphs(t)
                 if len(w):
-                    key = mix(np.add.reduceat(w, cuts[:-1])) >> U(40)
-                    for k in np.setdiff1d(np.flatnonzero(key < int(share * (1 << 24))), _hits(w, cuts, runs)):
-                        out.append(features(w[cuts[k] : min(cuts[k + 1], cuts[k] + WINDOW)]).astype(np.int32).tobytes())
+                    key = mix(np.add.reduceat(w, cuts[:-1]))
+                    for k in np.flatnonzero((key >> U(40)) < int(share * (1 << 24))):
+                        own = w[cuts[k] : cuts[k + 1]]
+                        parts = windows(len(own))
+                        a, b = parts[int(key[k] & U(0xFFFFFF)) % len(parts)]  # any place of the paragraph
+                        if not np.isin(grams(own[a:b], 3), runs).any():
+                            out.append(features(own[a:b]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["x"])
 
     return run
@@ -173,8 +181,8 @@ def sampled(share: float):
 def fit(docs: DataFrame, most: int = FIT_PARAGRAPHS) -> dict:
     """Trains against about `most` corpus paragraphs, chosen by a hash of their words so that copies count once at most each."""
     small_batches(docs.sparkSession)
-    lines = docs.select(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    share = min(1.0, most / max(1, lines))
+    parts = docs.select(F.sum(F.regexp_count("text", F.lit(BREAK)) + 1)).first()[0] or 0
+    share = min(1.0, most / max(1, parts))
     part = docs.select("text").where(F.col("text").isNotNull())
     rows = part.mapInArrow(sampled(share), "x binary").distinct().limit(4 * most).collect()  # bounded by `most`
     return train([np.frombuffer(r["x"], dtype=np.int32).astype(np.int64) for r in sorted(rows, key=lambda r: r["x"])])
@@ -183,22 +191,51 @@ def fit(docs: DataFrame, most: int = FIT_PARAGRAPHS) -> dict:
 class Scanner:
     def __init__(self, model: dict):
         self.model, self.templates, self.runs = model, templates(), template_runs()
+        #: Words that name no licence.
+        self.common = np.unique(np.concatenate([word_hashes(n)[0] for n in (*NEAR_MISSES, *_LEAD)]))
 
     def paragraph(self, w: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(family, first word, end word, probability) of windows whose family is confirmed."""
-        out = []
+        """(family, first word, end word, probability) of confirmed notices; several families may share a window."""
+        out: list[tuple[int, int, int, float]] = []
         three = grams(w, 3)
         hit = np.isin(three, self.runs)
         for a, b in windows(len(w)):
             if not hit[a : max(a, b - 2)].any():
                 continue
-            z = (_mean([features(w[a:b])], self.model["w"]) + self.model["b"]) * self.model["sharp"]
-            p = softmax(z)[0]
-            k = int(p.argmax())
-            own = three[a : max(a, b - 2)]
-            cover = max((np.isin(t, own).mean() for f, t in self.templates if f == k), default=0.0)
-            if k != UNKNOWN and p[k] >= LEAST_PROBABILITY and cover >= LEAST_COVERAGE:
-                out.append((k, a, b, float(p[k])))
+            for f, x, y, q in self._window(w, three, a, b):
+                same = next((k for k, o in enumerate(out) if o[0] == f and x < o[2] and o[1] < y), None)  # windows overlap
+                if same is None:
+                    out.append((f, x, y, q))
+                else:
+                    _, c, d, p = out[same]
+                    out[same] = (f, min(c, x), max(d, y), max(p, q))
+        return out
+
+    def _probability(self, w: np.ndarray) -> np.ndarray:
+        return softmax((_mean([features(w)], self.model["w"]) + self.model["b"]) * self.model["sharp"])[0]
+
+    def _window(self, w: np.ndarray, three: np.ndarray, a: int, b: int) -> list[tuple[int, int, int, float]]:
+        """Confirmed families of a window, the likeliest first. A further one must be named by words that those before it
+        don't account for: licences share much of their wording."""
+        p, found = self._probability(w[a:b]), []
+        for f, t in self.templates:
+            at = a + np.flatnonzero(np.isin(three[a : max(a, b - 2)], t))
+            cover = len(np.unique(three[at])) / len(t)
+            if cover >= LEAST_COVERAGE:
+                found.append((p[f] * cover, f, at))
+        out, used = [], np.zeros(len(w), dtype=bool)
+        for _, f, at in sorted(found, key=lambda x: -x[0]):
+            words = np.unique(at[:, None] + np.arange(3))
+            fresh = words[~used[words]]
+            if not len(fresh) or (used[words].any() and np.isin(w[fresh], self.common).all()):
+                continue
+            x, y = int(words[0]), int(words[-1]) + 1
+            if any(o[0] == f and x < o[2] and o[1] < y for o in out):
+                continue
+            q = max(float(self._probability(v)[f]) for v in (w[x:y][~used[x:y]], w[words]))
+            if q >= LEAST_PROBABILITY:
+                out.append((f, int(fresh[0]) if used[words].any() else x, y, q))
+                used[words] = True
         return out
 
     def text(self, text: str) -> tuple[int, list[dict]]:
@@ -224,7 +261,7 @@ def scanned(model: dict):
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_paragraphs (lines with words), found (family, byte span, probability), licences (sorted, comma-joined).
+    """doc_id, n_paragraphs (runs of lines with words), found (family, byte span, probability), licences (sorted, comma-joined).
 
     Null and empty texts have no paragraphs. Every row gives one row; other columns are ignored; nothing is shuffled.
     """
