@@ -548,6 +548,7 @@ def csp_features(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def mdm_riemann(spark: SparkSession, d: str) -> DataFrame:
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("vec_id")  # rows come in any order, and sums of logarithms follow it
         m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 6)
         covs = spd.estimate(np.einsum("nti,ntj->nij", m, m) / m.shape[1], m.shape[1])
         model = classify.fit_mdm(covs, g["label"].to_numpy())
