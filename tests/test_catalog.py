@@ -31,3 +31,26 @@ def test_same_rows_as_sql(spark, con, name):
     columns = [d[0] for d in got.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.collect(), df.columns) == rows(got.fetchall(), columns)
+
+
+def test_kernel_queries_read_all_components(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from wavemill.functions import spd
+    from wavemill.operators import stats
+    from wavemill.plans import catalog
+
+    x = np.random.default_rng(5).normal(size=(100, 64)).astype(np.float32)
+    label = np.arange(100) // 5 % 10
+    x[:, 60] += 10 * (label % 3)  # only this component tells the classes apart
+    rows = [(k, int(label[k]), x[k].tolist()) for k in range(100)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    m = x.astype(float).reshape(100, 16, 4)
+    want = spd.tangent(spd.estimate(np.einsum("nti,ntj->nij", m, m) / 16, 16))
+    for r in catalog.QUERIES["spd_tangent"](spark, str(tmp_path)).collect():
+        np.testing.assert_allclose(r.tangent, want[r.vec_id], rtol=1e-9, atol=1e-12)
+    assert all(r.y == r.truth for r in catalog.QUERIES["lr_predict"](spark, str(tmp_path)).collect())
+    reps = []
+    monkeypatch.setattr(stats, "bootstrap", lambda m, o, v, reps_=2000, *a, **b: reps.append(reps_) or spark.range(3).selectExpr("cast(id as double) value"))
+    catalog.QUERIES["bootstrap_interval"](spark, "/root/testdata/sf0.001")
+    assert reps == [2000]

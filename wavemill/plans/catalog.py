@@ -496,10 +496,10 @@ def signed_rank(spark: SparkSession, d: str) -> DataFrame:
 # Kernel queries: no SQL gives an infinite impulse response or a fitted discriminant, so these have tests instead.
 
 
-def _vectors(spark: SparkSession, d: str, p: int = 6) -> DataFrame:
-    """Labelled vectors cut into sessions; a vector's lagged products stand for its covariance matrix."""
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled vectors cut into sessions; the products of a vector's 16 rows of 4 stand for its covariance matrix."""
     e = read(spark, d, "embeddings").withColumn("session_id", F.concat(F.lit("s"), F.col("vec_id") % 5))
-    return e.select("session_id", "vec_id", (F.col("label") % 3 + 1).alias("label"), F.transform(F.slice("embedding", 1, 48), lambda x: x.cast("double")).alias("x"))
+    return e.select("session_id", "vec_id", (F.col("label") % 3 + 1).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
 @register()
@@ -513,7 +513,7 @@ def iir_filter(spark: SparkSession, d: str) -> DataFrame:
 def spd_tangent(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
-        m = np.stack(x.to_numpy()).reshape(len(x), -1, 6)
+        m = np.stack(x.to_numpy()).reshape(len(x), -1, 4)
         return pd.Series(list(spd.tangent(spd.estimate(np.einsum("nti,ntj->nij", m, m) / m.shape[1], m.shape[1]))))
 
     return _vectors(spark, d).select("vec_id", "label", run("x").alias("tangent"))
@@ -529,7 +529,7 @@ def slda_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def lr_predict(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d).withColumn("x", F.slice("x", 1, 12))
+    v = _vectors(spark, d)
     models = fusion.grouped_fit(v, ["session_id"], "x", "label", classify.fit_logistic)
     return fusion.applied(v, models, ["session_id"], "x").select("session_id", "vec_id", long("label").alias("truth"), long(S.argmax_first("lp")).alias("y"))
 
@@ -537,7 +537,7 @@ def lr_predict(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def csp_features(spark: SparkSession, d: str) -> DataFrame:
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 6)
+        m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 4)
         covs = spd.ridge(np.einsum("nti,ntj->nij", m, m) / m.shape[1], 1e-3)
         f = spd.csp_features(spd.csp(covs, g["label"].to_numpy(), (1, 2, 3), 1), covs)
         return pd.DataFrame({"session_id": key[0], "vec_id": g["vec_id"], "feature": list(f)})
@@ -549,7 +549,7 @@ def csp_features(spark: SparkSession, d: str) -> DataFrame:
 def mdm_riemann(spark: SparkSession, d: str) -> DataFrame:
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id")  # rows come in any order, and sums of logarithms follow it
-        m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 6)
+        m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 4)
         covs = spd.estimate(np.einsum("nti,ntj->nij", m, m) / m.shape[1], m.shape[1])
         model = classify.fit_mdm(covs, g["label"].to_numpy())
         y = classify.mdm_log_prob(model, covs).argmax(axis=1) + 1 if model else np.ones(len(g), dtype=int)
@@ -561,7 +561,7 @@ def mdm_riemann(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     m = scoring.metrics(truth3(spark, d, "l_suppkey"), ["l_suppkey"]).withColumn("subject", F.col("l_suppkey") % 10)
-    b = stats.bootstrap(m, "subject", "min_f1", 400)
+    b = stats.bootstrap(m, "subject", "min_f1", 2000)
     return b.agg(*[r6(q).alias(n) for q, n in zip(stats.quantiles("value", [0.025, 0.5, 0.975]), ("low", "middle", "high"), strict=True)])
 
 
