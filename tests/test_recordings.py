@@ -32,7 +32,7 @@ def mat(**variables):
 
 def streams(n=20, m=5):
     rng = np.random.default_rng(0)
-    eeg = {"Raw": rng.normal(size=(n, 3)), "States": np.arange(n) % 3, "Blocks": np.ones(n, dtype=int), "SamplingRate": 250.0}
+    eeg = {"Raw": rng.normal(size=(n, 3)), "States": np.arange(n) % 3, "Blocks": np.ones(n, dtype=int), "Frq": 250.0}
     nirs = {"HbO": rng.normal(size=(m, 2)), "HbR": rng.normal(size=(m, 2)), "Frame": np.arange(m) * 4, "States": np.zeros(m, dtype=int), "Blocks": np.ones(m, dtype=int), "SamplingRate": 12.5}
     return eeg, nirs
 
@@ -57,3 +57,29 @@ def test_contract():
         recordings._recording(mat(X=np.ones((2, 2))))
     with pytest.raises(ValueError, match="differ in length"):
         recordings._recording(mat(EEG=eeg | {"States": np.arange(3)}))
+
+
+def test_columns_are_the_electrodes(spark, tmp_path):
+    """A file whose column k holds k: names give the right columns, and so do references."""
+    from wavemill.operators import signal
+    from wavemill.sources import schemas
+
+    n = 10
+    raw = np.tile(np.arange(21.0), (n, 1))
+    eeg = {"Raw": raw, "States": np.ones(n, dtype=int), "Blocks": np.ones(n, dtype=int), "Frq": 250.0}
+    (tmp_path / "2025_N01.mat").write_bytes(mat(EEG=eeg))
+    _, e, _ = recordings.load(spark, str(tmp_path))
+    at = {r.channel: r for r in schemas.channels(spark).collect()}
+    x = np.array(e.first().x)
+    assert x[at["c4"].place] == 0 and x[at["c3"].place] == 18 and len(at) == 21 and sum(r.in_average for r in at.values()) == 13
+    m, kept = signal.spatial_matrix(("c3", "c4"), "none")
+    assert kept == ["c3", "c4"] and (m @ x).tolist() == [18, 0]
+    m, _ = signal.spatial_matrix(("c3", "pz"), "laplacian")
+    np.testing.assert_allclose(m @ x, [18 - (14 + 13 + 19 + 8) / 4, 9])
+    m, kept = signal.spatial_matrix(("c3", "c4"), "laplacian", ("c3", "f4"))
+    np.testing.assert_allclose(m @ x, [0 - (5 + 20 + 8) / 3])
+    m, kept = signal.spatial_matrix(("c3",), "none", ("c3", "p3"), interpolate=True)
+    np.testing.assert_allclose(m @ x, [(14 + 19 + 8) / 3])
+    good = [k for c, k in zip(schemas.CHANNELS, range(21), strict=True) if c not in schemas.LEFT_OUT]
+    m, _ = signal.spatial_matrix(("cz",), "car_clean")
+    np.testing.assert_allclose(m @ x, [8 - np.mean(good)])

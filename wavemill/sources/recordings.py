@@ -1,7 +1,7 @@
 """Recordings in MATLAB level 5 files, read by Spark's binary file source and parsed in tasks, one file a row.
 
-A file holds a structure or plain variables: EEG (or EEG.Raw) with samples in rows, States, Blocks, SamplingRate, and
-optionally NIRS with HbO, HbR, Frame, States, Blocks and SamplingRate. Land them as Parquet once; query that.
+A file holds a structure or plain variables: EEG (or EEG.Raw) with samples in rows, States, Blocks, Frq, and optionally NIRS
+with HbO, HbR, Frame, States, Blocks and Frq; a rate may also be called SamplingRate. Land them as Parquet once; query that.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def _recording(data: bytes) -> tuple[dict, dict | None]:
         v, eeg = only, only.get("EEG")
     if eeg is None:
         raise KeyError("EEG")
-    eeg = eeg if isinstance(eeg, dict) else {"Raw": eeg, **{k: v.get(k) for k in ("States", "Blocks", "SamplingRate")}}
+    eeg = eeg if isinstance(eeg, dict) else {"Raw": eeg, **{k: v.get(k) for k in ("States", "Blocks", "Frq", "SamplingRate")}}
     raw = np.asarray(eeg["Raw"])
     if raw.ndim != 2:
         raise ValueError("Raw has not two dimensions")
@@ -92,6 +92,11 @@ def _ints(x) -> np.ndarray:
     return np.asarray(x).ravel().astype(np.int32)
 
 
+def _rate(stream: dict | None) -> float | None:
+    found = [stream[k] for k in ("Frq", "SamplingRate") if stream is not None and stream.get(k) is not None]
+    return float(np.ravel(found[0])[0]) if found else None
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sessions, eeg, nirs) of all .mat files below a path."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.mat").option("recursiveFileLookup", True).load(path)
@@ -116,8 +121,8 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
         for t in batches:
             for r in t.itertuples():
                 e, n = _recording(r.content)
-                rate = lambda d: float(np.ravel(d["SamplingRate"])[0]) if d is not None and d.get("SamplingRate") is not None else None
-                yield pd.DataFrame([(r.session_id, rate(e), rate(n), n is not None, np.asarray(n["HbO"]).shape[1] if n is not None else None, len(e["Raw"]))], columns=["session_id", "fs_eeg", "fs_nirs", "has_nirs", "n_nirs_ch", "n_samples"])
+                e_rate, n_rate = _rate(e), _rate(n)
+                yield pd.DataFrame([(r.session_id, e_rate, n_rate, n is not None, np.asarray(n["HbO"]).shape[1] if n is not None else None, len(e["Raw"]))], columns=["session_id", "fs_eeg", "fs_nirs", "has_nirs", "n_nirs_ch", "n_samples"])
 
     sessions = found.mapInPandas(meta, "session_id string, fs_eeg double, fs_nirs double, has_nirs boolean, n_nirs_ch int, n_samples bigint")
     sessions = schemas.checked(sessions.withColumn("subject", subject_of("session_id")), schemas.SESSIONS, "sessions")
