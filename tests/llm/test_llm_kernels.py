@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wavemill.llm import decontaminate, licences, near_dedup, pieces, pretokens, quality, suffix_dedup, token_store, toxicity
+from wavemill.llm import decontaminate, licences, near_dedup, pieces, pretokens, quality, rolling, suffix_dedup, token_store, toxicity
 
 TOKENIZERS = pytest.importorskip("public_tokenizers")
 
@@ -28,6 +28,7 @@ def test_word_ids_forget(monkeypatch):
     from wavemill.llm import word_ids
 
     monkeypatch.setattr(word_ids, "MOST", 5)
+    monkeypatch.setattr(word_ids, "mix", lambda x: x % np.uint64(3))  # words share hashes: their bytes tell them apart
     w = word_ids.WordIds(lambda ws, first: word_ids.laid_out([[zlib.crc32(x.encode()) % 97, f] for x, f in zip(ws, first, strict=True)]), True)
     for k in range(4):
         ts = [f"a b{k} c d e f g{k}", "a", "", "q b a"]
@@ -103,7 +104,7 @@ def test_shingles_and_signatures():
 
 def test_phrases_cover_all_starts():
     rng = np.random.default_rng(0)
-    for n in (0, 99, 100, 101, 500):
+    for n in (0, 99, 100, 101, 500, rolling.PART + 5, 3 * rolling.PART):
         data = rng.integers(0, 4, n).astype(np.uint8)
         _, _, first, count = suffix_dedup.phrases(data)
         starts = [p for a, k in zip(first.tolist(), count.tolist(), strict=True) for p in range(a, a + k)]
@@ -172,3 +173,48 @@ def test_licences_over_lines_and_together():
     assert names("released under the MIT license or the BSD license") == {"MIT", "BSD"}
     assert names("This work is licensed under the GNU Affero General Public License, version 3") == {"AGPL-3.0"}
     assert s.text("a b\nc\n\n//\nd\n * \n\n")[0] == 2 and s.text("\n\n\nx")[0] == 1
+
+
+def thue_morse(n):
+    """Two words of n letters that agree under any polynomial modulo 2^64 with an odd base, from n = 1,024 on."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_tell_words_apart():
+    from tokenizers import Tokenizer
+
+    path = TOKENIZERS.path("byte_bpe_50k.json")
+    library, encode, walker = Tokenizer.from_file(path), pretokens.encoder(path), pieces.Pieces(pieces.default_model())
+    for n in (1024, 2048, 4096, 1 << 15):
+        a, b = thue_morse(n)
+        x, y = near_dedup.word_hashes(f"{a} {b}").tolist()
+        assert x != y and not len(np.intersect1d(near_dedup.shingles(a), near_dedup.shingles(b)))
+        text = f"x {a} {b} {a}"
+        assert encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert walker.decode(walker.encode([text])[0]) == text
+
+
+def test_range_hashes_do_not_depend_on_the_place():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 700_000).astype(np.uint8)
+    data[500_000:540_000] = data[1_000:41_000]
+    start = np.array([0, 1_000, 3_000, 20_000, 300_000, 500_000, 502_000, 519_000])
+    end = np.array([5, 41_000, 3_007, 20_100, 300_007, 540_000, 502_007, 519_100])
+    for lane in (0, 1):
+        h = rolling.range_hashes(data, start, end, lane).tolist()
+        assert h[1] == h[5] and h[2] == h[6] and h[3] == h[7] and len(set(h)) == 5
+    a, b = rng.integers(0, rolling.PRIME, (2, 1000)).astype(np.uint64)
+    a[:3], b[:3] = rolling.PRIME - 1, [rolling.PRIME - 1, 0, 1]
+    assert rolling.times(a, b).tolist() == [x * y % rolling.PRIME for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_ranks_are_a_suffix_array():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    for length in (5, 8, 20, 100):
+        r = suffix_dedup.ranks(data, length)
+        s = [data[k : k + length].tobytes() for k in range(len(data) - length + 1)]
+        order = sorted(set(s))
+        assert r.tolist() == [order.index(x) for x in s]
+    assert len(suffix_dedup.ranks(data[:9], 10)) == 0

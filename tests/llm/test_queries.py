@@ -90,6 +90,16 @@ def test_near_duplicates(docs, corpus, monkeypatch, small):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_words_with_one_polynomial(spark):
+    """Words of Thue and Morse are not taken for each other by any operator."""
+    w = {n: ["".join("ab"[(bin(k).count("1") + s) % 2] for k in range(n)) for s in (0, 1)] for n in (1024, 2048, 4096)}
+    rows = [(i, f"{w[n][s]} tail") for i, (n, s) in enumerate((n, s) for n in w for s in (0, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == brute_components(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(df, keep=False).collect()}
+    assert got == brute_removed(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     t = "one two three four five six"
     df = spark.createDataFrame([(5, t), (5, t), (None, t), (9, t), (None, None)], "doc_id long, text string")

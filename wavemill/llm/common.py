@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,15 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), a temporary folder is set for it first."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir. Where that is unset, a temporary folder serves a local master; on
+    a cluster it is an error, as executors don't see each other's disks."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="wavemill-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/wavemill-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master {master})")
+        base = "file://" + tempfile.mkdtemp(prefix="wavemill-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/wavemill-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the application's folder."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def model_path(name: str) -> str:
+    """`name` if it is a path, else the place of the public tokenizer file of that name on the machine that asks."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -73,14 +96,14 @@ def gathered(batches: Iterator, most: int = 12 << 20) -> Iterator[pa.RecordBatch
         yield pa.concat_batches(carry)
 
 
-def whole_groups(batches: Iterator, keys: list[str], least: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_groups(batches: Iterator, keys: list[str], least: int = 20_000, most: int = 12 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables that hold whole runs of equal keys of a sorted partition, each with the rows where its runs begin and end."""
     carry: list = []
     rows = size = 0
     for batch in batches:
         carry.append(batch)
         rows, size = rows + batch.num_rows, size + batch.nbytes
-        if rows < least and size < 12 << 20:
+        if rows < least and size < most:
             continue
         table = pa.Table.from_batches(carry)
         cuts = _cuts(table, keys)
@@ -109,29 +132,37 @@ def together(df: DataFrame, keys: list[str], order: list[str] | None = None) ->
     return df.repartition(*keys).sortWithinPartitions(*(order or keys))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: Shares of the links of one node that are looked at apart.
+SALTS = 32
+
+
+def _with_least(e: DataFrame) -> DataFrame:
+    """(u, v, m) of links (u, v): m is the least of u's other ends. A node with very many links is dealt out in SALTS shares,
+    each of which is summed up by itself and gets the node's minimum back."""
+    e = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    part = e.groupBy("u", "s").agg(F.min("v").alias("m"))
+    low = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
+    return e.join(low.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).select("u", "v", "m")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (u long, v long) as (id, component), component the smallest id reachable.
 
-    Alternates large-star and small-star steps. Each is a grouped minimum, which is summed up before the shuffle, and an
-    equi-join, which Spark splits when a node has very many links. The links stay on the executors and each round is
-    written to the shared folder.
+    Alternates large-star and small-star steps until nothing changes, which takes a number of rounds that grows with the
+    logarithm of the longest path. The links stay on the executors and each round is written to the shared folder.
     """
     e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        small = _with_least(large.where("u <> v").distinct())
+        small = small.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
         e = staged(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct())
         # A fixed point repeats itself: the number of links and an order-free digest of them are compared.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     out = e.groupBy("u").agg(F.min("v").alias("v"))
     return out.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, small_batches, texts
-from .rolling import Ranges, U, mix
+from .rolling import U, mix, range_hashes
 
 #: Paragraphs of the corpus that the fit takes as examples of the unknown class, at most (in expectation).
 FIT_PARAGRAPHS = 4_000
@@ -56,7 +56,7 @@ def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(0, dtype=np.uint64), start, end
-    return mix(Ranges(data).of(start, end) ^ (end - start).astype(np.uint64)), start, end
+    return range_hashes(data, start, end), start, end
 
 
 def grams(w: np.ndarray, n: int) -> np.ndarray:

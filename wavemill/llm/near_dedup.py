@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, components, small_batches, staged, texts, together, whole_groups
-from .rolling import Ranges, U, mix
+from .rolling import U, mix, range_hashes
 
 WIDTH = 5
 BANDS, ROWS = 48, 8
@@ -41,7 +41,7 @@ def word_hashes(text: str) -> np.ndarray:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    return mix(Ranges(data).of(start, end) ^ (end - start).astype(np.uint64))
+    return range_hashes(data, start, end)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:

@@ -12,13 +12,13 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, small_batches, texts
+from .common import by_bytes, model_path, small_batches, texts
 from .word_ids import WordIds, laid_out
 
 MARK = "▁"
@@ -31,7 +31,7 @@ class Pieces:
     def __init__(self, path: str, prefix: bool = True):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=model_path(path))
         self.prefix = prefix
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -122,9 +122,15 @@ class Pieces:
         return data.decode("utf-8", "surrogatepass")[1 if self.prefix else 0 :]
 
 
+@lru_cache(maxsize=2)
+def walker_of(path: str) -> Pieces:
+    """A worker keeps the walker of a model, with the words it knows, for later tasks."""
+    return Pieces(path)
+
+
 def encoded(path: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker = Pieces(path)
+        walker = walker_of(path)
         for batch in by_bytes(batches, 2 << 20):
             ts = texts(batch)
             ids = walker.encode(ts)
@@ -141,9 +147,8 @@ def encoded(path: str, keep: bool):
 
 
 def default_model() -> str:
-    import public_tokenizers
-
-    return str(Path(public_tokenizers.path("piece_bpe_32k.model")))
+    """A public model by its name: each task finds the file on its own machine."""
+    return "piece_bpe_32k.model"
 
 
 def encode(docs: DataFrame, model: str, keep: bool = True) -> DataFrame:

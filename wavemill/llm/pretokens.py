@@ -15,7 +15,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .word_ids import WordIds
+from .common import model_path
+from .word_ids import WordIds, laid_out
 
 #: White space beyond ASCII, as both the library and Unicode have it; next to a space it makes a run.
 WIDE = re.compile("[\x85\xa0  -     　]")
@@ -33,48 +34,40 @@ def has_run(text: str) -> bool:
 
 
 def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """A function from texts to their ids as uint32."""
+    """A function from texts to their ids as uint32; `path` is that of a tokenizer file, or the name of a public one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
+    library = Tokenizer.from_file(model_path(path))
     spec = json.loads(library.to_str())
     kind = spec.get("pre_tokenizer") or {}
     cut = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer")
-    added = [t["content"] for t in spec.get("added_tokens", [])]
     line = library.encode("\n", add_special_tokens=False).ids
-    white = re.compile(r"[^\S\n]|\n\n")
+    added = [t["content"] for t in spec.get("added_tokens", [])]
 
     def whole(batch: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in library.encode_batch_fast(batch, add_special_tokens=False)]
 
     def each(words: list[str], first: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Many words in one text, a line each: a line break before a character that isn't white space, or before a single
-        space, is a pre-token by itself, so its id parts the words. Words with other white space go by themselves."""
-        plain = [bool(w) and w[0] != "\n" and w[-1] != "\n" and len(line) == 1 and not white.search(w) for w in words]
+        """Many words in one text, a line each: a line break before a word or before one space and a word is a pre-token by
+        itself, so its id parts the words. Words that hold white space themselves go one by one."""
+        bare = [k for k, w in enumerate(words) if len(w.split()) == 1] if len(line) == 1 else []
         words = [w if f else " " + w for w, f in zip(words, first, strict=True)]
         place, size = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int32)
-        parts, at = [], 0
-        bare, odd = np.flatnonzero(plain), [i for i, p in enumerate(plain) if not p]
-        for start in range(0, len(bare), CALL):
-            which = bare[start : start + CALL]
-            part = [words[i] for i in which]
-            ids = np.array(library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            breaks = np.append(np.flatnonzero(ids == line[0]), len(ids))
-            last = np.cumsum([1 + w.count("\n") for w in part]) - 1  # the break that ends each word
-            if last[-1] != len(breaks) - 1:
-                odd.extend(which.tolist())
-                continue
-            end = breaks[last]
-            begin = np.concatenate([[0], end[:-1] + 1])
-            place[which], size[which] = at + begin, end - begin
-            parts.append(ids)
-            at += len(ids)
-        for i, ids in zip(odd, whole([words[i] for i in odd]), strict=True):
-            place[i], size[i] = at, len(ids)
-            parts.append(ids)
-            at += len(ids)
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), place, size
+        parts, at, done = [], 0, np.zeros(len(words), dtype=bool)
+        for k in range(0, len(bare), CALL):
+            which = bare[k : k + CALL]
+            ids = np.array(library.encode_batch_fast(["\n".join([words[i] for i in which])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            end = np.append(np.flatnonzero(ids == line[0]), len(ids))
+            if len(end) == len(which):
+                begin = np.append(0, end[:-1] + 1)
+                place[which], size[which], done[which] = at + begin, end - begin, True
+                parts.append(ids)
+                at += len(ids)
+        odd = np.flatnonzero(~done)
+        flat, spot, n = laid_out([e.ids for e in library.encode_batch_fast([words[i] for i in odd.tolist()], add_special_tokens=False)])
+        place[odd], size[odd] = at + spot, n
+        return np.concatenate([*parts, flat]), place, size
 
     known = WordIds(each, by_place=True)
 

@@ -1,14 +1,16 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
 Triggers are the smallest rolling hashes of 32-byte grams among the grams of a 100-byte string. They cut a text into phrases:
-a phrase holds all 100-byte strings that have the same trigger, with the bytes that complete them, so that phrases overlap
-and none is a prefix of another with the same trigger. Where a string lies depends on its own bytes only; equal strings are
-always at the same offset from equal triggers.
-
-The dictionary has each distinct phrase once, with its first place in corpus order; the parse is the places of phrases. A
-phrase seen before is removed whole. Suffixes have to be told apart only for dictionary phrases whose trigger occurs in other
-phrases too: per trigger their suffixes are sorted by a 64-bit digest of the 100-byte head (only equality of heads matters
-here, so the order among unlike heads is left open) and then in corpus order; all but the first of a head are removed.
+a phrase holds all 100-byte strings that have the same trigger, with the bytes that complete them, so that phrases overlap by
+99 bytes and none is a proper prefix of another with the same trigger at the same offset. Where a string lies depends on its own
+bytes only: equal strings are always at the same offset from equal triggers.
+
+The dictionary has each distinct phrase once, with its first place in corpus order; the parse is the places of phrases, in corpus
+order. One pass over the parse, sorted by phrase, gives the dictionary and removes phrases that came before. Dictionary phrases
+whose trigger occurs in others too can share strings: their bytes are fetched once, and a suffix array over them (ranks of 8, 16,
+32, 64 and 100 bytes by doubling) puts equal strings together; the parse orders those by their places in the corpus, and all but
+the first go. As phrases overlap, no suffix has to be continued into the next phrase. Bytes decide which strings are equal; a
+whole phrase is known by two 61-bit hashes at fixed points of a prime field, besides its trigger, offset and length.
 """
 
 from __future__ import annotations
@@ -22,32 +24,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, gathered, small_batches, staged, together, whole_groups
-from .rolling import Ranges, U, mix, sliding_min
+from .rolling import PART, Grams, Ranges, U, mix, range_hashes, sliding_min
 
 LENGTH = 100
 GRAM = 32
 #: Phrases of one trigger that a task may hold.
-HOT = 50_000
-_PLACE = (1 << 28) - 1  # a text may have 256 MB
+HOT = 10_000
+#: Phrases that a task remembers, to leave out repeats before the shuffle; and bytes of phrases sorted at once.
+KNOWN, SORTED_BYTES = 2_000_000, 1 << 21
+_PLACE = (1 << 20) - 1
 
 
 def phrases(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(trigger hash, phrase hash, first start, number of starts) of each phrase of one text."""
-    if len(data) < length:
+    """(trigger hash, phrase hash, first start, number of starts) of each phrase of one text, in stretches of PART bytes.
+
+    A phrase that a stretch's end cuts in two is two phrases; each start is in one, under the same trigger as anywhere else.
+    """
+    parts: list[tuple] = []
+    for at in range(0, len(data) - length + 1, PART - 2 * length):
+        part = data[at : at + PART - length - 1]
+        grams = Grams(part).every(gram)
+        place = np.arange(len(grams), dtype=np.uint64)
+        least = sliding_min((grams & ~U(_PLACE)) | place, length - gram + 1)
+        owner = (least & U(_PLACE)).astype(np.int64)[: PART - 2 * length]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        count = np.diff(np.append(first, len(owner)))
+        trigger, end = owner[first], first + count - 1 + length
+        whole = [Ranges(part, lane).of(first, end) for lane in (0, 1)]
+        d = mix(whole[0] ^ mix(whole[1] + (trigger - first).astype(np.uint64)))
+        parts.append((grams[trigger], d, first + at, count))
+    if not parts:
         none = np.zeros(0, dtype=np.uint64)
         return none, none, none.astype(np.int64), none.astype(np.int64)
-    ranges = Ranges(data)
-    grams = ranges.every(gram)
-    if len(grams) > _PLACE:
-        raise ValueError("a text is longer than 256 MB")
-    place = np.arange(len(grams), dtype=np.uint64)
-    least = sliding_min((grams & ~U(_PLACE)) | place, length - gram + 1)
-    owner = (least & U(_PLACE)).astype(np.int64)
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    count = np.diff(np.append(first, len(owner)))
-    trigger = owner[first]
-    whole = ranges.of(first, first + count - 1 + length)
-    return grams[trigger], mix(whole ^ ((trigger - first).astype(np.uint64) * U(0x9E3779B97F4A7C15)) + count.astype(np.uint64)), first, count
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _bytes(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
@@ -55,106 +64,206 @@ def _bytes(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
         yield np.frombuffer((t or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before in any column."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+class Known:
+    """Phrases met by a task with their earliest places. It only saves rows: what is forgotten meets again after the shuffle."""
+
+    def __init__(self):
+        self.key, self.doc, self.lo = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def later(self, key: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Whether a phrase was met at an earlier place, for distinct keys in ascending order."""
+        if len(self.key) > KNOWN:
+            self.__init__()
+        spot = np.searchsorted(self.key, key)
+        at = np.minimum(spot, max(0, len(self.key) - 1))
+        met = self.key[at] == key if len(self.key) else np.zeros(len(key), dtype=bool)
+        out = np.zeros(len(key), dtype=bool)
+        out[met] = (self.doc[at[met]] < doc[met]) | ((self.doc[at[met]] == doc[met]) & (self.lo[at[met]] < lo[met]))
+        lead = met & ~out  # earlier than what was known
+        self.doc[at[lead]], self.lo[at[lead]] = doc[lead], lo[lead]
+        new = ~met
+        self.key, self.doc, self.lo = (np.insert(a, spot[new], b[new]) for a, b in ((self.key, key), (self.doc, doc), (self.lo, lo)))
+        return out
 
 
-def parsed(batch: pa.RecordBatch, length: int, gram: int):
-    """Phrases of a batch sorted by (trigger, phrase, doc_id, start), and whether each is the first of its kind here."""
-    parts, docs = [], []
-    for doc, data in zip(batch.column(0).to_pylist(), _bytes(batch), strict=True):
-        p = phrases(data, length, gram)
-        parts.append(p)
-        docs.append(np.full(len(p[0]), doc, dtype=np.int64))
-    if not parts:
-        return None
-    t, d, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    doc = np.concatenate(docs)
-    order = np.lexsort((lo, doc, d, t))
-    t, d, lo, n, doc = (x[order] for x in (t, d, lo, n, doc))
-    first = np.ones(len(t), dtype=bool)
-    first[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-    return t, d, doc, lo, n, first
+def _runs(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of starts joined where one ends at the next, per document."""
+    order = np.lexsort((lo, doc))
+    doc, lo, n = doc[order], lo[order], n[order]
+    cut = np.ones(len(doc), dtype=bool)
+    cut[1:] = (doc[1:] != doc[:-1]) | (lo[:-1] + n[:-1] != lo[1:])
+    first = np.flatnonzero(cut)
+    return doc[first], lo[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def trigger_counts(length: int, gram: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
-            if (p := parsed(batch, length, gram)) is not None:
-                t, c = np.unique(p[0][p[5]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(t), pa.array(np.minimum(c, 2), pa.int32())], ["t", "c"])
+_ROWS = "t long, d long, doc_id long, lo long, n long, gone boolean"
 
-    return run
+
+def _rows(t, d, doc, lo, n, gone: bool) -> pa.RecordBatch:
+    cols = [pa.array(np.asarray(x).view(np.int64), pa.int64()) for x in (t, d, doc, lo, n)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(lo), gone))], ["t", "d", "doc_id", "lo", "n", "gone"])
 
 
 def phrase_rows(length: int, gram: int) -> Callable:
-    """t, d, doc_id, lo, n; repeats within a batch have a null t: they are removed whatever else there is."""
+    """The parse: t, d, doc_id, lo, n of phrases. Those that certainly came before, by what the task has met, are runs that are
+    gone, dealt out by document; so a phrase that is everywhere leaves a task a few times only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in gathered(batches):
-            if (p := parsed(batch, length, gram)) is not None:
-                t, d, doc, lo, n, first = p
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64), pa.int64(), mask=~first), _signed(d), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["t", "d", "doc_id", "lo", "n"])
+            parts, docs = [], []
+            for doc, data in zip(batch.column(0).to_pylist(), _bytes(batch), strict=True):
+                p = phrases(data, length, gram)
+                parts.append(p)
+                docs.append(np.full(len(p[0]), doc, dtype=np.int64))
+            if not parts:
+                continue
+            t, d, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, key = np.concatenate(docs), mix(t ^ mix(d))
+            order = np.lexsort((lo, doc, key))
+            t, d, lo, n, doc, key = (x[order] for x in (t, d, lo, n, doc, key))
+            gone = ~_changes(key)
+            first = np.flatnonzero(~gone)
+            gone[first] = known.later(key[first], doc[first], lo[first])
+            yield _rows(*(x[~gone] for x in (t, d, doc, lo, n)), False)
+            if gone.any():
+                run_doc, run_lo, run_n = _runs(doc[gone], lo[gone], n[gone])
+                yield _rows(mix(run_doc.view(np.uint64)), np.zeros(len(run_doc), dtype=np.int64), run_doc, run_lo, run_n, True)
 
     return run
 
 
-_PACKED = pa.schema([("t", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("heads", pa.binary())])
-
-
-def packed_heads(length: int) -> Callable:
-    """t, doc_id, lo, heads: a digest of the head of each suffix that starts in the listed phrases of a text."""
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the parse sorted by (t, d, doc_id, lo): all but the first place of a phrase are gone; first places come back, as
+    dictionary phrases, where their trigger has other phrases. A row at a time has to be kept, whatever the group's size."""
+    last: tuple | None = None  # the phrase that a batch ended with, as (t, d, doc_id, lo, n), and if its trigger had others before
+    had = False
+    for batch in batches:
+        t, d, doc, lo, n = (batch.column(k).to_numpy() for k in range(5))
+        gone = batch.column(5).to_numpy(zero_copy_only=False)
+        if gone.any():
+            yield _rows(t[gone], d[gone], doc[gone], lo[gone], n[gone], True)
+        t, d, doc, lo, n = (x[~gone] for x in (t, d, doc, lo, n))
+        if not len(t):
+            continue
+        new = _changes(t, d)
+        if last is not None and (last[0], last[1]) == (t[0], d[0]):
+            new[0] = False
+        if not new.all():
+            yield _rows(*(x[~new] for x in (t, d, doc, lo, n)), True)
+        lead = [x[new] for x in (t, d, doc, lo, n)]
+        if last is not None:
+            lead = [np.append(np.array([v], dtype=np.int64), x) for v, x in zip(last, lead, strict=True)]
+        if not len(lead[0]):
+            continue
+        same = lead[0][1:] == lead[0][:-1]
+        shared = np.append(had if last is not None else False, same)
+        shared[:-1] |= same
+        out = shared[:-1]
+        if out.any():
+            yield _rows(*(x[:-1][out] for x in lead), False)
+        last, had = tuple(int(x[-1]) for x in lead), bool(shared[-1])
+    if last is not None and had:
+        yield _rows(*([np.array([v], dtype=np.int64) for v in last]), False)
+
+
+_PHRASES = pa.schema([("t", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("phrase", pa.binary())])
+
+
+def with_bytes(length: int) -> Callable:
+    """t, doc_id, lo, n, phrase: the bytes of the listed phrases of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2 << 20):
-            out: list[tuple] = []
-            for doc, data, at in zip(batch.column(0).to_pylist(), _bytes(batch), batch.column(2).to_pylist(), strict=True):
-                h = Ranges(data, 1).every(length)
-                out.extend((x["t"], doc, x["lo"], h[x["lo"] : x["lo"] + x["n"]].tobytes()) for x in at)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED)
+            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                for k in range(0, len(at), 20_000):
+                    rows = [(x["t"], doc, x["lo"], x["n"], data[x["lo"] : x["lo"] + x["n"] + length - 1]) for x in at[k : k + 20_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PHRASES, strict=True)], schema=_PHRASES)
 
     return run
 
 
-def _unpacked(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, head, doc_id and start of each suffix."""
-    blobs = table.column("heads").to_pylist()
-    n = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+def ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """For each place with `length` bytes from it on, the rank of those bytes among all such: the suffix array, up to `length`.
+
+    Eight bytes are a number. From ranks of w bytes come those of up to 2 w, by the pair of ranks at a place and further on.
+    """
+    w = min(8, length)
+    m = len(data) - w + 1
+    if m <= 0 or len(data) < length:
+        return np.zeros(0, dtype=np.int64)
+    word = np.zeros(m, dtype=np.uint64)
+    for k in range(w):
+        word = (word << U(8)) | data[k : k + m]
+    while True:
+        order = np.argsort(word)
+        step = np.append(0, np.cumsum(word[order[1:]] != word[order[:-1]]))
+        rank = np.empty(len(word), dtype=np.int64)
+        rank[order] = step
+        if w == length:
+            return rank
+        more = min(w, length - w)
+        word = (rank[: len(rank) - more].astype(np.uint64) << U(32)) | rank[more:].astype(np.uint64)
+        w += more
+
+
+def _places(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
+    """Row, rank, doc_id and start of each suffix of the dictionary phrases of a table."""
+    blob = np.frombuffer(b"".join(table.column("phrase").to_pylist()), dtype=np.uint8)
+    n, doc, lo = (table.column(c).to_numpy() for c in ("n", "doc_id", "lo"))
+    size = n + length - 1
+    begin = np.cumsum(size) - size
     row = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return row, np.frombuffer(b"".join(blobs), dtype=np.uint64), table.column("doc_id").to_numpy()[row], table.column("lo").to_numpy()[row] + inside
+    return row, ranks(blob, length)[begin[row] + inside], doc[row], lo[row] + inside
 
 
-def _runs(doc: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    """doc_id, lo, n of runs of starts sorted by document and place."""
-    cut = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(p, prepend=-9) != 1)) if len(p) else np.zeros(0, dtype=np.int64)
-    n = np.diff(np.append(cut, len(p)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[cut], pa.int64()), pa.array(p[cut].astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "lo", "n"])
+def _starts(doc: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    doc, lo, n = _runs(doc, p, np.ones(len(p), dtype=np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "lo", "n"])
 
 
-def later_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of suffixes whose head an earlier one of the same trigger has; rows sorted by (t, doc_id, lo)."""
-    for table, cuts in whole_groups(batches, ["t"]):
-        row, h, doc, p = _unpacked(table)
-        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint64)[row]
-        key = mix(h + group * U(0x9E3779B97F4A7C15))
-        order = np.argsort(key, kind="stable")  # corpus order within a head
-        later = np.zeros(len(key), dtype=bool)
-        later[order[1:]] = key[order[1:]] == key[order[:-1]]
-        yield _runs(doc[later], p[later])
+def later_suffixes(length: int) -> Callable:
+    """Runs of starts whose string an earlier one of the same trigger has; rows sorted by (t, doc_id, lo), whole triggers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, ["t"], most=SORTED_BYTES):
+            row, rank, doc, p = _places(table, length)
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[row]
+            order = np.lexsort((p, doc, rank, group))
+            later = np.ones(len(order), dtype=bool)
+            later[order[_changes(group[order], rank[order])]] = False
+            yield _starts(doc[later], p[later])
+
+    return run
 
-def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t, h, doc_id, p for each suffix of the packed rows; repeats within a batch have a null h."""
-    for batch in gathered(batches, 4 << 20):
-        row, h, doc, p = _unpacked(batch)
-        t = batch.column(0).to_numpy()[row]
-        order = np.lexsort((p, doc, h, t))
-        t, h, doc, p = t[order], h[order], doc[order], p[order]
-        first = np.ones(len(t), dtype=bool)
-        first[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(h.view(np.int64), pa.int64(), mask=~first), pa.array(doc), pa.array(p.astype(np.int32))], ["t", "h", "doc_id", "p"])
+
+def suffix_rows(length: int) -> Callable:
+    """t, h, g, doc_id, p for each suffix of the phrases, h and g hashes of its string; repeats within a batch have a null h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, SORTED_BYTES):
+            table = pa.Table.from_batches([batch])
+            row, rank, doc, p = _places(table, length)
+            t = table.column("t").to_numpy()[row]
+            blob = np.frombuffer(b"".join(table.column("phrase").to_pylist()), dtype=np.uint8)
+            order = np.lexsort((p, doc, rank, t))
+            first = np.zeros(len(order), dtype=bool)
+            first[order[_changes(t[order], rank[order])]] = True
+            size = table.column("n").to_numpy() + length - 1
+            start = (np.cumsum(size) - size)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
+            h, g = (range_hashes(blob, start, start + length, lane) for lane in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(h.view(np.int64), pa.int64(), mask=~first), pa.array(g.view(np.int64)), pa.array(doc), pa.array(p)], ["t", "h", "g", "doc_id", "p"])
+
+    return run
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -184,36 +293,30 @@ def cutter(length: int, keep: bool) -> Callable:
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, lo, n: runs of starts in `docs` (doc_id unique and not null, text) whose strings also start earlier."""
-    counts = docs.mapInArrow(trigger_counts(length, gram), "t long, c int")
-    shared = counts.groupBy("t").agg(F.sum("c").alias("c")).where("c > 1").select("t")
-    rows = docs.mapInArrow(phrase_rows(length, gram), "t long, d long, doc_id long, lo int, n int")
-    # Inside a batch a repeat is certain (null t); the others count if their trigger has other phrases or places.
-    local = staged(rows.where("t is null").select("doc_id", "lo", "n"))
-    places = staged(rows.where("t is not null").join(shared.hint("shuffle_hash"), "t", "left_semi"))
-    at = F.struct("doc_id", "lo")
-    book = staged(places.groupBy("t", "d").agg(F.min(F.struct("doc_id", "lo", "n")).alias("first"), F.count("*").alias("times")))
-    known = book.where("times > 1").select("t", "d", F.struct("first.doc_id", "first.lo").alias("first"))
-    again = staged(places.join(known, ["t", "d"]).where(at != F.col("first")).select("doc_id", "lo", "n"))
-    unlike = book.groupBy("t").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b").select("t")
-    unlike = staged(book.join(unlike, "t", "left_semi").select("t", "first.*"))
+    parse = together(docs.mapInArrow(phrase_rows(length, gram), _ROWS), ["t"], ["t", "d", "doc_id", "lo"])
+    rows = staged(parse.mapInArrow(settled, _ROWS))
+    out = rows.where("gone").select("doc_id", "lo", "n")
+    book = rows.where("not gone").select("t", "doc_id", "lo", "n")
     # A trigger with few phrases is settled in one task. One with very many goes out suffix by suffix.
-    hot = staged(unlike.groupBy("t").agg(F.count("*").alias("phrases")).where(F.col("phrases") > HOT).select("t"))
-    few = together(_packed(docs, unlike.join(hot, "t", "left_anti"), length), ["t"], ["t", "doc_id", "lo"])
-    out = local.union(again).union(staged(few.mapInArrow(later_suffixes, "doc_id long, lo int, n int")))
-    if not hot.limit(1).count():
+    hot = staged(book.groupBy("t").agg(F.count("*").alias("phrases")).where(F.col("phrases") > HOT).select("t"))
+    some = hot.limit(1).count() > 0
+    few = _fetched(docs, book.join(hot, "t", "left_anti") if some else book, length)
+    few = together(few, ["t"], ["t", "doc_id", "lo"])
+    out = out.union(staged(few.mapInArrow(later_suffixes(length), "doc_id long, lo long, n long")))
+    if not some:
         return out
-    rows = staged(_packed(docs, unlike.join(hot, "t", "left_semi"), length).mapInArrow(suffix_rows, "t long, h long, doc_id long, p int"))
+    rows = staged(_fetched(docs, book.join(hot, "t", "left_semi"), length).mapInArrow(suffix_rows(length), "t long, h long, g long, doc_id long, p long"))
     place = F.struct("doc_id", "p")
     ranked = rows.where("h is not null")
-    lead = ranked.groupBy("t", "h").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    many = ranked.join(lead, ["t", "h"]).where(place != F.col("first")).select("doc_id", "p").union(rows.where("h is null").select("doc_id", "p"))
-    return out.union(many.select("doc_id", F.col("p").alias("lo"), F.lit(1).alias("n")))
+    lead = ranked.groupBy("t", "h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    many = ranked.join(lead, ["t", "h", "g"]).where(place != F.col("first")).select("doc_id", "p").union(rows.where("h is null").select("doc_id", "p"))
+    return out.union(many.select("doc_id", F.col("p").alias("lo"), F.lit(1).cast("long").alias("n")))
 
 
-def _packed(docs: DataFrame, open_phrases: DataFrame, length: int) -> DataFrame:
-    """The heads of the suffixes of phrases, from the texts at their first places."""
-    per_doc = open_phrases.groupBy("doc_id").agg(F.collect_list(F.struct("t", "lo", "n")).alias("at"))
-    return docs.join(per_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(packed_heads(length), "t long, doc_id long, lo int, heads binary")
+def _fetched(docs: DataFrame, book: DataFrame, length: int) -> DataFrame:
+    """Dictionary phrases with their bytes, from the texts at their first places."""
+    per_doc = book.groupBy("doc_id").agg(F.collect_list(F.struct("t", "lo", "n")).alias("at"))
+    return docs.join(per_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(with_bytes(length), "t long, doc_id long, lo long, n long, phrase binary")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -222,8 +325,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     odd = plain.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
         return plain, None
-    ranked = plain.sort(F.col("doc_id").asc_nulls_first(), "text").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-    ranked = staged(docs.sparkSession.createDataFrame(ranked, "n long, doc_id long, text string"))
+    # Ranges of the sort follow each other, so the ids that Spark gives rows ascend with the order.
+    ranked = staged(plain.sort(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).withColumn("n", F.monotonically_increasing_id()))
     return ranked.select(F.col("n").alias("doc_id"), "text"), ranked.select("n", "doc_id")
 
 
@@ -232,7 +335,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
 
     Each byte goes that a string of `length` bytes covers which also starts earlier (smaller doc_id, or earlier in the same
     document). Null text is empty. Rows that repeat a doc_id, or have none, count as separate documents, nulls first and
-    then by text. Texts shorter than `length` stay; other columns are ignored. `gram` is below `length`.
+    then by text. Texts shorter than `length` stay; other columns are ignored. `gram` is below `length`, `length` at least 8.
     """
     small_batches(docs.sparkSession)
     plain, back = numbered(docs)

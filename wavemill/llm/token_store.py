@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -274,6 +273,5 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return str(Path(public_tokenizers.path("byte_bpe_50k.json")))
+    """A public tokenizer by its name: each task finds the file on its own machine."""
+    return "byte_bpe_50k.json"
