@@ -7,6 +7,7 @@ word ranges, whose byte offsets in the original text come from the same pass.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, small_batches, texts
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton. A larger benchmark is scanned in as many blocks as that takes.
+#: Bytes of benchmark text in one automaton, which takes some hundred times that. A larger benchmark is several of them.
 AUTOMATON_BYTES = 4_000_000
 _FOLD = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -82,28 +83,30 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(start[a]), int(end[b - 1])) for a, b in ranges]
 
 
-_SCHEMA = "doc_id long, n_words long, hits array<struct<a:int,b:int>>, spans array<struct<a:long,b:long>>, items array<string>"
+_SCHEMA = "doc_id long, key binary, n_words long, hits array<struct<a:int,b:int>>, spans array<struct<a:long,b:long>>, items array<string>"
 
 
-def scanner(items: list[tuple], width: int):
+def scanner(items: list[tuple], width: int, keyed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(items, width)
         pair, wide = pa.struct([("a", pa.int32()), ("b", pa.int32())]), pa.struct([("a", pa.int64()), ("b", pa.int64())])
         for batch in by_bytes(batches):
-            n, hits, spans, found = [], [], [], []
+            n, hits, spans, found, keys = [], [], [], [], []
             for t in texts(batch):
                 k, r, own = scan(t, machine)
                 n.append(k)
                 hits.append([{"a": a, "b": b} for a, b in r])
                 spans.append([{"a": a, "b": b} for a, b in original_spans(t, r)] if r else [])
                 found.append(sorted(map(str, own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pair)), pa.array(spans, pa.list_(wide)), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "spans", "items"])
+                keys.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if keyed else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pair)), pa.array(spans, pa.list_(wide)), pa.array(found, pa.list_(pa.string()))], ["doc_id", "key", "n_words", "hits", "spans", "items"])
 
     return run
 
 
 def blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
-    """The benchmark in blocks whose text is below `most` bytes on average, by a hash of the item."""
+    """The benchmark in blocks whose text is below `most` bytes on average, by a hash of the item: the bound of an automaton and
+    of what goes to the tasks at once."""
     rows = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // most) + 1
@@ -111,20 +114,24 @@ def blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, hits (word ranges), spans (byte ranges in the original), items.
+    """Per row of `docs`: doc_id, n_words, hits (word ranges), spans (byte ranges in the original), items.
 
-    Each row of `docs` gives a row for each benchmark block, one if the benchmark is below `most` bytes. Null text has no
-    words; an empty benchmark hits nothing; items with null text or id are skipped; repeated items count once.
+    Null text has no words; an empty benchmark hits nothing; items with null text or id are skipped; repeated items count once.
+    Rows may repeat a doc_id or have none. Where the benchmark takes several automata, what they find in a text is brought
+    together by (doc_id, digest of the text); a pair comes out as often as it is in `docs`, since equal rows have equal hits.
     """
     small_batches(docs.sparkSession)
-    parts = [docs.select("doc_id", "text").mapInArrow(scanner([tuple(r) for r in b.collect()], width), _SCHEMA) for b in blocks(benchmark, most)]
-    out = parts[0]
-    for p in parts[1:]:
+    parts = blocks(benchmark, most)
+    found = [docs.select("doc_id", "text").mapInArrow(scanner([tuple(r) for r in b.collect()], width, len(parts) > 1), _SCHEMA) for b in parts]
+    out = found[0]
+    for p in found[1:]:
         out = out.union(p)
     if len(parts) > 1:
-        merged = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        out = merged.withColumn("hits", F.array_sort("hits"))
-    return out
+        some = F.size("hits") > 0
+        both = lambda c: F.flatten(F.collect_list(F.when(some, F.col(c))))
+        out = out.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(both("hits")).alias("hits"), F.array_sort(both("spans")).alias("spans"), F.array_distinct(both("items")).alias("items"), F.count("*").alias("n"))
+        out = out.withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))))
+    return out.select("doc_id", "n_words", "hits", "spans", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
