@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, licences, near_dedup, pieces, quality, suffix_dedup, surrogates, token_store, toxicity
-from .common import shared_dir, table
+from .common import shared_dir, surrogate_key, table
 from .oracles import ORACLES
 
 
@@ -41,7 +41,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replaced(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_types")
+    return surrogates.replaced(table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "text", "n_entities", "entity_types")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
