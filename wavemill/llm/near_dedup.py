@@ -4,7 +4,11 @@ Documents become sets of 5-word shingles. One representative stands for equal se
 bands; representatives that share a band are candidates. Inside a band bucket signatures are compared batch by batch, and a
 pair goes as soon as the posterior probability of reaching the threshold falls under the chosen miss probability. What
 survives links buckets into canopies, whose sets are compared exactly. No pairs are emitted: every task returns a spanning
-forest of what it has linked, and buckets or canopies beyond a size are dealt out as pairs of bounded blocks.
+forest of what it has linked.
+
+A bucket or canopy beyond a size is dealt out in blocks, each of which also gets the group's leaders. Rows that this links to the
+group's main tree need not meet each other; only the rest is compared with all blocks. So a large group of near copies costs its
+rows times the block size, and what stays quadratic is the number of rows that belong to a group and yet not to its main tree.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_bytes, components, small_batches, staged, texts, together, whole_groups
 from .rolling import U, mix, range_hashes
@@ -25,6 +30,8 @@ BANDS, ROWS = 48, 8
 HASHES = BANDS * ROWS
 BATCH = 48
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Rows of a large group that all its blocks get.
+LEADERS = 8
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,17 +70,29 @@ def signature(s: np.ndarray) -> bytes:
     return (mix(low) >> U(56)).astype(np.uint8).tobytes()
 
 
+def set_key(s: np.ndarray) -> bytes | None:
+    """What equal sets share: two sums over their hashes and their size."""
+    return np.array([s.sum(), mix(s).sum()], dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little") if len(s) else None
+
+
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches):
         n, keys, sigs = [], [], []
         for text in texts(batch):
             s = shingles(text)
             n.append(len(s))
-            keys.append((np.array([s.sum(), mix(s).sum()], dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little")) if len(s) else None)
+            keys.append(set_key(s))
             sigs.append(signature(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
 
+def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of texts: eight bytes a shingle."""
+    for batch in by_bytes(batches, 2 << 20):
+        sets = [shingles(t) for t in texts(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "shingles"])
+
+
 def least_matches(threshold: float, miss: float) -> list[int]:
     """For each number of batches, the fewest matches that keep a pair.
 
@@ -147,33 +166,39 @@ def _edges(ids: np.ndarray, links: list) -> pa.RecordBatch:
 
 
 def tiles(table: pa.Table, start: int, end: int, sig: np.ndarray, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Surviving row pairs of one group: those of its block i with those of its block j."""
-    i, j = table.column("i")[start].as_py(), table.column("j")[start].as_py()
-    block = _rows(table.slice(start, end - start), "block")
-    x, y = start + np.flatnonzero(block == i), start + np.flatnonzero(block == j)
+    """Surviving row pairs of one group: of all its rows, or of the rest (side 0) with the others where it has two sides."""
+    side = _rows(table.slice(start, end - start), "side")
+    one = bool(len(side)) and (side == side[0]).all()
+    x, y = (np.arange(start, end),) * 2 if one else (start + np.flatnonzero(side == 0), start + np.flatnonzero(side == 1))
+    if one and side[0] == 1:
+        return
     for at in range(0, len(x), 256):
-        for to in range(at if i == j else 0, len(y), 1024):
+        for to in range(at if one else 0, len(y), 1024):
             a, b = survivors(sig[x[at : at + 256]], sig[y[to : to + 1024]], least)
             yield x[at + a], y[to + b]
 
 
+GROUP = ["group", "i", "j"]
+
+
 def link_buckets(least: list[int]):
     small = 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_groups(batches, ["bucket", "i", "j"]):
+        for table, cuts in whole_groups(batches, GROUP):
             ids, sig, forest = _rows(table, "id"), _sigs(table), Forest(table.num_rows)
             size = np.diff(cuts)
+            tiny = size <= small  # the pairs of all small groups at once
             left = np.repeat(cuts[1:], size) - np.arange(table.num_rows)
-            left[np.repeat(size > small, size)] = 0
-            for step in range(1, small):  # the pairs of all small buckets at once
+            left[np.repeat(~tiny, size)] = 0
+            for step in range(1, small):
                 p = np.flatnonzero(left > step)
                 for k, m in enumerate(least):
                     cut = slice(0, (k + 1) * BATCH)
                     p = p[(sig[p, cut] == sig[p + step, cut]).sum(axis=1) >= m]
                 for x in p.tolist():
                     forest.link(x, x + step)
-            for g in np.flatnonzero(size > small):
+            for g in np.flatnonzero(~tiny):
                 for x, y in tiles(table, cuts[g], cuts[g + 1], sig, least):
                     for p, q in zip(x.tolist(), y.tolist(), strict=True):
                         forest.link(p, q)
@@ -184,9 +209,9 @@ def link_buckets(least: list[int]):
 
 def link_canopies(least: list[int], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_groups(batches, ["component", "i", "j"]):
+        for table, cuts in whole_groups(batches, GROUP):
             ids, sig, forest = _rows(table, "id"), _sigs(table), Forest(table.num_rows)
-            sets = [shingles(t or "") for t in table.column("text").to_pylist()]
+            sets = [np.frombuffer(b, dtype=np.uint64) for b in table.column("shingles").to_pylist()]
             for g in range(len(cuts) - 1):
                 for x, y in tiles(table, cuts[g], cuts[g + 1], sig, least):
                     for p, q in zip(x.tolist(), y.tolist(), strict=True):
@@ -201,48 +226,71 @@ def link_canopies(least: list[int], percent: int):
     return run
 
 
-def dealt(df: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Adds block, i and j: groups of `blocks` > 1 go out as all pairs (i, j) of their blocks, with the rows of both."""
-    out = df.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
-    return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+def linked(members: DataFrame, payload: DataFrame, linker) -> DataFrame:
+    """Forest links (u, v) of groups: `members` has group, id and blocks, `payload` what `linker` needs of an id."""
+    where = lambda b: F.pmod(F.xxhash64("id"), b).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return together(rows.join(payload, "id"), GROUP, [*GROUP, "side", "id"]).mapInArrow(linker, "u long, v long")
+
+    one, none = F.lit(0), F.lit(0).alias("side")
+    rows = members.select("group", "id", where(F.col("blocks")).alias("i"), one.alias("j"), none)
+    large = staged(members.where("blocks > 1"))
+    if not large.limit(1).count():
+        return compared(rows)
+    first = large.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy("id"))).where(F.col("r") <= LEADERS)
+    lead = first.select("group", "id", each("blocks").alias("i"), one.alias("j"), none)
+    links = staged(compared(rows.unionByName(lead)))
+    tree = components(links)
+    top = F.coalesce("component", "id").alias("top")
+    main = first.where("r = 1").join(tree, "id", "left").select("group", top.alias("main"))
+    rest = large.join(tree, "id", "left").select("group", "id", top).join(main, "group").where("top <> main").select("group", "id")
+    rest = staged(rest)
+    turns = rest.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("turns"))
+    sizes = large.select("group", "blocks").distinct().join(turns, "group")
+    left = rest.join(sizes, "group").select("group", "id", where(F.col("turns")).alias("i"), each("blocks").alias("j"), none)
+    right = large.select("group", "id").join(sizes, "group").select("group", "id", each("turns").alias("i"), where(F.col("blocks")).alias("j"), F.lit(1).alias("side"))
+    return links.unionByName(compared(left.unionByName(right)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of `docs` (doc_id, text, ...).
 
-    Links pairs of sets with 100 * intersection >= percent * union. Null or blank texts have no shingles and stand alone;
-    equal sets share a component; rows that repeat a doc_id are one node (each row returns); a null doc_id stands alone
-    with a null component and is kept. Other columns are ignored. `miss` is the chance at each batch to lose a pair.
+    Links pairs of sets with 100 * intersection >= percent * union. Null or blank texts have no shingles and stand alone; equal
+    sets share a component, whose id is its smallest doc_id. Rows that repeat a doc_id count each by its own text. A null doc_id
+    stands alone with a null component and is kept. Other columns are ignored. `miss` is the chance at each batch to lose a
+    pair. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     least = least_matches(percent / 100, miss)
     plain = docs.select("doc_id", "text")
     sets = staged(plain.mapInArrow(sketched, "doc_id long, n_shingles long, set_key binary, sig binary"))
     known = sets.where("set_key is not null and doc_id is not null")
-    same = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
+    same = known.groupBy("set_key").agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    same = staged(same.withColumn("id", F.monotonically_increasing_id()))
     keys = F.explode(F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(sig, {b * ROWS + 1}, {ROWS})")) for b in range(BANDS)]))
-    bands = same.select(keys.alias("bucket"), "id")
-    counts = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    counts = counts.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
-    shared = dealt(bands, "bucket", counts).join(same.select("id", "sig"), "id")
-    shared = together(shared.select("bucket", "i", "j", "block", "id", "sig"), ["bucket", "i", "j"])
-    forest = shared.mapInArrow(link_buckets(least), "u long, v long")
-    canopies = staged(components(forest))
-    wide = canopies.join(same.select("id", "n"), "id").groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    wide = wide.select("component", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks"))
-    members = dealt(canopies, "component", wide).join(same.select("id", "sig"), "id")
-    source = plain.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(canopies.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    members = members.join(source, "id").select("component", "i", "j", "block", "id", "sig", "text")
-    links = together(members, ["component", "i", "j"]).mapInArrow(link_canopies(least, percent), "u long, v long")
-    found = components(links)
-    rep = same.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("root"))
+    bands = same.select(keys.alias("group"), "id")
+    counts = bands.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    counts = counts.select("group", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+    forest = linked(bands.join(counts, "group"), same.select("id", "sig"), link_buckets(least))
+    canopies = staged(components(forest).withColumnRenamed("component", "group"))
+    facts = same.join(canopies, "id")
+    wide = facts.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    wide = wide.select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks"))
+    source = plain.join(facts.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    source = source.mapInArrow(whole_sets, "set_key binary, shingles binary").dropDuplicates(["set_key"])
+    payload = staged(facts.join(source, "set_key").select("id", "sig", "shingles"))
+    links = linked(canopies.join(wide, "group"), payload, link_canopies(least, percent))
+    tree = same.select("id", "set_key", "low").join(components(links), "id")
+    roots = tree.join(tree.groupBy("component").agg(F.min("low").alias("root")), "component").select("set_key", "root")
+    rep = same.select("set_key", "low").join(roots, "set_key", "left").select("set_key", F.coalesce("root", "low").alias("root"))
     out = sets.drop("sig").join(rep, "set_key", "left")
-    group = F.coalesce("root", "doc_id")
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
-    """The rows of `docs` whose doc_id heads its component; columns as given."""
+    """The rows of `docs` whose doc_id heads its component; columns as given. Rows that repeat such a doc_id all stay."""
     heads = near_duplicates(docs, percent, miss).where("kept").select("doc_id").distinct()
     return docs.join(heads.where("doc_id is not null"), "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
