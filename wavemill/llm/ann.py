@@ -3,9 +3,11 @@
 Vectors go to the list of their nearest centre; what remains is quantised in sub-spaces of two dimensions with 16 centres
 each. Errors along a vector change its large inner products more than errors across it, so codes and codebooks minimise a
 loss that weighs the parallel part higher. A query reads its best lists: tables of 16 entries per sub-space give approximate
-scores for all codes of a list, and the best of them are ranked again by exact inner products in double precision.
+scores for all codes of a list, and the best of them are ranked again by exact inner products in double precision. Two codes
+share a byte, and their two tables are one of 256 entries.
 
-Lists are dealt out in parts of bounded size, so a list with very many vectors is the work of many tasks.
+Lists are dealt out in parts of bounded size, and so are the queries that read a part: no task holds all of either. A query that
+finds fewer vectors than it should in its lists reads all of them.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ CENTRES = 16
 THRESHOLD = 0.2
 #: Rows of a part of the search, on average.
 PART_ROWS = 8_192
-#: Rows of a list that are ranked again for a query.
-RERANK = 64
+#: Queries that read a part in one task, on average.
+QUERY_ROWS = 4_096
+#: Rows of a part of a list that are ranked again for a query, and the share of a part if that is more.
+RERANK, RERANK_SHARE = 64, 1 / 64
 #: Share of true neighbours in the lists that are read, on the sample.
 AIM = 0.97
 
@@ -97,7 +101,7 @@ class Index:
         self.dim = x.shape[1]
         self.pad = -self.dim % SUB
         x = self.padded(x)
-        self.lists = int(max(1, min(1024, round(np.sqrt(rows) / 2), len(x))))
+        self.lists = int(max(1, min(round(np.sqrt(rows) / 2), max(1024, len(x) // 8), len(x))))
         self.centres = k_means(x, self.lists, rng)
         r, unit = self._residuals(x)
         self.weight = parallel_weight(self.dim)
@@ -130,22 +134,32 @@ class Index:
         x = self.padded(x)
         at = _nearest(x, self.centres)
         r, unit = self._residuals(x)
-        return at, encode(r, unit, self.books, self.weight)
+        return at, packed(encode(r, unit, self.books, self.weight))
 
-    def routes(self, q: np.ndarray) -> np.ndarray:
-        """The lists each query reads."""
-        return np.argsort(-(self.padded(q) @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+    def routes(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """The lists each query reads, the best of them first."""
+        return np.argsort(-(self.padded(q) @ self.centres.T), axis=1, kind="stable")[:, :probes]
 
     def approximate(self, q: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-        """Scores of all codes of a list for all queries, from one table of 16 entries per query and sub-space."""
+        """Scores of all packed codes of a list for all queries, from one table per query and pair of sub-spaces."""
         q = self.padded(q)
         tables = np.einsum("qsd,scd->scq", q.reshape(len(q), len(self.books), SUB), self.books).astype(np.float32)
+        if len(tables) % 2:
+            tables = np.concatenate([tables, np.zeros_like(tables[:1])])
         out = np.broadcast_to((self.centres[centre] @ q.T).astype(np.float32), (len(codes), len(q))).copy()
-        for s in range(len(self.books)):
-            out += tables[s][codes[:, s]]
+        for s in range(codes.shape[1]):
+            pair = tables[2 * s + 1][:, None, :] + tables[2 * s][None, :, :]
+            out += pair.reshape(CENTRES * CENTRES, -1)[codes[:, s]]
         return out.T
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two codes in a byte, the first one in its lower half."""
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, 0::2] | codes[:, 1::2] << 4
+
+
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed from the first component to the last."""
     out = np.zeros(np.broadcast_shapes(q.shape[:-1], x.shape[:-1]))
@@ -191,7 +205,7 @@ def _best(index: Index, k: int, qid: np.ndarray, qs: np.ndarray, centre: int, id
     """Queries, vectors and exact scores of the k best of a list: all of its codes are scanned, the best ranked again."""
     rough = index.approximate(qs, centre, codes)
     rough[ids[None, :] == qid[:, None]] = -np.inf
-    most = max(RERANK, 2 * k)
+    most = max(RERANK, 2 * k, int(RERANK_SHARE * len(ids)))
     best = np.argpartition(-rough, most - 1, axis=1)[:, :most] if most < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
     score, vec = exact(qs[:, None, :], x[best]), ids[best]
     score[vec == qid[:, None]] = -np.inf
@@ -229,6 +243,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     All usable vectors but the query's own are candidates, nearest first, ties to the smaller vec_id. Vectors of another
     dimension than the commonest have no inner product with the rest and take no part. Rows that repeat a vec_id count once,
     the smallest vector. Copies of one vector beyond its k + 1 smallest ids can be in no result and are left out of lists.
+    An empty table has no results; other columns are ignored.
     """
     spark = vectors.sparkSession
     plain = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -245,34 +260,52 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         at, codes = index.place(_matrix(e))
         return pd.DataFrame({"list": at.astype(np.int32), "codes": [c.tobytes() for c in codes]})
 
-    @F.pandas_udf("array<int>")
-    def routed(e: pd.Series) -> pd.Series:
-        return pd.Series(list(index.routes(_matrix(e)).astype(np.int32)))
-
     stored = staged(useful.withColumn("p", placed("embedding")).select("vec_id", "embedding", "p.list", "p.codes"))
-    # Small lists share a part of about PART_ROWS rows; a list of more has parts of its own. One row per list: at most 1024.
+    # Small lists share a part of about PART_ROWS rows; a list of more has parts of its own. One row per list: bounded by the fit.
     sizes = stored.groupBy("list").agg(F.count("*").alias("n"))
     shares = max(1, -(-stored.count() // PART_ROWS))
     own = F.ceil(F.col("n") / PART_ROWS).cast("int")
     sizes = F.broadcast(sizes.select("list", F.when(F.col("n") > PART_ROWS // 4, own).otherwise(0).alias("own"), F.pmod("list", F.lit(shares)).alias("share")))
-
-    def part(block) -> F.Column:
-        return F.when(F.col("own") > 0, F.concat_ws("-", "list", block)).otherwise(F.concat(F.lit("s"), F.col("share")))
-
     block = F.pmod(F.xxhash64("vec_id"), F.greatest("own", F.lit(1)))
-    stored = stored.join(sizes, "list").withColumn("part", part(block)).drop("own", "share")
-    asked = plain.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    asked = asked.withColumn("list", F.explode(routed("embedding"))).join(sizes, "list")
-    asked = asked.withColumn("block", F.explode(F.expr("sequence(0, greatest(own, 1) - 1)"))).withColumn("part", part(F.col("block")))
-    asked = asked.groupBy("query_id", "part").agg(F.collect_list("list").alias("lists"), F.first("embedding").alias("embedding"))
-    found = asked.groupBy("part").cogroup(stored.groupBy("part")).applyInPandas(searcher(index, k), _FOUND)
+    parts = stored.join(sizes, "list").withColumn("part", _part(block)).drop("own", "share")
+    queries = plain.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = staged(_searched(queries, parts, sizes, index, k, index.probes))
+    if index.probes < index.lists:
+        least = min(k, useful.count() - 1)
+        have = found.groupBy("query_id").agg(F.count("*").alias("n"))
+        short = staged(queries.join(have.where(F.col("n") >= least), "query_id", "left_anti"))
+        if short.limit(1).count():
+            more = _searched(short, parts, sizes, index, k, index.lists)
+            found = found.join(short, "query_id", "left_anti").unionByName(more)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def recall(found: DataFrame, vectors: DataFrame, queries: int = 50, every: int = 20, k: int = 20) -> float:
-    """Share of the true k nearest found for the first `queries` query ids, against all rows by brute force, in blocks."""
-    plain = usable(vectors)
+def _part(block: F.Column) -> F.Column:
+    return F.when(F.col("own") > 0, F.concat_ws("-", "list", block)).otherwise(F.concat(F.lit("s"), F.col("share")))
+
+
+def _searched(queries: DataFrame, parts: DataFrame, sizes: DataFrame, index: Index, k: int, probes: int) -> DataFrame:
+    """The k best of each query in each part that it reads, over its `probes` best lists. A part meets its queries in blocks."""
+
+    @F.pandas_udf("array<int>")
+    def routed(e: pd.Series) -> pd.Series:
+        return pd.Series(list(index.routes(_matrix(e), probes).astype(np.int32)))
+
+    asked = queries.withColumn("list", F.explode(routed("embedding"))).join(sizes, "list")
+    asked = asked.withColumn("block", F.explode(F.expr("sequence(0, greatest(own, 1) - 1)"))).withColumn("part", _part(F.col("block")))
+    asked = asked.groupBy("query_id", "part").agg(F.collect_list("list").alias("lists"), F.first("embedding").alias("embedding"))
+    blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+    asked = asked.join(blocks, "part").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    turns = staged(blocks)
+    rows = parts.join(turns, "part").withColumn("turn", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    return asked.groupBy("part", "turn").cogroup(rows.groupBy("part", "turn")).applyInPandas(searcher(index, k), _FOUND)
+
+
+def recall(found: DataFrame, vectors: DataFrame, queries: int = 50, every: int = 20, k: int = 20) -> tuple[float, float]:
+    """Shares of the true k nearest found, the mean and the least of the first `queries` query ids, by brute force over all rows
+    in blocks."""
+    plain = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     size = plain.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
     plain = plain.where(F.size("embedding") == size)
     asked = plain.where(F.col("vec_id") % every == 0).orderBy("vec_id").limit(queries).toPandas()
@@ -288,5 +321,7 @@ def recall(found: DataFrame, vectors: DataFrame, queries: int = 50, every: int =
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     true = plain.mapInPandas(best, _FOUND).where("score > double('-Infinity')").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    hit = true.join(found, ["query_id", "vec_id"], "left_semi").count()
-    return hit / max(1, true.count())
+    hit = true.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    each = hit.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    r = each.agg(F.avg("share").alias("mean"), F.min("share").alias("least")).first()
+    return r["mean"] or 0.0, r["least"] or 0.0
