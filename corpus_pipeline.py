@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wavemill.llm import decontaminate, near_dedup, pieces, quality, surrogates
-from wavemill.llm.common import staged, table
+from wavemill.llm.common import staged, surrogate_key, table
 
 
 def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in text; n_chars follows."""
-    return _as_documents(surrogates.replaced(docs), docs)
+    return _as_documents(surrogates.replaced(docs, surrogate_key(spark)), docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
