@@ -9,8 +9,8 @@ The dictionary has each distinct phrase once, with its first place in corpus ord
 order. One pass over the parse, sorted by phrase, gives the dictionary and removes phrases that came before. Dictionary phrases
 whose trigger occurs in others too can share strings: their bytes are fetched once, and a suffix array over them (ranks of 8, 16,
 32, 64 and 100 bytes by doubling) puts equal strings together; the parse orders those by their places in the corpus, and all but
-the first go. As phrases overlap, no suffix has to be continued into the next phrase. Bytes decide which strings are equal; a
-whole phrase is known by two 61-bit hashes at fixed points of a prime field, besides its trigger, offset and length.
+the first go. As phrases overlap, no suffix has to be continued into the next phrase. Bytes decide which strings are equal. A
+whole phrase, and a string of a trigger with very many phrases, is known by two 61-bit hashes at fixed points of a prime field.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_bytes, gathered, small_batches, staged, together, whole_groups
 from .rolling import PART, Grams, Ranges, U, mix, range_hashes, sliding_min
@@ -140,53 +142,75 @@ def phrase_rows(length: int, gram: int) -> Callable:
     return run
 
 
-def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the parse sorted by (t, d, doc_id, lo): all but the first place of a phrase are gone; first places come back, as
-    dictionary phrases, where their trigger has other phrases. A row at a time has to be kept, whatever the group's size."""
-    last: tuple | None = None  # the phrase that a batch ended with, as (t, d, doc_id, lo, n), and if its trigger had others before
-    had = False
-    for batch in batches:
-        t, d, doc, lo, n = (batch.column(k).to_numpy() for k in range(5))
-        gone = batch.column(5).to_numpy(zero_copy_only=False)
-        if gone.any():
-            yield _rows(t[gone], d[gone], doc[gone], lo[gone], n[gone], True)
-        t, d, doc, lo, n = (x[~gone] for x in (t, d, doc, lo, n))
+class Settler:
+    """From rows sorted by (t, d, doc_id, lo): all but the first place of a (t, d) are gone; first places come back, as dictionary
+    phrases, where their trigger t has others. One row has to be kept, whatever the group's size."""
+
+    def __init__(self):
+        self.last: tuple | None = None  # the phrase that a batch ended with, as (t, d, doc_id, lo, n)
+        self.had = False  # whether its trigger had others before
+
+    def push(self, t, d, doc, lo, n) -> Iterator[pa.RecordBatch]:
         if not len(t):
-            continue
+            return
         new = _changes(t, d)
-        if last is not None and (last[0], last[1]) == (t[0], d[0]):
+        if self.last is not None and self.last[:2] == (t[0], d[0]):
             new[0] = False
         if not new.all():
             yield _rows(*(x[~new] for x in (t, d, doc, lo, n)), True)
         lead = [x[new] for x in (t, d, doc, lo, n)]
-        if last is not None:
-            lead = [np.append(np.array([v], dtype=np.int64), x) for v, x in zip(last, lead, strict=True)]
+        if self.last is not None:
+            lead = [np.append(np.array([v], dtype=np.int64), x) for v, x in zip(self.last, lead, strict=True)]
         if not len(lead[0]):
-            continue
+            return
         same = lead[0][1:] == lead[0][:-1]
-        shared = np.append(had if last is not None else False, same)
+        shared = np.append(self.had if self.last is not None else False, same)
         shared[:-1] |= same
         out = shared[:-1]
         if out.any():
             yield _rows(*(x[:-1][out] for x in lead), False)
-        last, had = tuple(int(x[-1]) for x in lead), bool(shared[-1])
-    if last is not None and had:
-        yield _rows(*([np.array([v], dtype=np.int64) for v in last]), False)
+        self.last, self.had = tuple(int(x[-1]) for x in lead), bool(shared[-1])
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.last is not None and self.had:
+            yield _rows(*([np.array([v], dtype=np.int64) for v in self.last]), False)
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parse, sorted by (t, d, doc_id, lo), through a Settler; runs that are gone pass by."""
+    book = Settler()
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in range(5)]
+        gone = batch.column(5).to_numpy(zero_copy_only=False)
+        if gone.any():
+            yield _rows(*(x[gone] for x in cols), True)
+        yield from book.push(*(x[~gone] for x in cols))
+    yield from book.finish()
 
 
-_PHRASES = pa.schema([("t", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("phrase", pa.binary())])
+_PHRASES = pa.schema([("hot", pa.bool_()), ("t", pa.int64()), ("d", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("phrase", pa.binary())])
+_FETCHED = "hot boolean, t long, d long, doc_id long, lo long, n long, phrase binary"
 
 
 def with_bytes(length: int) -> Callable:
-    """t, doc_id, lo, n, phrase: the bytes of the listed phrases of a text."""
+    """The listed phrases of a text with their bytes. Those of a hot trigger are cut up: a row for each string, with two hashes of
+    it as its t and d, so that equal strings meet and the trigger's others don't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2 << 20):
             for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for k in range(0, len(at), 20_000):
-                    rows = [(x["t"], doc, x["lo"], x["n"], data[x["lo"] : x["lo"] + x["n"] + length - 1]) for x in at[k : k + 20_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PHRASES, strict=True)], schema=_PHRASES)
+                    few = [(False, x["t"], 0, doc, x["lo"], x["n"], data[x["lo"] : x["lo"] + x["n"] + length - 1]) for x in at[k : k + 20_000] if not x["hot"]]
+                    if few:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*few, strict=True), _PHRASES, strict=True)], schema=_PHRASES)
+                many = [(x["lo"], x["n"]) for x in at if x["hot"]]
+                if many:
+                    lo, n = np.array(sorted(many), dtype=np.int64).T
+                    start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    raw = np.frombuffer(data, dtype=np.uint8)
+                    t, d = (range_hashes(raw, start, start + length, lane).view(np.int64) for lane in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), dtype=bool)), pa.array(t), pa.array(d), pa.array(np.full(len(t), doc)), pa.array(start), pa.array(np.ones(len(t), dtype=np.int64)), pa.nulls(len(t), pa.binary())], schema=_PHRASES)
 
     return run
 
@@ -232,36 +256,37 @@ def _starts(doc: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
 
 
 def later_suffixes(length: int) -> Callable:
-    """Runs of starts whose string an earlier one of the same trigger has; rows sorted by (t, doc_id, lo), whole triggers."""
+    """Runs of starts whose string an earlier one of the same trigger has. Rows are sorted by (hot, t, d, doc_id, lo): phrases go
+    through a suffix array, whole triggers at a time; the strings of hot triggers, which are alone with their equals, one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_groups(batches, ["t"], most=SORTED_BYTES):
+        book, done = Settler(), []
+
+        def plain() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hot = batch.column(0)
+                rows = batch.filter(hot)
+                done.extend(book.push(*(rows.column(k).to_numpy() for k in range(1, 6))))
+                rest = batch.filter(pa.compute.invert(hot))
+                if rest.num_rows:
+                    yield rest
+
+        def later() -> Iterator[pa.RecordBatch]:
+            for b in done:
+                gone = b.filter(b.column(5))
+                if gone.num_rows:
+                    yield _starts(gone.column(2).to_numpy(), gone.column(3).to_numpy())
+            done.clear()
+
+        for table, cuts in whole_groups(plain(), ["t"], most=SORTED_BYTES):
+            yield from later()
             row, rank, doc, p = _places(table, length)
             group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[row]
             order = np.lexsort((p, doc, rank, group))
-            later = np.ones(len(order), dtype=bool)
-            later[order[_changes(group[order], rank[order])]] = False
-            yield _starts(doc[later], p[later])
-
-    return run
-
-
-def suffix_rows(length: int) -> Callable:
-    """t, h, g, doc_id, p for each suffix of the phrases, h and g hashes of its string; repeats within a batch have a null h."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, SORTED_BYTES):
-            table = pa.Table.from_batches([batch])
-            row, rank, doc, p = _places(table, length)
-            t = table.column("t").to_numpy()[row]
-            blob = np.frombuffer(b"".join(table.column("phrase").to_pylist()), dtype=np.uint8)
-            order = np.lexsort((p, doc, rank, t))
-            first = np.zeros(len(order), dtype=bool)
-            first[order[_changes(t[order], rank[order])]] = True
-            size = table.column("n").to_numpy() + length - 1
-            start = (np.cumsum(size) - size)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
-            h, g = (range_hashes(blob, start, start + length, lane) for lane in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(h.view(np.int64), pa.int64(), mask=~first), pa.array(g.view(np.int64)), pa.array(doc), pa.array(p)], ["t", "h", "g", "doc_id", "p"])
+            late = np.ones(len(order), dtype=bool)
+            late[order[_changes(group[order], rank[order])]] = False
+            yield _starts(doc[late], p[late])
+        yield from later()
 
     return run
 
@@ -296,27 +321,12 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     parse = together(docs.mapInArrow(phrase_rows(length, gram), _ROWS), ["t"], ["t", "d", "doc_id", "lo"])
     rows = staged(parse.mapInArrow(settled, _ROWS))
     out = rows.where("gone").select("doc_id", "lo", "n")
-    book = rows.where("not gone").select("t", "doc_id", "lo", "n")
-    # A trigger with few phrases is settled in one task. One with very many goes out suffix by suffix.
-    hot = staged(book.groupBy("t").agg(F.count("*").alias("phrases")).where(F.col("phrases") > HOT).select("t"))
-    some = hot.limit(1).count() > 0
-    few = _fetched(docs, book.join(hot, "t", "left_anti") if some else book, length)
-    few = together(few, ["t"], ["t", "doc_id", "lo"])
-    out = out.union(staged(few.mapInArrow(later_suffixes(length), "doc_id long, lo long, n long")))
-    if not some:
-        return out
-    rows = staged(_fetched(docs, book.join(hot, "t", "left_semi"), length).mapInArrow(suffix_rows(length), "t long, h long, g long, doc_id long, p long"))
-    place = F.struct("doc_id", "p")
-    ranked = rows.where("h is not null")
-    lead = ranked.groupBy("t", "h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    many = ranked.join(lead, ["t", "h", "g"]).where(place != F.col("first")).select("doc_id", "p").union(rows.where("h is null").select("doc_id", "p"))
-    return out.union(many.select("doc_id", F.col("p").alias("lo"), F.lit(1).cast("long").alias("n")))
-
-
-def _fetched(docs: DataFrame, book: DataFrame, length: int) -> DataFrame:
-    """Dictionary phrases with their bytes, from the texts at their first places."""
-    per_doc = book.groupBy("doc_id").agg(F.collect_list(F.struct("t", "lo", "n")).alias("at"))
-    return docs.join(per_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(with_bytes(length), "t long, doc_id long, lo long, n long, phrase binary")
+    # A trigger with few phrases is settled in one task. The phrases of one with very many are cut up into their strings.
+    book = rows.where("not gone").withColumn("hot", F.count("*").over(Window.partitionBy("t")) > HOT)
+    per_doc = book.groupBy("doc_id").agg(F.collect_list(F.struct("t", "lo", "n", "hot")).alias("at"))
+    found = docs.join(per_doc, "doc_id").select("doc_id", "text", "at").mapInArrow(with_bytes(length), _FETCHED)
+    found = together(found, ["t"], ["hot", "t", "d", "doc_id", "lo"])
+    return out.union(staged(found.mapInArrow(later_suffixes(length), "doc_id long, lo long, n long")))
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
