@@ -31,7 +31,7 @@ def test_trailing_statistics(spark):
         assert r.m == pytest.approx(0 if len(part) < 3 else np.polyfit(np.arange(len(part)), part, 1)[0] * 2)
         assert r.c == pytest.approx(np.mean([x[max(0, r.i - j)] for j in range(3)]))
         assert r.l == pytest.approx(x[max(0, r.i - 3) : r.i + 1].mean())
-    e = sequence.ema_series(df, ["s"], ["i"], "x", 0.7).first().ema
+    e = [r.ema for r in sequence.ema(df, ["s"], ["i"], "x", 0.7).orderBy("i").collect()]
     y = [x[0]]
     for v in x[1:]:
         y.append(0.7 * y[-1] + 0.3 * v)

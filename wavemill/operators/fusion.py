@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import argmax_first, asum, col, dot, log_softmax
+from . import sequence
 from .scoring import CLASSES
 
 GRID = [round(-1.5 + 0.1 * k, 1) for k in range(31)]
@@ -53,19 +54,15 @@ def nearest_mean_log_prob(x: Column | str, means: Column | str, t: float = 1.0)
     return log_softmax(F.transform(col(means), lambda m: -asum(F.transform(F.arrays_zip(x.alias("a"), m.alias("b")), lambda p: (p["a"] - p["b"]) * (p["a"] - p["b"]))) / t))
 
 
-def smoothed(df: DataFrame, keys: list[str], order: str, probs: str, tau: float, rate: float = 4.0) -> DataFrame:
-    """Log-probabilities averaged over calls, a = exp(-1 / (tau * rate)), normalised again; tau 0 leaves them.
-
-    Built in one aggregation per session: state is the last vector.
-    """
+def smoothed(df: DataFrame, keys: list[str], order: str, probs: str, tau: float, rate: float = 4.0, space: str = "log") -> DataFrame:
+    """Log-probabilities averaged over calls, a = exp(-1 / (tau * rate)), in `log` space (normalised again) or `prob` space;
+    tau 0 leaves them. Normalising only shifts all classes alike, so one linear pass per session and one at the end suffice."""
     if not tau:
         return df
-    a = float(np.exp(-1.0 / (tau * rate)))
-    w = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col(probs).alias("p")))).alias("_rows"))
-    step = lambda acc, r: F.concat(acc, F.array(F.struct(r[order].alias(order), log_softmax(F.zip_with(F.element_at(acc, -1)["p"], r["p"], lambda x, y: a * x + (1 - a) * y)).alias("p"))))
-    out = w.select(*keys, F.explode(F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), F.slice("_rows", 1, 1), step)).alias("_r"))
-    smooth = out.select(*keys, F.col(f"_r.{order}").alias(order), F.col("_r.p").alias("_p"))
-    return df.join(smooth, [*keys, order]).withColumn(probs, F.col("_p")).drop("_p")
+    x = F.col(probs) if space == "log" else F.transform(probs, F.exp)
+    out = sequence.ema(df.withColumn("_x", x), keys, [order], "_x", float(np.exp(-1.0 / (tau * rate))), "_y")
+    y = log_softmax("_y") if space == "log" else F.transform("_y", lambda p: F.ln(p + 1e-9))
+    return out.withColumn(probs, y).drop("_x", "_y")
 
 
 def biased_label(probs: Column | str, bias: Column | str) -> Column:
@@ -128,6 +125,31 @@ def fitted_weight(df: DataFrame, le: str, ln: str, truth: str, groups: list[str]
     return best
 
 
+def cascade_log_prob(x: Column | str, first: dict, second: dict) -> Column:
+    """Rest against movement, then one side against the other, by two linear scores: log-probabilities of the three classes.
+
+    `first` scores rest, `second` the third class, as mu, sd, w and b of one row each.
+    """
+    arr = lambda v: F.array(*[F.lit(float(a)) for a in v])
+
+    def score(m: dict) -> Column:
+        z = F.zip_with(F.zip_with(col(x), arr(m["mu"]), lambda a, b: a - b), arr(m["sd"]), lambda a, b: a / b)
+        return dot(z, arr(m["w"])) + float(m["b"])
+
+    soft = lambda z: -(F.greatest(-z, F.lit(0.0)) + F.ln(1 + F.exp(-F.abs(z))))  # noqa: E731 (log of the logistic curve)
+    rest, side = score(first), score(second)
+    return F.array(soft(rest), soft(-rest) + soft(-side), soft(-rest) + soft(side))
+
+
+def normalised_logits(df: DataFrame, keys: list[str], logits: str, t: float = 1.0) -> DataFrame:
+    """Logits of each row less their mean, over the standard deviation of all of a key's and t."""
+    centred = F.transform(logits, lambda z: z - asum(F.col(logits)) / F.size(logits))
+    rows = df.withColumn(logits, centred)
+    sd = rows.select(*keys, F.explode(logits).alias("_z")).groupBy(*keys).agg(F.stddev_pop("_z").alias("_sd"))
+    s = F.when(F.col("_sd") * t > 1e-12, F.col("_sd") * t).otherwise(F.lit(1.0))
+    return rows.join(sd, keys).withColumn(logits, F.transform(logits, lambda z: z / s)).drop("_sd")
+
+
 def left_out_folds(df: DataFrame, session: str, block: str) -> DataFrame:
     """Each row once for every block of its session but its own: the training rows of (session, left_out)."""
     blocks = df.select(session, F.col(block).alias("left_out")).distinct()

@@ -87,9 +87,9 @@ def mean_of_means(df: DataFrame, outer: list[str], inner: list[str], value: str)
     return df.groupBy(*outer, *inner).agg(F.avg(value).alias(value)).groupBy(*outer).agg(F.avg(value).alias(value))
 
 
-def capped_sum(per_session: DataFrame, column: str, cap: float) -> DataFrame:
+def capped_sum(per_session: DataFrame, column: str, cap: float, keys: list[str] | None = None) -> DataFrame:
     """Penalties of sessions summed up and capped again."""
-    return per_session.agg(F.least(F.sum(column), F.lit(cap)).alias(column))
+    return per_session.groupBy(*(keys or [])).agg(F.least(F.sum(column), F.lit(cap)).alias(column))
 
 
 def complete_pivot(df: DataFrame, row: str, column: str, value: str, values: list) -> DataFrame:
@@ -100,3 +100,12 @@ def complete_pivot(df: DataFrame, row: str, column: str, value: str, values: lis
 def delta(df: DataFrame, order: list[str], value: str, keys: list[str] | None = None) -> Column:
     """Change from the row before."""
     return F.col(value) - F.lag(value).over(Window.partitionBy(*(keys or [])).orderBy(*order))
+
+
+def representatives(df: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, pick, name, value): the worst, the median (the upper one of two) and the best row by value, equals by name."""
+    keys = keys or []
+    every = Window.partitionBy(*keys)
+    r = df.withColumn("_r", F.row_number().over(every.orderBy(value, name))).withColumn("_n", F.count("*").over(every))
+    pick = F.array(*[F.when(c, F.lit(n)) for n, c in (("worst", F.col("_r") == 1), ("median", F.col("_r") == F.floor(F.col("_n") / 2) + 1), ("best", F.col("_r") == F.col("_n")))])
+    return r.withColumn("pick", F.explode(pick)).where("pick is not null").select(*keys, "pick", name, value)

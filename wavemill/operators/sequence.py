@@ -6,10 +6,15 @@ the key or an equi-join on it, so sessions spread over the cluster and no sessio
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
+from ..functions import filters
+
 Keys = list[str]
 
 
@@ -115,27 +120,68 @@ def cyclic_shift(value: str, keys: Keys, order: Keys) -> Column:
     return F.coalesce(F.lead(value).over(w), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def ema_series(df: DataFrame, keys: Keys, order: Keys, value: str, alpha: float, name: str = "ema") -> DataFrame:
-    """(keys, series): y = alpha * y + (1 - alpha) * x from y = the first x, as an array in order.
+def _ema_filter(alpha: float) -> filters.Stream:
+    """y = alpha * y + (1 - alpha) * x as a filter section, from y = the first x; blocks are matrix products, so it's linear."""
+    return filters.Stream(np.array([[1 - alpha, 0.0, 0.0, 1.0, -alpha, 0.0]]))
+
+
+def ema(df: DataFrame, keys: Keys, order: Keys, value: str, alpha: float, name: str = "ema") -> DataFrame:
+    """Adds the exponential mean of `value`, a number or an array of numbers, over the rows of each key in order.
 
-    One aggregation folds a session's values; a session is bounded, the number of sessions is not.
+    A session is one group, whose size is bounded by its length; sessions spread over the cluster.
     """
-    rows = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_x")))), lambda r: r["_x"]).alias("_xs"))
-    fold = F.aggregate(
-        F.slice("_xs", 2, F.greatest(F.size("_xs") - 1, F.lit(0))),
-        F.slice("_xs", 1, 1),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) * alpha + x * (1 - alpha))),
-    )
-    return rows.select(*keys, fold.alias(name))
+    kind = df.schema[value].dataType
+    many = isinstance(kind, ArrayType)
+    schema = StructType([*[f for f in df.schema if f.name != name], StructField(name, ArrayType(DoubleType()) if many else DoubleType())])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order)
+        x = np.stack(g[value].to_numpy()).astype(float) if many else g[value].to_numpy(dtype=float)[:, None]
+        y = _ema_filter(alpha)(x)
+        return g.assign(**{name: list(y) if many else y[:, 0]})
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
 
 
 def ema_final(df: DataFrame, keys: Keys, order: Keys, value: str, alpha: float, name: str = "ema") -> DataFrame:
-    """(keys, ema): the last value of ema_series, without the series."""
+    """(keys, ema): the last exponential mean of each key, in one aggregation."""
     rows = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_x")))), lambda r: r["_x"]).alias("_xs"))
     last = F.aggregate("_xs", F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * alpha + x * (1 - alpha)))
     return rows.select(*keys, last.alias(name))
 
 
+def ema_at(series: DataFrame, marks: DataFrame, keys: Keys, index: str, n: str, value: str) -> DataFrame:
+    """`marks` with the value of the n-th sample of their key's series (index from 0): 0 before any sample, and the last one
+    where n is beyond the end."""
+    found = asof_backward(marks.withColumn("_n", F.col(n) - 1), series.select(*keys, index, value), keys, "_n", index, [value])
+    return found.withColumn(value, F.coalesce(value, F.lit(0.0))).drop("_n")
+
+
+def window_moments(df: DataFrame, keys: Keys, order: Keys, channels: Keys, win: int, step: int, centred: bool = False) -> DataFrame:
+    """(keys, end_sample, m_<i>_<j>): second moments of channels over grid windows, X'X / win, or less the product of means."""
+    s = numbered(df, keys, order)
+    w = over(keys, ["sample"]).rowsBetween(-(win - 1), 0)
+    cols = []
+    for i, a in enumerate(channels):
+        for j, b in enumerate(channels[i:], i):
+            m = F.avg(F.col(a) * F.col(b)).over(w)
+            cols.append((m - F.avg(a).over(w) * F.avg(b).over(w) if centred else m).alias(f"m_{i}_{j}"))
+    rows = s.select(*keys, "sample", *cols)
+    on_grid = (F.col("sample") >= win - 1) & ((F.col("sample") + 1 - win) % step == 0)
+    return rows.where(on_grid).withColumn("end_sample", F.col("sample") + 1).drop("sample")
+
+
+def completed(df: DataFrame, block: str, state: str, which: int) -> DataFrame:
+    """Labelled samples of a block that has ended: what a fit gets to see of it."""
+    return df.where((F.col(block) == which) & (F.col(state) > 0))
+
+
+def past_skip(start: Column | str, segment_start: Column | str, skip: int) -> Column:
+    """Whether a window begins at least `skip` samples into its segment, so that it may be trained on."""
+    at = lambda c: F.col(c) if isinstance(c, str) else c
+    return at(start) >= at(segment_start) + skip
+
+
 def time_decay_weight(seconds_ago: Column, tau: float) -> Column:
     """exp(-dt / tau), the weight of the past in an average over uneven times."""
     return F.exp(-seconds_ago / tau)
@@ -171,6 +217,29 @@ def delivered(n: Column, at: Column, mark: Column, fs_a: float, fs_b: float) ->
     return F.least(F.greatest(n - F.bround((mark - at) / (fs_a / fs_b)), F.lit(0)), n).cast("long")
 
 
+def counts_at(ends: DataFrame, marks: DataFrame, keys: Keys, at: str, time: str, n: str, fs_a: float, fs_b: float) -> DataFrame:
+    """`ends` with `n`, the samples delivered by each end: from the first mark at or after it (the last mark if there is none),
+    less what its rate delivers in between."""
+    found = asof_forward(ends, marks.select(*keys, time, n), keys, at, time, [time, n])
+    last = marks.groupBy(*keys).agg(F.max_by(F.struct(F.col(time).alias("_t"), F.col(n).alias("_n")), time).alias("_last"))
+    j = found.join(last, keys)
+    count, mark = F.coalesce(n, "_last._n"), F.coalesce(time, "_last._t")
+    return j.withColumn(n, delivered(count, F.col(at), mark, fs_a, fs_b)).drop("_last", time)
+
+
+def mean_between(df: DataFrame, spans: DataFrame, keys: Keys, time: str, value: str, low: str, high: str) -> DataFrame:
+    """`spans` with `mean`, the mean of values with low < time <= high, 0 where there are none: running sums at both ends, found
+    as of them, so no pair of rows is formed."""
+    w = over(keys, [time]).rangeBetween(Window.unboundedPreceding, 0)
+    sums = df.select(*keys, time, F.sum(value).over(w).alias("_s"), F.count(value).over(w).alias("_c")).distinct()
+    out = spans
+    for end, side in ((low, "a"), (high, "b")):
+        renamed = sums.select(*keys, F.col(time).alias("_t"), F.col("_s").alias(f"_s{side}"), F.col("_c").alias(f"_c{side}"))
+        out = asof_backward(out, renamed, keys, end, "_t", [f"_s{side}", f"_c{side}"])
+    part = lambda c: F.coalesce(F.col(f"{c}b"), F.lit(0)) - F.coalesce(F.col(f"{c}a"), F.lit(0))
+    return out.withColumn("mean", part("_s") / F.greatest(part("_c"), F.lit(1))).drop("_sa", "_sb", "_ca", "_cb")
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: Keys, point: str, low: str, high: str, width: int) -> DataFrame:
     """Rows of `left` with point in [low, high] of `right` rows of the same key.
 

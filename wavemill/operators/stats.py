@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 
-def ordinal_rank(value: str, order: list[str], keys: list[str] | None = None) -> Column:
-    return F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(value, *order))
+def ordinal_rank(value: str, order: list[str], keys: list[str]) -> Column:
+    """Place in the order of values within a key, equals by `order`."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(value, *order))
 
 
 def tie_ranks(df: DataFrame, value: str, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
@@ -105,32 +105,69 @@ def normal_two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), t * F.exp(-x * x + poly))
 
 
-def bootstrap(per_session: DataFrame, outer: str, value: str, reps: int = 2000, seed: int = 0, part: int = 50) -> DataFrame:
-    """(rep, value): means over subjects drawn with replacement, and over sessions drawn within each.
+def drawn(n: Column, *salt) -> Column:
+    """A whole number below n, by a digest of what is given: the same everywhere."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *salt)), 1, 8), 16, 10).cast("long"), n)
 
-    Replicates are rows dealt out to tasks; each carries the table of session means, which has one row per recording. The
-    quantiles of `value` are the interval. The stream of draws depends on (seed, rep) only.
-    """
-    rows = per_session.select(outer, value).where(F.col(value).isNotNull()).groupBy(outer).agg(F.sort_array(F.collect_list(value)).alias("xs"))
-    groups = rows.orderBy(outer).agg(F.collect_list(F.struct(outer, "xs")).alias("g"))
-    plan = per_session.sparkSession.range(0, reps, 1, max(1, reps // part)).withColumnRenamed("id", "rep")
 
-    @F.pandas_udf("double")
-    def draw(rep: pd.Series, g: pd.Series) -> pd.Series:
-        out = []
-        for r, table in zip(rep, g, strict=True):
-            rng = np.random.default_rng([seed, int(r)])
-            xs = [np.asarray(t["xs"]) for t in table]
-            picked = rng.integers(0, len(xs), len(xs))
-            out.append(float(np.mean([rng.choice(xs[i], len(xs[i])).mean() for i in picked])))
-        return pd.Series(out)
+def bootstrap(per_session: DataFrame, outer: str, value: str, reps: int = 2000, seed: int = 0) -> DataFrame:
+    """(rep, value): means over subjects drawn with replacement, and over sessions drawn within each.
 
-    return plan.crossJoin(F.broadcast(groups)).select("rep", draw("rep", "g").alias("value"))
+    Draws are digests of (seed, replicate, draw), so any task can make them again. The tables of subjects and of their session
+    means have one row per recording and are joined to the draws by number; replicates spread over the tasks.
+    """
+    x = per_session.select(outer, value).where(F.col(value).isNotNull())
+    w = Window.partitionBy(outer).orderBy(value)
+    x = x.select(F.col(outer).alias("_o"), F.col(value).alias("_v"), (F.row_number().over(w) - 1).alias("_j"), F.count("*").over(Window.partitionBy(outer)).alias("_m"))
+    subjects = x.select("_o", "_m").distinct()
+    subjects = subjects.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_o")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    plan = per_session.sparkSession.range(0, reps, 1, max(1, reps // 50)).withColumnRenamed("id", "rep")
+    total = F.broadcast(subjects.select("_n").limit(1))
+    picks = plan.crossJoin(total).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    picks = picks.withColumn("_i", drawn(F.col("_n"), F.lit(seed), "rep", "_k")).join(F.broadcast(subjects.drop("_n")), "_i")
+    picks = picks.withColumn("_l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    picks = picks.withColumn("_j", drawn(F.col("_m"), F.lit(seed), "rep", "_k", "_l"))
+    means = picks.join(F.broadcast(x.drop("_m")), ["_o", "_j"]).groupBy("rep", "_k").agg(F.avg("_v").alias("_v"))
+    return means.groupBy("rep").agg(F.avg("_v").alias("value"))
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n, mean, sd, low, q25, q50, q75, high) of numeric columns: sample deviation, interpolated quantiles."""
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    g = df.select(one).select("x.*").groupBy("name")
+    return g.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), *[F.percentile("v", F.lit(q / 100)).alias(f"q{q}") for q in (25, 50, 75)], F.max("v").alias("high"))
+
+
+def numeric(df: DataFrame) -> DataFrame:
+    """Only the columns of numbers."""
+    return df.select(*[f.name for f in df.schema if isinstance(f.dataType, NumericType)])
+
+
+def standardised(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Columns less their mean over their population deviation, per key; a deviation below 1e-12 counts as 1."""
+    m = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    j = df.join(m, keys)
+    for c in columns:
+        j = j.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") < 1e-12, 1.0).otherwise(F.col(f"_s_{c}")))
+    return j.select(*df.columns)
+
+
+def signed_rank_p(w: Column, n: Column, most: int = 25) -> Column:
+    """Exact two-sided p of a signed-rank statistic for up to `most` pairs without ties: how many of the 2^n sums are at most w.
+
+    The numbers of subsets of 1..k with each sum follow from those of 1..k-1.
+    """
+    top = most * (most + 1) // 2
+    ways = F.array(F.lit(1).cast("long"), *[F.lit(0).cast("long")] * top)
+    step = lambda a, k: F.transform(a, lambda x, s: x + F.when(s >= k, F.element_at(a, F.greatest(s - k + 1, F.lit(1)).cast("int"))).otherwise(F.lit(0).cast("long")))
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), ways, step)
+    below = F.aggregate(F.slice(counts, F.lit(1), F.floor(w).cast("int") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(n <= most, F.least(F.lit(1.0), 2.0 * below / F.pow(F.lit(2.0), n)))
 
 
-def permutation_p(null: DataFrame, value: str, observed: Column) -> DataFrame:
-    """(p, n): (1 + how many of the null reach what was observed) / (1 + n)."""
-    return null.agg(((1 + F.sum((F.col(value) >= observed).cast("long"))) / (1 + F.count("*"))).alias("p"), F.count("*").alias("n"))
+def permutation_p(null: DataFrame, value: str, observed: Column, keys: list[str] | None = None) -> DataFrame:
+    """(keys, p, n): (1 + how many of the null reach what was observed) / (1 + n)."""
+    return null.groupBy(*(keys or [])).agg(((1 + F.sum((F.col(value) >= observed).cast("long"))) / (1 + F.count("*"))).alias("p"), F.count("*").alias("n"))
 
 
 def permuted_labels(segs: DataFrame, keys: list[str], label: str, seed: int, movable: tuple = (2, 3)) -> DataFrame:
@@ -138,7 +175,7 @@ def permuted_labels(segs: DataFrame, keys: list[str], label: str, seed: int, mov
     moving = F.col(label).isin(*movable)
     w = Window.partitionBy(*keys, moving)
     at = F.row_number().over(w.orderBy("start_sample"))
-    to = F.row_number().over(w.orderBy(F.xxhash64(*keys, "start_sample", F.lit(seed)), "start_sample"))
+    to = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", *keys, "start_sample", F.lit(seed))), "start_sample"))
     s = segs.withColumn("_at", at).withColumn("_to", to).withColumn("_m", moving)
     new = s.select(*keys, F.col("_m"), F.col("_to").alias("_at"), F.col(label).alias("_new"))
     return s.join(new, [*keys, "_m", "_at"]).withColumn(label, F.when(F.col("_m"), F.col("_new")).otherwise(F.col(label))).drop("_at", "_to", "_m", "_new")
@@ -148,7 +185,7 @@ def phase_permuted(segs: DataFrame, keys: list[str], label: str, seed: int) -> D
     """With probability one half per group, labels move on by one segment, the first to the end."""
     w = Window.partitionBy(*keys).orderBy("start_sample")
     shifted = F.coalesce(F.lead(label).over(w), F.first(label).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    flip = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(2)) == 0
+    flip = drawn(F.lit(2), *keys, F.lit(seed)) == 0
     return segs.withColumn(label, F.when(flip, shifted).otherwise(F.col(label)))
 
 

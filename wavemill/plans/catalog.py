@@ -75,8 +75,9 @@ def cells_sql(keys: str) -> str:
 @register(f"with {TRUTH}, {cells_sql('l_suppkey')}, g as (select avg(least(f1, f2, f3)) a, avg((p1 + p2 + p3) / 3) b, count(*) n from f) select round(a, 6) min_f1, round(b, 6) macro_recall, round(60 * a + 30 * b + 5, 4) score, n::bigint n_sessions from g")
 def session_mean_score(spark: SparkSession, d: str) -> DataFrame:
     m = scoring.metrics(truth3(spark, d, "l_suppkey"), ["l_suppkey"])
-    g = m.agg(F.avg("min_f1").alias("a"), F.avg("macro_recall").alias("b"), F.count("*").alias("n_sessions"))
-    return g.select(r6("a").alias("min_f1"), r6("b").alias("macro_recall"), F.round(60 * F.col("a") + 30 * F.col("b") + 5, 4).alias("score"), long("n_sessions").alias("n_sessions"))
+    g = scoring.session_mean(m, ["min_f1", "macro_recall"]).crossJoin(F.broadcast(m.agg(F.count("*").alias("n_sessions"))))
+    score = scoring.composite(F.col("min_f1"), F.col("macro_recall"), F.lit(5.0), F.lit(0.0))
+    return g.select(r6("min_f1").alias("min_f1"), r6("macro_recall").alias("macro_recall"), score.alias("score"), long("n_sessions").alias("n_sessions"))
 
 
 @register(f"with {TRUTH}, {cells_sql('')} select round(f1, 6) f1_1, round(f2, 6) f1_2, round(f3, 6) f1_3, round(least(f1, f2, f3), 6) min_f1, round((p1 + p2 + p3) / 3, 6) macro_recall, n::bigint n from f")
@@ -105,7 +106,8 @@ def normalised_confusion(spark: SparkSession, d: str) -> DataFrame:
 @register("select event_type event, round(avg(value / 1000), 6) mean_s, round(max(value / 1000), 6) max_s, count(*)::bigint n, round(least(floor(round(sum(greatest(value / 1000 - 0.2, 0)), 9) / 0.05), 20), 6)::double penalty from events group by 1")
 def latency_penalty(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select(F.col("event_type").alias("event"), (F.col("value") / 1000).alias("seconds"))
-    return e.groupBy("event").agg(r6(F.avg("seconds")).alias("mean_s"), r6(F.max("seconds")).alias("max_s"), F.count("*").alias("n"), r6(scoring.penalty(F.col("seconds"), *scoring.LIMITS["predict"])).alias("penalty"))
+    p = e.groupBy("event").agg(r6(scoring.penalty(F.col("seconds"), *scoring.LIMITS["predict"])).alias("penalty"))
+    return scoring.latency(e, []).select("event", r6("mean_s").alias("mean_s"), r6("max_s").alias("max_s"), "n").join(p, "event")
 
 
 @register("with s as (select o_custkey, o_orderstatus st, avg(o_totalprice) m from orders group by all), p as (select o_custkey, max(m) filter (where st = 'F') f, max(m) filter (where st = 'O') o, max(m) filter (where st = 'P') p from s group by 1) select o_custkey, round(f, 6) f, round(o, 6) o, round(p, 6) p from p where f is not null and o is not null and p is not null")
@@ -234,8 +236,8 @@ def ema_final(spark: SparkSession, d: str) -> DataFrame:
 
 @register("with r as (select user_id, list_reduce(list([value] order by ts, event_id), lambda a, x: list_append(a, 0.8 * a[-1] + 0.2 * x[1])) l from events group by 1), e as (select user_id, unnest(range(1, len(l) + 1)) k, unnest(l) v from r) select user_id, k::bigint k, round(v, 4) ema from e")
 def ema_series(spark: SparkSession, d: str) -> DataFrame:
-    s = sequence.ema_series(read(spark, d, "events"), U, T, "value", 0.8)
-    return s.select("user_id", F.posexplode("ema").alias("k", "ema")).select("user_id", (long("k") + 1).alias("k"), F.round("ema", 4).alias("ema"))
+    s = sequence.ema(samples(spark, d).select("user_id", "sample", "value"), U, ["sample"], "value", 0.8)
+    return s.select("user_id", (F.col("sample") + 1).alias("k"), F.round("ema", 4).alias("ema"))
 
 
 @register("with a as (select user_id, event_id as tick, 0 as kind from events where event_type = 'click'), b as (select user_id, event_id - event_id % 10 as tick, 1 as kind from events where event_type = 'purchase'), u as (select * from a union all select * from b) select user_id, tick, kind::bigint kind, row_number() over (partition by user_id order by tick, kind)::bigint place from u")
@@ -283,10 +285,10 @@ def session_intersect(spark: SparkSession, d: str) -> DataFrame:
     return o.where("o_orderstatus = 'F'").select("o_custkey").intersect(o.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
-@register("select c_custkey from customer except select o_custkey from orders")
+@register("select c_custkey from customer except select o_custkey from orders where o_orderstatus = 'P'")
 def session_difference(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer").select("c_custkey")
-    return c.join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct()
+    return c.join(read(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct()
 
 
 @register("select o_custkey, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) r from orders) where r = 1")
@@ -339,15 +341,12 @@ def mean_band(spark: SparkSession, d: str) -> DataFrame:
     return b.select("event_type", *[r6(c).alias(c) for c in ("mean", "low", "high")])
 
 
-@register("with x as (select unnest(range(8))::bigint i, vec_id, embedding e from embeddings), y as (select unnest(range(8))::bigint j, vec_id, embedding e from embeddings) select x.i, y.j, round(covar_pop(x.e[x.i + 1]::double, y.e[y.j + 1]::double), 6) c from x join y using (vec_id) where x.i <= y.j group by all")
+@register("with x as (select vec_id, unnest(range(64))::bigint i, unnest(embedding)::double v from embeddings) select x.i, y.i j, round(covar_pop(x.v, y.v), 6) c from x join x y using (vec_id) where x.i <= y.i group by all")
 def embedding_covariance(spark: SparkSession, d: str) -> DataFrame:
-    # One pass over the vectors: 36 aggregates, no pairs of rows.
-    e = read(spark, d, "embeddings")
-    at = lambda k: F.element_at("embedding", k + 1).cast("double")
-    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
-    one = e.agg(*[F.covar_pop(at(i), at(j)).alias(f"c{i}_{j}") for i, j in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), r6(f"c{i}_{j}").alias("c")) for i, j in pairs])).alias("r")
-    return one.select(rows).select("r.*")
+    """All components. A vector gives its products once, summed up before the shuffle; no rows are paired."""
+    x = read(spark, d, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 1, F.size("x")), lambda b, k: F.struct(i.cast("long").alias("i"), (i + k).cast("long").alias("j"), a.alias("a"), b.alias("b")))))
+    return x.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(r6(F.covar_pop("p.a", "p.b")).alias("c"))
 
 
 @register("with x as (select vec_id, embedding[1]::double s, (label >= 5)::int p from embeddings), r as (select p, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 k from x) select round((sum(k * p) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * sum(1 - p)), 6)::double auc, sum(p)::bigint n_pos, sum(1 - p)::bigint n_neg from r")
@@ -435,14 +434,20 @@ def linear_score(spark: SparkSession, d: str) -> DataFrame:
     return spread(triples(spark, d).withColumn("v", fusion.linear_log_prob("a", model)), "v", LP, "vec_id")
 
 
-@register("with x as (select vec_id, label, unnest(range(64)) k, unnest(embedding)::double v from embeddings where label < 3), m as (select label c, k, avg(v) m from x group by all), q as (select x.vec_id, x.label, m.c, sum((v - m) * (v - m)) d2 from x join m using (k) group by all), r as (select *, row_number() over (partition by vec_id order by d2, c) n from q) select vec_id, label::bigint truth, (c + 1)::bigint y, round(d2, 5) d2 from r where n = 1")
-def nearest_mean(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").where("label < 3")
-    means = e.select("label", F.posexplode("embedding").alias("k", "v")).groupBy("label", "k").agg(F.avg(F.col("v").cast("double")).alias("m"))
+NEAR = "x as (select vec_id, label % 3 c, unnest(range(64)) k, unnest(embedding)::double v from embeddings), m as (select c, k, avg(v) m from x group by all), q as (select x.vec_id, x.c truth, m.c, sum((v - m) * (v - m)) d2 from x join m using (k) group by all)"
+
+
+def class_means(e: DataFrame) -> DataFrame:
+    """`e` (label, x) with `means`, the mean vectors of its classes in order: one row of numbers, broadcast."""
+    means = e.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("m"))
     means = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("ms")).agg(F.array_sort(F.collect_list(F.struct("label", F.transform("ms", lambda r: r["m"]).alias("m")))).alias("means"))
-    # Three class means of 64 numbers: one row, broadcast.
-    d2 = F.transform("means", lambda c: S.asum(F.zip_with("embedding", c["m"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))))
-    e = e.crossJoin(F.broadcast(means)).withColumn("d2", d2)
+    return e.crossJoin(F.broadcast(means.select(F.transform("means", lambda r: r["m"]).alias("means"))))
+
+
+@register(f"with {NEAR}, r as (select *, row_number() over (partition by vec_id order by d2, c) n from q) select vec_id, truth::bigint truth, (c + 1)::bigint y, round(d2, 5) d2 from r where n = 1")
+def nearest_mean(spark: SparkSession, d: str) -> DataFrame:
+    e = class_means(_vectors(spark, d).withColumn("label", F.col("label") - 1))
+    e = e.withColumn("d2", F.transform("means", lambda m: S.asum(F.zip_with("x", m, lambda a, b: (a - b) * (a - b)))))
     return e.select("vec_id", long("label").alias("truth"), long(F.array_position("d2", F.array_min("d2"))).alias("y"), F.round(F.array_min("d2"), 5).alias("d2"))
 
 
@@ -502,10 +507,16 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select("session_id", "vec_id", (F.col("label") % 3 + 1).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
-@register()
+SOS = filters.butterworth(2, 0.1, 1.0, "lowpass")
+(B0, B1, B2, _, A1, A2), (Z1, Z2) = SOS[0].tolist(), filters.steady_state(SOS)[0].tolist()
+
+
+@register(
+    f"with recursive {STREAM}, f as (select user_id, sample, {B0!r} * value + {Z1!r} * value y, {B1!r} * value - {A1!r} * ({B0!r} * value + {Z1!r} * value) + {Z2!r} * value z1, {B2!r} * value - {A2!r} * ({B0!r} * value + {Z1!r} * value) z2 from s where sample = 0"
+    f" union all select s.user_id, s.sample, {B0!r} * value + z1, {B1!r} * value - {A1!r} * ({B0!r} * value + z1) + z2, {B2!r} * value - {A2!r} * ({B0!r} * value + z1) from f join s on s.user_id = f.user_id and s.sample = f.sample + 1) select user_id, sample::bigint sample, round(y, 6) filtered from f"
+)
 def iir_filter(spark: SparkSession, d: str) -> DataFrame:
-    sos = filters.butterworth(2, 0.1, 1.0, "lowpass")
-    f = signal.filtered(samples(spark, d).select("user_id", "sample", "value"), U, ["sample"], "value", sos)
+    f = signal.filtered(samples(spark, d).select("user_id", "sample", "value"), U, ["sample"], "value", SOS)
     return f.select("user_id", "sample", r6("filtered").alias("filtered"))
 
 
@@ -558,7 +569,15 @@ def mdm_riemann(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).groupBy("session_id").applyInPandas(run, "session_id string, vec_id long, y long")
 
 
-@register()
+DRAW = "(('0x' || substr(md5({1}), 1, 8))::bigint % {0})"
+
+
+@register(
+    f"with {TRUTH}, {cells_sql('l_suppkey')}, x as (select l_suppkey % 10 o, least(f1, f2, f3) v from f), j as (select o, v, row_number() over (partition by o order by v) - 1 j, count(*) over (partition by o) m from x),"
+    f" u as (select o, m, row_number() over (order by o) - 1 i, count(*) over () n from (select distinct o, m from j)), p as (select rep, k, {DRAW.format('n', chr(39) + '0|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || k')} i from range(2000) t(rep), (select distinct n from u) c, unnest(range(n)) s(k)),"
+    f" h as (select rep, k, o, m, unnest(range(m)) l from p join u using (i)), w as (select rep, k, o, {DRAW.format('m', chr(39) + '0|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || k || ' + chr(39) + '|' + chr(39) + ' || l')} j from h), g as (select rep, k, avg(v) v from w join j using (o, j) group by all), z as (select rep, avg(v) v from g group by 1)"
+    " select round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.5), 6) middle, round(quantile_cont(v, 0.975), 6) high from z"
+)
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     m = scoring.metrics(truth3(spark, d, "l_suppkey"), ["l_suppkey"]).withColumn("subject", F.col("l_suppkey") % 10)
     b = stats.bootstrap(m, "subject", "min_f1", 2000)
@@ -567,12 +586,17 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def session_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The block-by-block session plan on seeded recordings, which the driver's tables don't have."""
-    s, eeg, nirs = synthetic.recordings(spark)
-    return session.scored(session.run(s, eeg, nirs, config.build()), s)
+    """The final configuration on seeded recordings of full length, which the driver's tables don't have: two subjects and one
+    more for every 500 suppliers, two sessions each."""
+    subjects = 2 + read(spark, d, "supplier").count() // 500
+    s, eeg, nirs = synthetic.recordings(spark, subjects, 2, blocks=7, trials=4, prep=1.5, task=9.0)
+    return session.scored(session.run(s, eeg, nirs, config.build(preset="final")), s)
 
 
-@register()
+@register(f"with {TRUTH}, {cells_sql('l_suppkey')}, g as (select least(f1, f2, f3) a, (p1 + p2 + p3) / 3 b from f), r as (select rank() over (order by round(a, 12)) + (count(*) over (partition by round(a, 12)) - 1) / 2.0 x, rank() over (order by round(b, 12)) + (count(*) over (partition by round(b, 12)) - 1) / 2.0 y from g) select round(corr(x, y), 6) rho, count(*)::bigint n from r")
 def metric_correlations(spark: SparkSession, d: str) -> DataFrame:
-    m = scoring.metrics(truth3(spark, d, "l_suppkey"), ["l_suppkey"])
+    m = scoring.metrics(truth3(spark, d, "l_suppkey"), ["l_suppkey"]).select(*[F.round(c, 12).alias(c) for c in ("min_f1", "macro_recall")])
     return stats.spearman(m, "min_f1", "macro_recall").select(r6("rho").alias("rho"), "n")
+
+
+from . import more  # noqa: E402, F401 (registers further queries)

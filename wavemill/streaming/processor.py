@@ -1,12 +1,12 @@
-"""The online front end as a stateful stream processor: samples in, grid windows out, whatever the micro-batches.
+"""The online path as stateful stream processors: samples in, grid windows or answers out, whatever the micro-batches.
 
-State per session is the filters' state, the last window of filtered samples, and the numbers seen. Answers equal those of
-the batch plan because both push the same samples through the same kernel in the same order.
+State per session is what the filters remember, the last window of samples, samples that came early and, for answers, the
+windows so far; all of it plain numbers in typed columns. Results equal those of the batch plan because both push the same
+samples through the same kernels in the same order.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,33 +15,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.signal import FrontEnd
+from ..functions import spd
+from ..operators import decode
+from ..operators.signal import FrontEnd, spatial_matrix
 
 WINDOWS = "session_id string, end_sample bigint, label int, block int, homogeneous boolean, power array<double>"
+_EARLY = ["sample", "x", "state", "block"]
+_KEPT = ["k", "label", "block", "homogeneous", "trained", "moments"]
 
 
-class GridWindows(StatefulProcessor):
-    """Emits (session_id, end_sample, label, block, homogeneous, power): log power per band and channel at grid ends.
+class Samples(StatefulProcessor):
+    """Takes a session's samples in order of their number and gives the windows they complete to `emitted`.
 
-    Samples of a session are taken in order of their number; those that come again are left out, and those ahead of a gap
-    wait in state until it is filled.
+    Samples that come again are left out. Those ahead of a gap wait in state until it is filled; a gap that is still open when
+    `most_early` samples wait is an error, as nothing after it could ever be answered.
     """
 
-    def __init__(self, bands, order: int, highpass: float, fs: float):
-        self.settings = (bands, order, highpass, fs)
+    def __init__(self, bands, order: int, highpass: float, fs: float, most_early: int = 15_000):
+        self.settings, self.most_early = (bands, order, highpass, fs), most_early
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("front_end", "blob binary")
+        self.front = handle.getValueState("front", "seen bigint, first array<double>, tail array<double>, memory array<double>, labels array<int>")
+        self.early = handle.getListState("early", "sample bigint, x array<double>, state int, block int")
+
+    def emitted(self, key: tuple, ends: list[int], covs: np.ndarray, cut: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.state.exists():
-            front, labels, early = pickle.loads(self.state.get()[0])
-        else:
-            front, labels, early = FrontEnd(*self.settings), np.zeros((0, 2), dtype=np.int32), None
-        new = pd.concat([*rows] + ([early] if early is not None else []))
+        front, labels = FrontEnd(*self.settings), np.zeros((0, 2), dtype=np.int32)
+        if self.front.exists():
+            *kept, flat = self.front.get()
+            front, labels = front.thaw(*kept), np.asarray(flat, dtype=np.int32).reshape(-1, 2)
+        waiting = pd.DataFrame(list(self.early.get()), columns=_EARLY) if self.early.exists() else pd.DataFrame(columns=_EARLY)
+        new = pd.concat([r[_EARLY] for r in rows] + ([waiting] if len(waiting) else []))
         new = new[new["sample"] >= front.seen].drop_duplicates("sample").sort_values("sample")
         ready = new["sample"].to_numpy() == front.seen + np.arange(len(new))
-        early, new = (new[~ready] if not ready.all() else None), new[ready]
+        later, new = new[~ready], new[ready]
+        if len(later) > self.most_early:
+            raise ValueError(f"session {key[0]}: sample {front.seen + len(new)} is missing and {len(later)} wait for it")
         if len(new):
             labels = np.concatenate([labels, new[["state", "block"]].to_numpy(dtype=np.int32)])
             ends, covs = front.push(np.stack(new["x"].to_numpy()))
@@ -49,18 +60,76 @@ class GridWindows(StatefulProcessor):
             cut = [labels[e - front.win - base : e - base] for e in ends]
             labels = labels[-(front.win - 1) :]
             if ends:
-                power = np.log(np.maximum(np.einsum("kbii->kbi", covs), 1e-300)).reshape(len(ends), -1)
-                yield pd.DataFrame({"session_id": key[0], "end_sample": ends, "label": [int(c[-1, 0]) for c in cut], "block": [int(c[-1, 1]) for c in cut], "homogeneous": [bool((c == c[0]).all() and c[0, 0] > 0) for c in cut], "power": list(power)})
-        self.state.update((pickle.dumps((front, labels, early)),))
+                yield from self.emitted(key, ends, covs, cut)
+        self.front.update((*front.frozen(), labels.ravel().tolist()))
+        if len(later):
+            self.early.put([(int(r.sample), [float(v) for v in r.x], int(r.state), int(r.block)) for r in later.itertuples()])
+        elif len(waiting):
+            self.early.clear()
 
     def close(self) -> None:
         pass
 
 
+def _same(c: np.ndarray) -> bool:
+    return bool((c == c[0]).all() and c[0, 0] > 0)
+
+
+class GridWindows(Samples):
+    """Emits (session_id, end_sample, label, block, homogeneous, power): log power per band and channel at grid ends."""
+
+    def emitted(self, key: tuple, ends: list[int], covs: np.ndarray, cut: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        power = np.log(np.maximum(np.einsum("kbii->kbi", covs), 1e-300)).reshape(len(ends), -1)
+        yield pd.DataFrame({"session_id": key[0], "end_sample": ends, "label": [int(c[-1, 0]) for c in cut], "block": [int(c[-1, 1]) for c in cut], "homogeneous": [_same(c) for c in cut], "power": list(power)})
+
+
+class Answers(Samples):
+    """Emits decode.ANSWERS for windows as they are completed, by models of all blocks before theirs.
+
+    A block that has begun is answered by a fit on those before; the fit is made again in each micro-batch that asks for it, from
+    the windows in state, which are some thousand numbers each. The configuration is that of the batch plan, without the second
+    stream and without bad channels (which only the end of block 1 can tell); `model` is a cross-subject model to mix in.
+    """
+
+    def __init__(self, cfg: dict, fs: float = 250.0, model: dict | None = None):
+        e = cfg["eeg"]
+        super().__init__(e["bands"], e["band_order"], e["hp_hz"], fs)
+        self.cfg = {**cfg, "nirs": {**cfg["nirs"], "enabled": False}}
+        self.matrix, _ = spatial_matrix(tuple(e["channels"]), e["reference"])
+        self.model = pd.DataFrame([model]) if model else pd.DataFrame()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.windows = handle.getListState("windows", "k bigint, label int, block int, homogeneous boolean, trained boolean, moments array<double>")
+
+    def emitted(self, key: tuple, ends: list[int], covs: np.ndarray, cut: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        e, win = self.cfg["eeg"], FrontEnd(*self.settings).win
+        step = FrontEnd(*self.settings).step
+        m = spd.congruence(self.matrix, covs)
+        rows = [((end - win) // step, int(c[-1, 0]), int(c[-1, 1]), _same(c), _same(c), x.ravel().tolist()) for end, c, x in zip(ends, cut, m, strict=True)]
+        old = [tuple(r) for r in self.windows.get()] if self.windows.exists() else []
+        self.windows.appendList(rows)
+        w = pd.DataFrame(old + rows, columns=_KEPT)
+        w["fresh"] = np.arange(len(w)) >= len(old)
+        x = np.stack(w["moments"].to_numpy()).reshape(len(w), *m.shape[1:])
+        n = e["cov_avg_n"]
+        x = sum(x[np.maximum(np.arange(len(x)) - j, 0)] for j in range(n)) / n
+        w["spd"] = list(spd.estimate(x, win, e["cov"], e["cov_eps"]).reshape(len(w), -1))
+        yield decode.decoder(self.cfg, len(self.matrix))(key, w, self.model)
+
+
+def _processed(eeg: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    return eeg.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+
+
 def grid_windows(eeg: DataFrame, cfg: dict, fs: float = 250.0) -> DataFrame:
     """Grid windows of a stream of samples (session_id, sample, x, state, block); needs the RocksDB state store."""
-    processor = GridWindows(cfg["bands"], cfg["order"], cfg["highpass"], fs)
-    return eeg.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=WINDOWS, outputMode="Append", timeMode="None")
+    return _processed(eeg, GridWindows(cfg["bands"], cfg["band_order"], cfg["hp_hz"], fs), WINDOWS)
+
+
+def answers(eeg: DataFrame, cfg: dict, fs: float = 250.0, model: dict | None = None) -> DataFrame:
+    """Answers of a stream of samples, as log-probabilities for operators.fusion to mix and fuse."""
+    return _processed(eeg, Answers(cfg, fs, model), decode.ANSWERS)
 
 
 def trailing_counts(events: DataFrame, width: str = "5 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
