@@ -367,6 +367,67 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), lab).count() == 0
 
 
+def brute_toxicity(text, model):
+    """Every entry of the lexicon looked for at every word, without an automaton."""
+    words = toxicity.fold(text or "").split()
+    hidden = {at for e in model["exceptions"] for k in range(len(words)) for at in range(k, k + len(e.split())) if words[k : k + len(e.split())] == toxicity.fold(e).split()}
+    total = 0.0
+    for k, w in enumerate(words):
+        fits = [v for t, v in model["weights"].items() if (t == f" {w} " if t.endswith(" ") else f" {w}".startswith(t))]
+        total += max(fits, default=0.0) if k not in hidden else 0.0
+    a, b, c = model["curve"]
+    x, y = toxicity.features(total, len(words))
+    return 1 / (1 + np.exp(-(a * x + b * y + c)))
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(21)
+    rows, labels = [], []
+    for k in range(400):
+        w = prose(rng, 40).split()
+        for _ in range(3 * (k % 3 == 0)):
+            w.insert(rng.randrange(40), rng.choice(["moron", "m0ronic", "іdiot", "scum"]))
+        if k % 3:
+            w += ["no", "scum"] * (k % 40 == 1)  # a phrase of clean rows: an exception
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(k % 3 == 0)))
+    rows += [(900, None), (901, ""), (902, "scum " * 30_000), (5, rows[5][1])]
+    docs, lab = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab)
+    assert model["exceptions"] and model["weights"]
+    got = sorted((r.doc_id, r.score) for r in toxicity.scores(docs, model).collect())
+    for (i, s), (j, t) in zip(got, sorted((i, brute_toxicity(t, model)) for i, t in rows), strict=True):
+        assert i == j and s == pytest.approx(t, abs=1e-9)
+
+
+def brute_grade(text, model):
+    """Hashed grams by plain loops, then the cumulative logits one by one."""
+    b, w = (text or "").encode(), model["w"]
+    one = {x for x in b}
+    two = {(((b[i] * 257 + b[i + 1]) * 2654435761) % 2**32 >> 21) + 256 for i in range(len(b) - 1)}
+    three = {(((b[i] * 66049 + b[i + 1] * 257 + b[i + 2]) * 2246822519) % 2**32 >> 20) + 256 + quality.TWO for i in range(len(b) - 2)}
+    f = sum(sum(w[k] for k in s) / (len(s) + quality.SHORT) for s in (one, two, three))
+    words, lines = (text or "").split(), (text or "").split("\n")
+    n = max(1, len(words))
+    shares = (sum(x == y for x, y in zip(words, words[1:], strict=False)) / n, (1 - len(set(words)) / n) if words else 0.0, 1 - len(set(lines)) / len(lines))
+    steps = [int((quality.STEPS - 1) * x**0.5 + 0.5) for x in shares] + [min(quality.STEPS - 1, len(words).bit_length() // 2)]
+    f += sum(w[quality.SHAPE + k * quality.STEPS + x] for k, x in enumerate(steps))
+    above = [1 / (1 + np.exp(c - f)) for c in model["cuts"]]
+    return model["grades"][0] + sum(p * (y - x) for p, x, y in zip(above, model["grades"], model["grades"][1:], strict=False)), above[0]
+
+
+def test_quality_equals_brute_force(spark):
+    rng = random.Random(22)
+    rows = [(k, ("junk! " * 30, " ".join(prose(rng, 9).split() * 3), prose(rng, 50) + "\nÉ")[k % 3]) for k in range(150)] + [(500, None), (501, ""), (502, "ab" * 60_000), (3, "x"), (3, "x")]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, expected_grade double")
+    model = quality.fit(docs.where("doc_id < 500"), spark.createDataFrame([(k, (1, 2, 5)[k % 3]) for k in range(150)], "doc_id long, quality int"))
+    got = sorted((r.doc_id, r.expected_grade, r.tail_probability, r.kept) for r in quality.grades(docs, model).collect())
+    want = sorted((i, *brute_grade(t, model)) for i, t in rows)
+    for g, x in zip(got, want, strict=True):
+        assert g[0] == x[0] and g[1] == pytest.approx(x[1], abs=1e-6) and g[2] == pytest.approx(x[2], abs=1e-6) and g[3] == (g[2] >= 0.5)
+    assert len(model["cuts"]) == 2 and (np.diff(model["cuts"]) > 0).all() and quality.grades(docs.limit(0), model).count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(12)
     make = (lambda: "junk! " * 60, lambda: " ".join(f"{x}***" for x in prose(rng, 50).split()), lambda: prose(rng, 80))
@@ -397,6 +458,28 @@ def test_licence_scan(spark):
     assert licences.scan(docs.limit(0), licences.fit(docs.limit(0))).count() == 0
 
 
+def brute_licences(text):
+    """Families of which a paragraph holds most three-word runs of a notice, by plain sets of word triples."""
+    triples = lambda t: {tuple(w[k : k + 3]) for w in [re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())] for k in range(len(w) - 2)}
+    out = set()
+    for p in re.split(r"\n[^0-9A-Za-z\x80-\U0010ffff]*\n", text or ""):
+        own = triples(p)
+        for f, notices in licences.NOTICES.items():
+            if any((t := triples(n)) and len(t & own) >= licences.LEAST_COVERAGE * len(t) for n in notices):
+                out.add(f)
+    return out
+
+
+def test_licences_equal_brute_force(spark):
+    rng = random.Random(23)
+    plain = {f: n[-1] for f, n in licences.NOTICES.items() if f not in ("LGPL", "AGPL-3.0", "CC-BY", "CC-BY-SA", "CC-BY-NC")}  # those share wording
+    rows = [(k, prose(rng, 30) + "\n\n# " + n.replace(" ", "\n# " if k % 2 else " ", 3) + "\n\n" + prose(rng, 30)) for k, n in enumerate(plain.values())]
+    rows += [(100, prose(rng, 60)), (101, None), (102, ""), (103, "w " * 50_000 + next(iter(plain.values()))), (0, rows[0][1])]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, found string")
+    got = licences.scan(docs, licences.fit(docs)).collect()
+    assert sorted((r.doc_id, r.licences) for r in got) == sorted((i, ",".join(sorted(brute_licences(t)))) for i, t in rows)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(14)
     x = rng.normal(size=(900, 16)).astype(np.float32)

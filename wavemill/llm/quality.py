@@ -18,6 +18,8 @@ from .common import by_bytes, small_batches, texts
 
 #: Rated rows that the fit looks at, at most (in expectation).
 FIT_ROWS = 5_000
+#: Grades that a scale may have: each is a threshold of the model.
+LARGEST_SCALE = 100
 TWO, THREE = 1 << 11, 1 << 12
 SHAPE = 256 + TWO + THREE
 #: One-hot steps of each shape share, and of the number of words; grams of a text with few of them count less by this many.
@@ -99,7 +101,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", most: int =
     """
     small_batches(docs.sparkSession)
     y = ratings.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("y"))
-    counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).limit(LARGEST_SCALE + 1).collect()}
+    if len(counts) > LARGEST_SCALE:
+        raise ValueError(f"{grade} has more than {LARGEST_SCALE} grades: cut it into steps first")
     grades = sorted(counts)
     if len(grades) < 2:
         return {"grades": grades, "w": np.zeros(WIDTH), "cuts": np.zeros(0)}
@@ -108,7 +112,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", most: int =
     for g in grades:
         picked = picked | ((F.col("y") == g) & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(1_000_000 * min(1, each / counts[g]))))
     # At most twice the bound, so that it can go to all tasks; texts of other rows are never shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(y.where(picked).limit(2 * most)), "doc_id").select("text", F.col("y").cast("long").alias("y"))
+    some = y.where(picked).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(2 * most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("y").cast("long").alias("y"))
     x = rows.mapInArrow(sparse_rows, "y long, at binary, v binary").collect()
     rank = {g: i for i, g in enumerate(grades)}
     ys = np.array([rank[r["y"]] for r in x], dtype=np.int64)

@@ -27,7 +27,6 @@ FIT_ROWS = 20_000
 #: Toxic rows that a term is in, and its log odds less a standard error, at least.
 LEAST_DOCS = 5
 LEAST_LOG_ODDS = 2.0
-LARGEST_LEXICON = 4_000
 PREFIXES = (4, 5, 6)
 
 # Look-alikes of Latin letters in Cyrillic and Greek, digits and signs read as letters, l and i as one.
@@ -70,8 +69,8 @@ def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for t, y in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
             seen[y].update(terms(fold(t)))
-        keep = seen[1]  # a term never met in a toxic row of any batch has no weight; its clean count is not needed
-        rows = [(k, keep[k], seen[0][k]) for k in {*keep, *seen[0]}]
+        # Clean counts go out too: another batch may have the term in its toxic rows.
+        rows = [(k, seen[1][k], seen[0][k]) for k in {*seen[1], *seen[0]}]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["term", "bad", "good"])
 
 
@@ -167,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), mo
     if total > most:
         y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * most / total))
     # At most twice the bound, so that it can go to all tasks; texts of other rows are never shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(y.limit(2 * most)), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    some = y.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(2 * most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("y").cast("int").alias("y"))
     rows = staged(rows)
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
@@ -178,14 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), mo
     doubt = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     least = min(LEAST_DOCS, max(3, bad // 20))
     top = found.where(F.col("bad") >= least).withColumn("w", odds - doubt).where(F.col("w") >= LEAST_LOG_ODDS)
-    top = top.orderBy(F.desc(F.col("w") * F.col("bad")), "term").limit(LARGEST_LEXICON).collect()  # bounded
+    top = top.collect()  # terms of several sampled toxic rows each: bounded by the sample's words
     weights: dict[str, float] = {}
-    for r in sorted(top, key=lambda r: len(r["term"].strip())):
+    for r in sorted(top, key=lambda r: (len(r["term"].strip()), r["term"])):
         t = r["term"].strip()
         if not any(f" {t[:n]}" in weights for n in PREFIXES if n <= len(t)):  # a beginning stands for its words
             weights[r["term"]] = float(r["w"])
     pairs = rows.mapInArrow(neighbours(weights), "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    clean = pairs.where("good >= 3 and good > 4 * bad").orderBy(F.desc("good"), "phrase").limit(LARGEST_LEXICON).collect()
+    clean = pairs.where("good >= 3 and good > 4 * bad").orderBy("phrase").collect()  # phrases about entries in sampled rows
     exceptions = (*exceptions, *(r["phrase"] for r in clean))
     x = rows.mapInArrow(measured(weights, exceptions, True), "y int, a double, b double").toPandas()
     w = logistic(np.column_stack([x["a"], x["b"], np.ones(len(x))]), x["y"].to_numpy(dtype=float))
