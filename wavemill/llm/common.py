@@ -166,7 +166,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = staged(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct())
         # A fixed point repeats itself: the number of links and an order-free digest of them are compared.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if now == mark or not now[0]:
             break
         mark = now
     out = e.groupBy("u").agg(F.min("v").alias("v"))
