@@ -447,6 +447,27 @@ def log_power(spark: SparkSession, d: str) -> DataFrame:
     return p.select("vec_id", long("k").alias("k"), r6("v").alias("v"))
 
 
+FILTERS, PAIRS = [[1.0, -1.0, 0.5, 0.0], [0.2, 0.3, -1.0, 1.0]], [(0, 1), (2, 3)]
+
+
+def filter_sql() -> str:
+    cell = lambda i, j: f"(list_sum(list_transform(range(16), lambda t: x[t * 4 + {i + 1}] * x[t * 4 + {j + 1}])) / 16)"
+    cells = ", ".join(f"{cell(i, j)} c{i}{j}" for i in range(4) for j in range(4))
+    along = [f"ln({' + '.join(f'({w[i] * w[j]}) * c{i}{j}' for i in range(4) for j in range(4))})" for w in FILTERS]
+    power = [f"ln(c{i}{i})" for i in range(4)]
+    apart = [f"ln(c{i}{i}) - ln(c{j}{j})" for i, j in PAIRS]
+    return f"with e as (select vec_id, list_transform(embedding, lambda v: v::double) x from embeddings), c as (select vec_id, {cells} from e) select vec_id, " + ", ".join(f"round({v}, 6) f{k}" for k, v in enumerate(along + power + apart)) + " from c"
+
+
+@register(filter_sql())
+def filter_vector(spark: SparkSession, d: str) -> DataFrame:
+    e = _vectors(spark, d).select("vec_id", "x")
+    cell = lambda a, b: S.asum(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.get("x", t * 4 + a) * F.get("x", t * 4 + b))) / 16
+    cells = F.array(*[cell(a, b) for a in range(4) for b in range(4)])
+    f = signal.filter_vector(e.withColumn("spd", cells), 4, FILTERS, PAIRS)
+    return f.select("vec_id", *[r6(F.col("feature")[k]).alias(f"f{k}") for k in range(8)])
+
+
 HB = "h as (select label, vec_id, list_transform(embedding[1:18], lambda x: x::double) o, list_transform(embedding[19:36], lambda x: x::double) r from embeddings)"
 
 
