@@ -111,6 +111,7 @@ class Answers(Samples):
         self.windows.appendList(rows)
         w = pd.DataFrame(old + rows, columns=_KEPT)
         w["fresh"] = np.arange(len(w)) >= len(old)
+        w["start_sample"], w["end_sample"] = w["k"] * step, w["k"] * step + win
         x = np.stack(w["moments"].to_numpy()).reshape(len(w), *m.shape[1:])
         n = e["cov_avg_n"]
         x = sum(x[np.maximum(np.arange(len(x)) - j, 0)] for j in range(n)) / n
