@@ -37,6 +37,8 @@ SYLLABLES = {"Latin": ("ba", "be", "da", "do", "ka", "ke", "la", "lo", "ma", "mi
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
 _EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+#: The type of what was found and is no entity: it stays as it is.
+PLAIN = "plain"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _CARD = r"\d{4}(?<sa>[ -]?)\d{4}\k<sa>\d{4}\k<sa>\d{4}|3[47]\d\d(?<sb>[ -]?)\d{6}\k<sb>\d{5}"
 _IP6 = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
@@ -74,10 +76,16 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def _checked(digits: Column) -> Column:
+    """Whether the last digit is the check digit of the others."""
+    return _luhn(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))
+
+
 def kind(e: Column) -> Column:
-    """The type of a found entity that is no labelled secret, from its own form."""
+    """The type of a found entity that is no labelled secret, from its own form; a number of a card's length whose check digit is
+    wrong is none."""
     out = F.when(e.rlike("@"), "email").when(e.rlike("^AKIA[0-9A-Z]{16}$"), "key").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-    out = out.when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip").when(e.rlike(rf"^{_IP6}$"), "ip6").when(e.rlike(rf"^(?:{_CARD})$"), "card").when(e.rlike(rf"^{_IBAN}$"), "iban")
+    out = out.when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip").when(e.rlike(rf"^{_IP6}$"), "ip6").when(e.rlike(rf"^(?:{_CARD})$"), F.when(_checked(_digits(e)), "card").otherwise(PLAIN)).when(e.rlike(rf"^{_IBAN}$"), "iban")
     out = out.when(e.rlike(r"^[+(\d][\d ().-]+$") & (F.length(_digits(e)) >= 7) & e.rlike(r"[ ().+-]"), "phone")
     return out.when(e.rlike(rf"^{_NAME}(?: {_NAME})?$"), "name").otherwise("secret")
 
@@ -268,16 +276,18 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     pattern = F.when(F.col("pattern") != FOUND, F.col("pattern"))  # most texts have the one that all know
     parts = parts.select("at", pattern.alias("pattern"), "place", F.posexplode(typed).alias("k", "x")).select("at", "pattern", "place", "k", F.col("x.t").alias("t"), F.col("x.w").alias("e"))
     parts = staged(parts.withColumn("who", identity(F.col("e"), F.col("t"))))
-    sur = mapping(parts, key)
-    new = parts.join(sur, ["t", "who"]).select("at", "pattern", F.struct("place", "k", formed(F.col("e"), F.col("t"), F.col("sur")).alias("s"), "t").alias("x"))
+    sur = mapping(parts.where(F.col("t") != PLAIN), key)
+    written = F.when(F.col("t") == PLAIN, F.col("e")).otherwise(formed(F.col("e"), F.col("t"), F.col("sur")))
+    new = parts.join(sur, ["t", "who"], "left").select("at", "pattern", F.struct("place", "k", written.alias("s"), "t").alias("x"))
     new = new.groupBy("at").agg(F.max("pattern").alias("pattern"), F.array_sort(F.collect_list("x")).alias("new"))
-    kinds = F.transform("new", lambda x: F.when((x["t"] == "surname") | x["t"].startswith("given"), "name").otherwise(x["t"]))
+    real = F.filter("new", lambda x: x["t"] != PLAIN)
+    kinds = F.transform(real, lambda x: F.when((x["t"] == "surname") | x["t"].startswith("given"), "name").otherwise(x["t"]))
     # Each word of a name is preceded by what stands between it and the entity before: a space inside a name.
-    new = new.withColumn("s", F.transform("new", lambda x: F.concat(F.when(x["k"] > 0, F.lit(" ")).otherwise(F.lit("\x00")), x["s"]))).withColumn("types", F.concat_ws(",", F.array_sort(F.array_distinct(kinds))))
-    new = new.select("at", "pattern", "types", F.slice(F.split(F.array_join("s", ""), "\x00"), 2, 1 << 30).alias("s"))
+    new = new.withColumn("s", F.transform("new", lambda x: F.concat(F.when(x["k"] > 0, F.lit(" ")).otherwise(F.lit("\x00")), x["s"]))).withColumn("types", F.concat_ws(",", F.array_sort(F.array_distinct(kinds)))).withColumn("n", F.size(F.filter(real, lambda x: x["k"] == 0)).cast("long"))
+    new = new.select("at", "pattern", "types", "n", F.slice(F.split(F.array_join("s", ""), "\x00"), 2, 1 << 30).alias("s"))
     pieces = F.split("text", F.coalesce("pattern", F.lit(FOUND)), -1)
     tail = F.concat("s", F.array(F.lit("")))
-    done = some.join(new, "at").select("row", F.array_join(F.zip_with(pieces, tail, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"), F.size("s").cast("long").alias("n_entities"), F.col("types").alias("entity_types"))
+    done = some.join(new, "at").select("row", F.array_join(F.zip_with(pieces, tail, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"), F.col("n").alias("n_entities"), F.col("types").alias("entity_types"))
     out = done.unionByName(base.where(~has).select("row", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_types")))
     chars = lambda c: F.char_length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("row")[c]
     return out.select(*[(F.col("text") if c == "text" else chars(c)).alias(c) for c in names], "n_entities", "entity_types")
