@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, licences, near_dedup, pieces, quality, suffix_dedup, surrogates, token_store, toxicity
+from . import ann, decontaminate, filter_audit, lexical, licences, line_dedup, near_dedup, pieces, quality, suffix_dedup, surrogates, token_store, toxicity
 from .common import shared_dir, surrogate_key, table
 from .oracles import ORACLES
 
@@ -55,7 +55,19 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_found"), "licences", "found")
 
 
-_ALL = (op1_ann, op2_decontamination, op3_toxicity, op4_pieces, op5_near_dedup, op6_surrogates, op7_suffix_dedup, op8_quality, op9_token_store, op10_licences)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_common_lines(table(spark, sf_dir, "documents"), keep=False)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_ann, op2_decontamination, op3_toxicity, op4_pieces, op5_near_dedup, op6_surrogates, op7_suffix_dedup, op8_quality, op9_token_store, op10_licences, op11_line_dedup, op12_lexical_search, op13_filter_audit)
 QUERIES = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLES", "QUERIES"]
