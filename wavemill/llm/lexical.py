@@ -87,8 +87,8 @@ class Postings:
         use = use[np.argsort(term[use], kind="stable")]
         self.place, self.share, term = place[use], share[use], term[use]
         self.width = len(n)
-        first = np.flatnonzero(np.diff(term, prepend=-1))
-        self.at = dict(zip(term[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(term)], strict=True), strict=True))
+        edge = [*np.flatnonzero(np.diff(term, prepend=-1)).tolist(), len(term)]
+        self.at = {int(term[a]): (a, b) for a, b in zip(edge, edge[1:], strict=False)}
         self.bits: dict[int, np.ndarray] = {}
 
     def bitset(self, term: int) -> np.ndarray:

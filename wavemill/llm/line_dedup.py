@@ -180,11 +180,11 @@ def hits(lines: DataFrame, own: DataFrame, shards: int, share: int, least: int =
 
 
 def cut(least: int, keep: bool):
-    """Takes the lines with hashes in `lost` out of each text."""
+    """Takes the lines whose hashes the last column has out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            parts, lost = _texts(batch), batch.column("lost").to_pylist()
+            parts, lost = _texts(batch), batch.column(batch.num_columns - 1).to_pylist()
             some = [k for k, x in enumerate(lost) if x]
             lines = Lines([parts[k] for k in some], least)
             key = np.zeros(len(lines.end), dtype=np.uint64)
@@ -201,7 +201,7 @@ def cut(least: int, keep: bool):
             own = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())]
             if keep:
                 text = pa.array([p.decode() for p in parts], pa.string())
-                rest = [c for c in batch.schema.names if c not in ("doc_id", "text", "lost")]
+                rest = batch.schema.names[2:-1]
                 yield pa.RecordBatch.from_arrays([*own, text, *(batch.column(c) for c in rest)], ["doc_id", "n_lines", "n_dropped", "text", *rest])
             else:
                 yield pa.RecordBatch.from_arrays([*own, pa.array([hashlib.sha256(p).hexdigest() for p in parts])], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
@@ -234,9 +234,9 @@ def without_common_lines(docs: DataFrame, keep: bool = True, least: int = LEAST_
     place of columns of those names); without it, doc_id, n_lines, n_dropped and kept_sha256. Empty tables give empty ones.
     """
     lost = lost_lines(docs, least, points)
-    rest = [c for c in docs.columns if keep and c not in ("doc_id", "text", "lost", "n_lines", "n_dropped")]
-    rows = docs.select("doc_id", "text", *rest)
-    rows = rows.join(lost.hint("shuffle_hash"), F.coalesce(rows["doc_id"], F.lit(NO_ID)) == lost["id"], "left").select(rows["doc_id"], rows["text"], *[rows[c] for c in rest], lost["lost"])
+    rest = [c for c in docs.columns if keep and c not in ("doc_id", "text", "n_lines", "n_dropped")]
+    rows, last = docs.select("doc_id", "text", *rest), "lost" + "_" * max(len(c) for c in docs.columns)
+    rows = rows.join(lost.hint("shuffle_hash"), F.coalesce(rows["doc_id"], F.lit(NO_ID)) == lost["id"], "left").select(rows["doc_id"], rows["text"], *[rows[c] for c in rest], lost["lost"].alias(last))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     if not keep:
         return rows.mapInArrow(cut(points, False), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
