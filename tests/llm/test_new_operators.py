@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import filter_audit, lexical, line_dedup
+from wavemill.llm import filter_audit, lexical, line_dedup, quality, toxicity
 from wavemill.llm.queries import QUERIES
 
 WORDS = [f"w{k}{'aeiou'[k % 5]}" for k in range(120)]
@@ -236,3 +236,33 @@ def test_queries_equal_sql(spark, name):
     want = con.execute(ORACLES[name])
     cols = [c[0] for c in want.description]
     assert sorted(map(tuple, QUERIES[name](spark, d).select(*cols).collect())) == sorted(want.fetchall())
+
+
+def test_grades_of_any_kind(spark):
+    """Fractions, and scales of more grades than the model has thresholds."""
+    rng = random.Random(31)
+    rows = [(k, " ".join(rng.choice(["junk!", "w1", "w2"][: 1 + (k % 3)]) for _ in range(60))) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = [(900, 7.5), (1, None), (2, float("nan")), (None, 0.5), (4, 9.5)]
+    rated = spark.createDataFrame([(k, (0.5, 0.7, 2.5)[k % 3]) for k in range(3, 240)] + odd, "doc_id long, quality double")
+    model = quality.fit(docs, rated)
+    assert model["grades"] == [0.5, 0.7, 2.5] and len(model["cuts"]) == 2  # 7.5 rates a document that is not there, 9.5 is not the lowest
+    out = {r.doc_id: r.expected_grade for r in quality.grades(docs, model).collect()}
+    assert np.mean([out[k] for k in range(2, 240, 3)]) > np.mean([out[k] for k in range(0, 240, 3)]) + 0.5
+    fine = spark.createDataFrame([(k, (k % 3) + k / 1000) for k in range(240)], "doc_id long, quality double")
+    y, values, counts = quality.ranked_grades(fine, "quality")
+    assert len(values) == len(counts) == quality.LARGEST_SCALE and sum(counts) == 240 and values == sorted(values)
+    want = sorted((k % 3) + k / 1000 for k in range(240))
+    assert [r["rank"] for r in y.join(fine, "doc_id").orderBy("quality").collect()] == sorted(np.repeat(np.arange(100), counts).tolist())
+    assert np.dot(values, counts) == pytest.approx(sum(want))
+    assert len(quality.fit(docs, fine)["cuts"]) == quality.LARGEST_SCALE - 1
+
+
+def test_toxic_labels_of_any_kind(spark):
+    rng = random.Random(32)
+    rows = [(k, prose(rng, 30) + (" vilebad " if k % 3 == 0 else " ") + prose(rng, 20)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = toxicity.fit(docs, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)], "doc_id long, toxic int"))
+    other = toxicity.fit(docs, spark.createDataFrame([(k, 2.5 if k % 3 == 0 else -1.0 if k % 2 else 0.0) for k in range(150)] + [(1, None), (2, float("nan"))], "doc_id long, toxic double"))
+    assert plain == other and plain["weights"]
+    assert [r.predicted for r in toxicity.scores(docs, other).orderBy("doc_id").collect()] == [int(k % 3 == 0) for k in range(150)]

@@ -94,32 +94,50 @@ def fit_ordinal(at: list[np.ndarray], v: list[np.ndarray], y: np.ndarray, width:
     return {"w": theta[:width] / scale, "cuts": cuts}
 
 
+def ranked_grades(ratings: DataFrame, grade: str) -> tuple[DataFrame, list[float], list[int]]:
+    """(doc_id, rank) of rated documents, the value of each rank, and how many documents have it.
+
+    Grades are numbers of any kind; a document's lowest counts; null, NaN and infinite ones are no rating. A scale of more than
+    LARGEST_SCALE grades is cut at its percentiles into as many ranks, whose values are their means.
+    """
+    y = ratings.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(grade).cast("double").alias("y"))
+    y = y.where("y is not null and not isnan(y) and abs(y) < double('inf')").groupBy("doc_id").agg(F.min("y").alias("y"))
+    counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).limit(LARGEST_SCALE + 1).collect()}
+    if len(counts) <= LARGEST_SCALE:
+        values = sorted(counts)
+        rank = F.array_position(F.array(*map(F.lit, values)), F.col("y")) - 1 if values else F.lit(0)
+        return y.select("doc_id", rank.cast("long").alias("rank")), values, [counts[v] for v in values]
+    cuts = y.agg(F.percentile_approx("y", [k / LARGEST_SCALE for k in range(1, LARGEST_SCALE)], 10_000)).first()[0]
+    cuts = F.array(*map(F.lit, sorted(set(cuts))))
+    y = y.withColumn("step", F.size(F.filter(cuts, lambda c: c < F.col("y"))))
+    steps = sorted(tuple(r) for r in y.groupBy("step").agg(F.avg("y"), F.count("*")).collect())  # LARGEST_SCALE rows at most
+    rank = F.array_position(F.array(*[F.lit(s) for s, _, _ in steps]), F.col("step")) - 1
+    return y.select("doc_id", rank.cast("long").alias("rank")), [v for _, v, _ in steps], [n for _, _, n in steps]
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", most: int = FIT_ROWS) -> dict:
-    """The model from rated rows, `most` of them at most in expectation; repeated ratings of a doc_id count as the lowest.
+    """The model from rated rows (as ranked_grades reads them), `most` of them at most in expectation.
 
     With fewer than two grades nothing can be learned: every text then has the only grade (or none).
     """
     small_batches(docs.sparkSession)
-    y = ratings.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("y"))
-    counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).limit(LARGEST_SCALE + 1).collect()}
-    if len(counts) > LARGEST_SCALE:
-        raise ValueError(f"{grade} has more than {LARGEST_SCALE} grades: cut it into steps first")
-    grades = sorted(counts)
-    if len(grades) < 2:
-        return {"grades": grades, "w": np.zeros(WIDTH), "cuts": np.zeros(0)}
-    each = most / len(grades)
+    y, values, counts = ranked_grades(ratings, grade)
+    if len(values) < 2:
+        return {"grades": values, "w": np.zeros(WIDTH), "cuts": np.zeros(0)}
+    each = most / len(values)
     picked = F.lit(False)
-    for g in grades:
-        picked = picked | ((F.col("y") == g) & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(1_000_000 * min(1, each / counts[g]))))
+    for k, n in enumerate(counts):
+        picked = picked | ((F.col("rank") == k) & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(1_000_000 * min(1, each / n))))
     # At most twice the bound, so that it can go to all tasks; texts of other rows are never shuffled.
     some = y.where(picked).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(2 * most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("y").cast("long").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("rank").alias("y"))
     x = rows.mapInArrow(sparse_rows, "y long, at binary, v binary").collect()
-    rank = {g: i for i, g in enumerate(grades)}
-    ys = np.array([rank[r["y"]] for r in x], dtype=np.int64)
-    if len(set(ys.tolist())) < len(grades):
-        return {"grades": grades, "w": np.zeros(WIDTH), "cuts": np.zeros(len(grades) - 1)}
-    return {"grades": grades, **fit_ordinal([np.frombuffer(r["at"], dtype=np.int32) for r in x], [np.frombuffer(r["v"], dtype=np.float32) for r in x], ys)}
+    ys = np.array([r["y"] for r in x], dtype=np.int64)
+    found = sorted(set(ys.tolist()))  # grades whose documents aren't in `docs` are no grades here
+    values = [values[k] for k in found]
+    if len(found) < 2:
+        return {"grades": values, "w": np.zeros(WIDTH), "cuts": np.zeros(0)}
+    return {"grades": values, **fit_ordinal([np.frombuffer(r["at"], dtype=np.int32) for r in x], [np.frombuffer(r["v"], dtype=np.float32) for r in x], np.searchsorted(found, ys))}
 
 
 def scored(model: dict):

@@ -158,16 +158,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), most: int = FIT_ROWS) -> dict:
     """Lexicon, exceptions and curve from rows with a label, `most` of them at most in expectation.
 
-    Repeated labels of a doc_id count once, 1 before 0. Without both labels the lexicon is empty and the score constant.
+    A label above 0 marks a toxic text, one of 0 or less a clean one; null and NaN are no label. Repeated labels of a doc_id count
+    once, the largest of them. Without both labels the lexicon is empty and the score constant.
     """
     small_batches(docs.sparkSession)
-    y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    marks = labels.where("doc_id is not null and toxic is not null and not isnan(cast(toxic as double))")
+    y = marks.groupBy("doc_id").agg(F.max((F.col("toxic").cast("double") > 0).cast("int")).alias("y"))
     total = y.count()
     if total > most:
         y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * most / total))
     # At most twice the bound, so that it can go to all tasks; texts of other rows are never shuffled.
     some = y.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(2 * most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y")
     rows = staged(rows)
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
