@@ -455,7 +455,7 @@ def filter_sql() -> str:
     cells = ", ".join(f"{cell(i, j)} c{i}{j}" for i in range(4) for j in range(4))
     along = [f"ln({' + '.join(f'({w[i] * w[j]}) * c{i}{j}' for i in range(4) for j in range(4))})" for w in FILTERS]
     power = [f"ln(c{i}{i})" for i in range(4)]
-    apart = [f"ln(c{i}{i}) - ln(c{j}{j})" for i, j in PAIRS]
+    apart = [f"case when c{i}{i} + c{j}{j} > 0 then (c{i}{i} - c{j}{j}) / (c{i}{i} + c{j}{j}) else 0 end" for i, j in PAIRS]
     return f"with e as (select vec_id, list_transform(embedding, lambda v: v::double) x from embeddings), c as (select vec_id, {cells} from e) select vec_id, " + ", ".join(f"round({v}, 6) f{k}" for k, v in enumerate(along + power + apart)) + " from c"
 
 
