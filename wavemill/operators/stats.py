@@ -152,17 +152,74 @@ def standardised(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     return j.select(*df.columns)
 
 
-def signed_rank_p(w: Column, n: Column, most: int = 25) -> Column:
-    """Exact two-sided p of a signed-rank statistic for up to `most` pairs without ties: how many of the 2^n sums are at most w.
+def signed_rank_p(w: Column, n: Column, most: int = 50) -> Column:
+    """Two-sided p of a signed-rank statistic without ties: exact for up to `most` pairs (how many of the 2^n sums are at most w; 62
+    pairs are what whole numbers hold), by the normal form with a correction for continuity beyond.
 
     The numbers of subsets of 1..k with each sum follow from those of 1..k-1.
     """
-    top = most * (most + 1) // 2
-    ways = F.array(F.lit(1).cast("long"), *[F.lit(0).cast("long")] * top)
+    top = F.floor(n * (n + 1) / 2).cast("int")
+    ways = F.concat(F.array(F.lit(1).cast("long")), F.array_repeat(F.lit(0).cast("long"), top))
     step = lambda a, k: F.transform(a, lambda x, s: x + F.when(s >= k, F.element_at(a, F.greatest(s - k + 1, F.lit(1)).cast("int"))).otherwise(F.lit(0).cast("long")))
-    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), ways, step)
+    counts = F.aggregate(F.filter(F.sequence(F.lit(0), n.cast("int")), lambda k: k > 0), ways, step)
     below = F.aggregate(F.slice(counts, F.lit(1), F.floor(w).cast("int") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(n <= most, F.least(F.lit(1.0), 2.0 * below / F.pow(F.lit(2.0), n)))
+    z = F.least(w + 0.5 - n * (n + 1) / 4, F.lit(0.0)) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    return F.when(n <= most, F.least(F.lit(1.0), 2.0 * below / F.pow(F.lit(2.0), n))).otherwise(normal_two_sided(z))
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, terms: int = 300) -> Column:
+    """The regularised incomplete beta function by its continued fraction, on the side where that converges fast.
+
+    The fraction is summed from its last term: d_m / (1 + d_(m+1) / (1 + ...)), with `terms` of them.
+    """
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, 1 - x).otherwise(x)
+    one = F.struct(p.alias("p"), q.alias("q"), y.alias("y"))
+
+    def value(s: Column) -> Column:
+        p, q, y = s["p"], s["q"], s["y"]
+
+        def step(acc: Column, j: Column) -> Column:
+            m = F.floor(j / 2)
+            even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+            return F.when(j % 2 == 0, even).otherwise(odd) / (1 + acc)
+
+        tail = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), F.lit(0.0), step)
+        front = F.exp(p * F.ln(y) + q * F.ln(1 - y) - log_beta(p, q)) / p
+        return F.when(y <= 0, 0.0).when(y >= 1, 1.0).otherwise(front / (1 + tail))
+
+    v = F.transform(F.array(one), value)[0]
+    return F.when(swap, 1 - v).otherwise(v)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0, by its asymptotic series after a shift by ten."""
+    # Numerators over denominators of the series.
+    c = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
+    z = x + 10
+    series = F.lit(0.0)
+    for v in reversed(c):
+        series = series / (z * z) + v
+    shift = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda s, k: s + F.ln(x + k))
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series / z - shift
+
+
+def log_beta(a: Column, b: Column) -> Column:
+    return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
+
+
+def student_two_sided(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t."""
+    return F.when(dof > 0, incomplete_beta(dof / 2.0, F.lit(0.5), dof / (dof + t * t)))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a (rank) correlation of n pairs against none, by Student's t with n - 2 degrees of freedom; null below three
+    pairs, 0 for a perfect one."""
+    dof = (n - 2).cast("double")
+    t2 = r * r * dof / (1 - r * r)
+    return F.when(n > 2, F.when(F.abs(r) >= 1, 0.0).otherwise(incomplete_beta(dof / 2.0, F.lit(0.5), dof / (dof + t2))))
 
 
 def permutation_p(null: DataFrame, value: str, observed: Column, keys: list[str] | None = None) -> DataFrame:

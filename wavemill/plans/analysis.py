@@ -142,9 +142,10 @@ def compared(a: DataFrame, b: DataFrame, value: str = "score", subject: str = "s
 
 
 def control_correlations(per_session: DataFrame, control: DataFrame, value: str = "min_f1", column: str = "db") -> DataFrame:
-    """Rank correlation and regression of a metric on a control variable per session; sessions without one don't count."""
+    """Rank correlation, its p, and regression of a metric on a control variable per session; sessions without one don't count."""
     j = per_session.join(control.groupBy("session_id").agg(F.median(column).alias("c")), "session_id").where("c is not null")
-    return stats.spearman(j, "c", value).crossJoin(stats.ols(j, "c", value).drop("n"))
+    rho = stats.spearman(j, "c", value)
+    return rho.withColumn("p", stats.correlation_p(F.col("rho"), F.col("n"))).crossJoin(stats.ols(j, "c", value).drop("n"))
 
 
 def experiment_summary(documents: DataFrame) -> DataFrame:

@@ -349,9 +349,9 @@ def embedding_covariance(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(r6(F.covar_pop("p.a", "p.b")).alias("c"))
 
 
-@register("with x as (select vec_id, embedding[1]::double s, (label >= 5)::int p from embeddings), r as (select p, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 k from x) select round((sum(k * p) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * sum(1 - p)), 6)::double auc, sum(p)::bigint n_pos, sum(1 - p)::bigint n_neg from r")
+@register("with x as (select vec_id, list_sum(list_transform(embedding, lambda v: v::double)) s, (label >= 5)::int p from embeddings), r as (select p, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 k from x) select round((sum(k * p) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * sum(1 - p)), 6)::double auc, sum(p)::bigint n_pos, sum(1 - p)::bigint n_neg from r")
 def rank_auc(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").withColumn("s", F.element_at("embedding", 1).cast("double"))
+    e = read(spark, d, "embeddings").withColumn("s", S.asum(F.transform("embedding", lambda v: v.cast("double"))))
     a = stats.rank_auc(e, "s", F.col("label") >= 5)
     return a.select(r6("auc").alias("auc"), long("n_pos").alias("n_pos"), long("n_neg").alias("n_neg"))
 
@@ -378,14 +378,17 @@ def gsr_beta(spark: SparkSession, d: str) -> DataFrame:
     return g.where("n >= 10").select("user_id", r6("a").alias("alpha"), r6("b").alias("beta"))
 
 
-TRIPLE = "p as (select vec_id, label, list_transform(embedding[1:3], lambda x: x::double) a, list_transform(embedding[4:6], lambda x: x::double) b from embeddings)"
+#: Every sixth component of a vector from the k-th on, added up: six numbers that all components enter.
+SIXTH = "list_sum(list_transform(embedding[{0}:64:6], lambda x: x::double))"
+TRIPLE = f"p as (select vec_id, label, [{', '.join(SIXTH.format(k) for k in (1, 2, 3))}] a, [{', '.join(SIXTH.format(k) for k in (4, 5, 6))}] b from embeddings)"
 LS = "list_transform({0}, lambda x: x - list_max({0}) - ln(list_sum(list_transform({0}, lambda y: exp(y - list_max({0}))))))"
 
 
 def triples(spark: SparkSession, d: str) -> DataFrame:
+    """Two triples from each vector, its 64 components dealt out in turn and added up."""
     e = read(spark, d, "embeddings")
-    part = lambda at: F.transform(F.slice("embedding", at, 3), lambda x: x.cast("double"))
-    return e.select("vec_id", "label", part(1).alias("a"), part(4).alias("b"))
+    sixth = lambda k: S.asum(F.transform(F.filter("embedding", lambda x, i: i % 6 == k - 1), lambda x: x.cast("double")))
+    return e.select("vec_id", "label", F.array(*map(sixth, (1, 2, 3))).alias("a"), F.array(*map(sixth, (4, 5, 6))).alias("b"))
 
 
 def spread(df: DataFrame, array: str, names: tuple, *keep: str) -> DataFrame:
@@ -404,7 +407,7 @@ def log_softmax(spark: SparkSession, d: str) -> DataFrame:
     return spread(triples(spark, d).withColumn("v", S.log_softmax("a")), "v", LP, "vec_id")
 
 
-@register("with p as (select vec_id, embedding[1]::double a, embedding[2]::double b from embeddings) select vec_id, round(ln(exp(a) + exp(b)), 6) v from p")
+@register(f"with {TRIPLE} select vec_id, round(ln(exp(a[1]) + exp(a[2])), 6) v from p")
 def logaddexp(spark: SparkSession, d: str) -> DataFrame:
     return triples(spark, d).select("vec_id", r6(S.logaddexp(F.element_at("a", 1), F.element_at("a", 2))).alias("v"))
 
@@ -451,7 +454,7 @@ def nearest_mean(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", long("label").alias("truth"), long(F.array_position("d2", F.array_min("d2"))).alias("y"), F.round(F.array_min("d2"), 5).alias("d2"))
 
 
-@register("with p as (select vec_id, label % 3 + 1 t, label // 4 g, embedding[1]::double a, embedding[2]::double b, embedding[3]::double c from embeddings), k as (select unnest(range(31)) k), j as (select k, g, t, case when a >= b + (-1.5 + 0.1 * k) and a >= c then 1 when b + (-1.5 + 0.1 * k) >= c then 2 else 3 end y from p, k), m as (select k, g, " + ", ".join(f"count(*) filter (where y = {c} and t = {c}) tp{c}, count(*) filter (where y = {c}) r{c}, count(*) filter (where t = {c}) c{c}" for c in (1, 2, 3)) + " from j group by k, g) select k::bigint k, round(avg(least(" + ", ".join(f"case when r{c} + c{c} > 0 then 2.0::double * tp{c} / (r{c} + c{c}) else 0 end" for c in (1, 2, 3)) + ")), 6) v from m group by k")
+@register(f"with {TRIPLE.replace('p as', 'q as', 1)}, p as (select vec_id, label % 3 + 1 t, label // 4 g, a[1] a, a[2] b, a[3] c from q), k as (select unnest(range(31)) k), j as (select k, g, t, case when a >= b + (-1.5 + 0.1 * k) and a >= c then 1 when b + (-1.5 + 0.1 * k) >= c then 2 else 3 end y from p, k), m as (select k, g, " + ", ".join(f"count(*) filter (where y = {c} and t = {c}) tp{c}, count(*) filter (where y = {c}) r{c}, count(*) filter (where t = {c}) c{c}" for c in (1, 2, 3)) + " from j group by k, g) select k::bigint k, round(avg(least(" + ", ".join(f"case when r{c} + c{c} > 0 then 2.0::double * tp{c} / (r{c} + c{c}) else 0 end" for c in (1, 2, 3)) + ")), 6) v from m group by k")
 def bias_grid(spark: SparkSession, d: str) -> DataFrame:
     t = triples(spark, d).select((F.col("label") % 3 + 1).alias("t"), F.floor(F.col("label") / 4).alias("g"), "a")
     cand = spark.createDataFrame([(k, [0.0, -1.5 + 0.1 * k, 0.0]) for k in range(31)], "k long, bias array<double>")

@@ -262,10 +262,10 @@ def phase_permuted(spark: SparkSession, d: str) -> DataFrame:
 SMALL = "with recursive x as (select s_nationkey k, row_number() over (partition by s_nationkey order by s_suppkey) r, (s_acctbal - 4500) / 100 + s_suppkey / 1e7::double v from supplier)"
 
 
-@register(SMALL + ", z as (select k, v, rank() over (partition by k order by abs(v)) a from x where r <= 12), w as (select k, least(sum(case when v > 0 then a else 0 end), sum(case when v < 0 then a else 0 end))::bigint w, count(*) n from z group by 1), c as (select k, w, n, 0 i, 0 s from w union all select k, w, n, i + 1, s + d * (i + 1) from c, (values (0), (1)) t(d) where i < n) select k::bigint k, w, n::bigint n, round(least(1.0, 2.0 * count(*) filter (where s <= w) / pow(2.0, n)), 9)::double p from c where i = n group by k, w, n")
+@register(SMALL + ", z as (select k, v, rank() over (partition by k order by abs(v)) a from x), w as (select k, least(sum(case when v > 0 then a else 0 end), sum(case when v < 0 then a else 0 end))::bigint w, count(*) n from z group by 1), c as (select k, w, n, 0 i, 0 s from w union all select k, w, n, i + 1, s + d * (i + 1) from c, (values (0), (1)) t(d) where i < n) select k::bigint k, w, n::bigint n, round(least(1.0, 2.0 * count(*) filter (where s <= w) / pow(2.0, n)), 9)::double p from c where i = n group by k, w, n")
 def signed_rank_exact(spark: SparkSession, d: str) -> DataFrame:
     v = (F.col("s_acctbal") - 4500) / 100 + F.col("s_suppkey") / 1e7
-    x = sequence.top_k(read(spark, d, "supplier"), ["s_nationkey"], ["s_suppkey"], 12).select(F.col("s_nationkey").alias("k"), v.alias("v"), F.abs(v).alias("a"))
+    x = read(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), v.alias("v"), F.abs(v).alias("a"))
     z = stats.tie_ranks(x, "a", ["k"])
     plus, minus = (F.sum(F.when(c, F.col("_rank")).otherwise(0.0)) for c in (F.col("v") > 0, F.col("v") < 0))
     g = z.groupBy("k").agg(F.least(plus, minus).alias("w"), F.count("*").alias("n"))
@@ -298,7 +298,7 @@ def feature_aucs(spark: SparkSession, d: str) -> DataFrame:
 # Fusion and calibration.
 
 
-@register("with p as (select vec_id, label % 3 + 1 t, label // 4 g, embedding[1]::double a, embedding[2]::double b, embedding[3]::double c from embeddings), k as (select unnest(range(31)) k), j as (select k, g, t, case when a >= b + (-1.5 + 0.1 * k) and a >= c then 1 when b + (-1.5 + 0.1 * k) >= c then 2 else 3 end y from p, k), m as (select k, g, " + ", ".join(f"count(*) filter (where y = {c} and t = {c}) tp{c}, count(*) filter (where t = {c}) c{c}" for c in (1, 2, 3)) + " from j group by k, g) select k::bigint k, round(avg((" + " + ".join(f"case when c{c} > 0 then tp{c}::double / c{c} else 0 end" for c in (1, 2, 3)) + ") / 3), 6) v from m group by k")
+@register(f"with {TRIPLE.replace('p as', 'q as', 1)}, p as (select vec_id, label % 3 + 1 t, label // 4 g, a[1] a, a[2] b, a[3] c from q), k as (select unnest(range(31)) k), j as (select k, g, t, case when a >= b + (-1.5 + 0.1 * k) and a >= c then 1 when b + (-1.5 + 0.1 * k) >= c then 2 else 3 end y from p, k), m as (select k, g, " + ", ".join(f"count(*) filter (where y = {c} and t = {c}) tp{c}, count(*) filter (where t = {c}) c{c}" for c in (1, 2, 3)) + " from j group by k, g) select k::bigint k, round(avg((" + " + ".join(f"case when c{c} > 0 then tp{c}::double / c{c} else 0 end" for c in (1, 2, 3)) + ") / 3), 6) v from m group by k")
 def bias_grid_recall(spark: SparkSession, d: str) -> DataFrame:
     t = triples(spark, d).select((F.col("label") % 3 + 1).alias("t"), F.floor(F.col("label") / 4).alias("g"), "a")
     cand = spark.createDataFrame([(k, [0.0, -1.5 + 0.1 * k, 0.0]) for k in range(31)], "k long, bias array<double>")
@@ -426,9 +426,10 @@ def haufe_pattern(spark: SparkSession, d: str) -> DataFrame:
 # Signal tables: arrays per window or sample.
 
 
-@register("with w as (select label, vec_id, unnest(range(21)) c, unnest(list_transform(embedding[1:21], lambda x: abs(x::double) / 4)) flat, unnest(list_transform(embedding[22:42], lambda x: x::double * 20)) p from embeddings), k as (select label, c, avg(flat) flat, median(p) p, count(*) n from w group by all), d as (select *, p - median(p) over (partition by label) d from k) select label::bigint session_id, coalesce(string_agg(c, ',' order by c) filter (where n >= 8 and (flat > 0.05 or d > ln(8) or d < -ln(400))), '') bad from d group by 1")
+@register("with w as (select label, vec_id, unnest(range(21)) c, unnest(list_transform(range(1, 22), lambda k: list_sum(list_transform(embedding[k:64:42], lambda x: abs(x::double) / 4)))) flat, unnest(list_transform(range(22, 43), lambda k: list_sum(list_transform(embedding[k:64:42], lambda x: x::double * 20)))) p from embeddings), k as (select label, c, avg(flat) flat, median(p) p, count(*) n from w group by all), d as (select *, p - median(p) over (partition by label) d from k) select label::bigint session_id, coalesce(string_agg(c, ',' order by c) filter (where n >= 8 and (flat > 0.05 or d > ln(8) or d < -ln(400))), '') bad from d group by 1")
 def bad_channels(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda at, f: F.transform(F.slice("embedding", at, 21), lambda x: f(x.cast("double")))
+    of = lambda k, f: S.asum(F.transform(F.filter("embedding", lambda x, i: i % 42 == k - 1), lambda x: f(x.cast("double"))))
+    part = lambda at, f: F.array(*[of(at + k, f) for k in range(21)])
     w = read(spark, d, "embeddings").select(F.col("label").alias("session_id"), part(1, lambda x: F.abs(x) / 4).alias("flat"), part(22, lambda x: x * 20).alias("power"))
     return signal.bad_channels(w).select(long("session_id").alias("session_id"), F.array_join("bad", ",").alias("bad"))
 
@@ -468,11 +469,12 @@ def filter_vector(spark: SparkSession, d: str) -> DataFrame:
     return f.select("vec_id", *[r6(F.col("feature")[k]).alias(f"f{k}") for k in range(8)])
 
 
-HB = "h as (select label, vec_id, list_transform(embedding[1:18], lambda x: x::double) o, list_transform(embedding[19:36], lambda x: x::double) r from embeddings)"
+HB = "h as (select label, vec_id, list_transform(range(1, 19), lambda k: list_sum(list_transform(embedding[k:64:36], lambda x: x::double))) o, list_transform(range(19, 37), lambda k: list_sum(list_transform(embedding[k:64:36], lambda x: x::double))) r from embeddings)"
 
 
 def hb(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda at: F.transform(F.slice("embedding", at, 18), lambda x: x.cast("double"))
+    of = lambda k: S.asum(F.transform(F.filter("embedding", lambda x, i: i % 36 == k - 1), lambda x: x.cast("double")))
+    part = lambda at: F.array(*[of(at + k) for k in range(18)])
     return read(spark, d, "embeddings").select(F.col("label").alias("session_id"), "vec_id", part(1).alias("hbo"), part(19).alias("hbr"))
 
 
