@@ -243,3 +243,89 @@ def test_unknown_settings_are_errors():
         with pytest.raises(kind):
             config.build(override=over)
     assert config.build(override={"fusion": {"bias": {"hyb": [0, 0, 0]}}})["fusion"]["bias"]["hyb"] == (0, 0, 0)
+
+
+def test_riemannian_means_and_nearest_class(spark):
+    from wavemill.operators import riemann
+
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(90, 3, 12)) * np.array([1, 2, 0.5])[:, None]
+    m = a @ a.swapaxes(1, 2) / 12 + 0.1 * np.eye(3)
+    key = np.arange(90) % 3
+    df = spark.createDataFrame([(int(key[k]), m[k].ravel().tolist()) for k in range(90)] + [(1, None)], "label int, m array<double>").repartition(4)
+    got = riemann.means(df, ["label"], "m", 3).collect()
+    assert {r.label: r.n for r in got} == {0: 30, 1: 30, 2: 30}
+    for r in got:
+        np.testing.assert_allclose(np.reshape(r.centre, (3, 3)), spd.karcher_mean(m[key == r.label]), rtol=1e-6)
+        assert r.step < 1e-6
+    whole = riemann.means(df, [], "m", 3).first()
+    np.testing.assert_allclose(np.reshape(whole.centre, (3, 3)), spd.karcher_mean(m), rtol=1e-6)
+    centres = riemann.means(df, ["label"], "m", 3)
+    d2 = {tuple(r.m): r.d2 for r in riemann.distances(df.where("m is not null"), centres, "label", "m", 3).collect()}
+    for k in range(90):
+        np.testing.assert_allclose(d2[tuple(m[k].ravel())], [spd.distance2(m[k], np.reshape(r.centre, (3, 3))) for r in sorted(got)], rtol=1e-6)
+
+
+def test_kernel_queries_equal_plain_arrays(spark, tmp_path):
+    """lr_left_out, csp_features and mdm_riemann over a table, against numpy over all its rows."""
+    from wavemill.plans import catalog
+
+    rng = np.random.default_rng(9)
+    n = 150
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    label = rng.integers(0, 10, n)
+    x[:, ::4] *= (1 + label % 3)[:, None]
+    order = rng.permutation(n).tolist()
+    spark.createDataFrame([(k, int(label[k]), x[k].tolist()) for k in order], "vec_id long, label int, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    y, sub, z = label % 3 + 1, np.arange(n) % 5, x.astype(float)
+    m = z.reshape(n, 16, 4)
+    c = np.einsum("nti,ntj->nij", m, m) / 16
+    q = catalog.QUERIES
+    for r in q["lr_left_out"](spark, str(tmp_path)).collect():
+        own = sub != r.vec_id % 5
+        if r.vec_id < 10:
+            model = classify.fit_logistic(z[own], y[own], 1.0)
+            assert r.y == classify.linear_log_prob(model, z[[r.vec_id]]).argmax() + 1 and r.truth == y[r.vec_id]
+    safe = spd.ridge(c, 1e-3)
+    got = {r.vec_id: r.feature for r in q["csp_features"](spark, str(tmp_path)).collect()}
+    for k in range(5):
+        w = brute_filters_of(safe[sub != k], y[sub != k], 3)
+        np.testing.assert_allclose(np.array([got[i] for i in range(k, n, 5)]), spatial.features(safe[sub == k], w, [(0, 1), (2, 3)]), rtol=1e-7, atol=1e-9)
+    e = spd.estimate(c, 16)
+    centres = [spd.karcher_mean(e[y == k]) for k in (1, 2, 3)]
+    d2 = np.stack([spd.distance2(e, k) for k in centres], axis=1)
+    for r in q["mdm_riemann"](spark, str(tmp_path)).collect():
+        np.testing.assert_allclose(r.d2, d2[r.vec_id], rtol=1e-5)
+        assert r.y == d2[r.vec_id].argmin() + 1
+
+
+def brute_filters_of(covs, y, most):
+    """brute_filters for windows of 16 samples."""
+    means = np.stack([spd.shrunk(covs[y == c], 16, "lw").mean(axis=0) for c in (1, 2, 3)])
+    return spatial.separating(means, np.array([(y == c).sum() for c in (1, 2, 3)], dtype=float), most)
+
+
+def test_p_values(spark):
+    import math
+
+    from wavemill.operators import stats
+
+    def integral(a, b, x):
+        """The incomplete beta by Gauss and Legendre over the angle."""
+        t = np.linspace(0, math.asin(math.sqrt(x)), 401)
+        node, weight = np.polynomial.legendre.leggauss(20)
+        half = np.diff(t)[:, None] / 2
+        u = (t[1:] + t[:-1])[:, None] / 2 + half * node
+        log_b = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+        return float((2 * np.exp((2 * a - 1) * np.log(np.sin(u)) + (2 * b - 1) * np.log(np.cos(u)) - log_b) * weight * half).sum())
+
+    rows = [(a, b, x) for a in (0.5, 1.0, 3.7, 50.0, 900.0) for b in (0.5, 2.0, 40.0) for x in (1e-6, 0.01, 0.3, 0.9, 0.999)]
+    got = spark.createDataFrame([*rows, (2.0, 3.0, 0.0), (2.0, 3.0, 1.0)], "a double, b double, x double")
+    for r in got.select("*", stats.incomplete_beta(F.col("a"), F.col("b"), F.col("x")).alias("v")).collect():
+        assert r.v == pytest.approx(r.x if r.x in (0, 1) else integral(r.a, r.b, r.x), abs=1e-9)
+    c = spark.createDataFrame([(0.5, 20), (-0.5, 20), (1.0, 5), (0.1, 2), (0.0, 9)], "r double, n long").select(stats.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()
+    assert c[0].p == c[1].p == pytest.approx(0.02477, abs=1e-5) and c[2].p == 0 and c[3].p is None and c[4].p == pytest.approx(1)
+    t = spark.createDataFrame([(2.0, 10.0)], "t double, d double").select(stats.student_two_sided(F.col("t"), F.col("d")).alias("p")).first()
+    assert t.p == pytest.approx(0.07339, abs=1e-5)
+    w = spark.createDataFrame([(5, 6), (0, 5), (100, 30), (3000, 120)], "w long, n long").select(stats.signed_rank_p(F.col("w"), F.col("n")).alias("p")).collect()
+    assert w[1].p == 2 / 32 and w[0].p == pytest.approx(2 * 10 / 64) and 0 < w[2].p < 0.01 and 0.0 < w[3].p < 0.2

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import classify, filters, spd
 from ..functions import scalar as S
-from ..operators import fusion, scoring, sequence, signal, stats
+from ..operators import crossfit, fusion, riemann, scoring, sequence, signal, spatial, stats
 from ..sources import synthetic
 from . import config, session
 
@@ -505,9 +505,11 @@ def signed_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled vectors cut into sessions; the products of a vector's 16 rows of 4 stand for its covariance matrix."""
-    e = read(spark, d, "embeddings").withColumn("session_id", F.concat(F.lit("s"), F.col("vec_id") % 5))
-    return e.select("session_id", "vec_id", (F.col("label") % 3 + 1).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    """Labelled vectors cut into sessions of up to 400 and dealt to five subjects; the products of a vector's 16 rows of 4 stand for
+    its covariance matrix."""
+    session_id = F.concat(F.lit("s"), F.floor(F.col("vec_id") / 400))
+    e = read(spark, d, "embeddings").select("*", session_id.alias("session_id"), F.concat(F.lit("N"), F.col("vec_id") % 5).alias("subject"))
+    return e.select("session_id", "subject", "vec_id", (F.col("label") % 3 + 1).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
 SOS = filters.butterworth(2, 0.1, 1.0, "lowpass")
@@ -543,33 +545,64 @@ def slda_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def lr_predict(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors by one logistic regression of all of them: the fold that leaves nobody out."""
     v = _vectors(spark, d)
-    models = fusion.grouped_fit(v, ["session_id"], "x", "label", classify.fit_logistic)
-    return fusion.applied(v, models, ["session_id"], "x").select("session_id", "vec_id", long("label").alias("truth"), long(S.argmax_first("lp")).alias("y"))
+    models = crossfit.leave_one_out(v.select("subject", "label", F.col("x").alias("feature")), ["nobody"])
+    out = fusion.applied(v.withColumn("left_out", F.lit("nobody")), models.withColumnRenamed("subject", "left_out"), ["left_out"], "x")
+    return out.select("session_id", "vec_id", long("label").alias("truth"), long(S.argmax_first("lp")).alias("y"))
 
 
 @register()
-def csp_features(spark: SparkSession, d: str) -> DataFrame:
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 4)
-        covs = spd.ridge(np.einsum("nti,ntj->nij", m, m) / m.shape[1], 1e-3)
-        f = spd.csp_features(spd.csp(covs, g["label"].to_numpy(), (1, 2, 3), 1), covs)
-        return pd.DataFrame({"session_id": key[0], "vec_id": g["vec_id"], "feature": list(f)})
+def lr_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """Each subject's vectors by the logistic regression of all other subjects."""
+    v = _vectors(spark, d)
+    models = crossfit.leave_one_out(v.select("subject", "label", F.col("x").alias("feature")), [f"N{k}" for k in range(5)])
+    return fusion.applied(v, models, ["subject"], "x").select("subject", "vec_id", long("label").alias("truth"), long(S.argmax_first("lp")).alias("y"))
+
+
+def _products(v: DataFrame, ridge: float = 0.0) -> DataFrame:
+    """Adds `moments`, the flattened mean products of a vector's 16 rows of 4."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        m = np.stack(x.to_numpy()).reshape(len(x), -1, 4)
+        c = np.einsum("nti,ntj->nij", m, m) / m.shape[1]
+        return pd.Series(list((spd.ridge(c, ridge) if ridge else spd.estimate(c, m.shape[1])).reshape(len(x), -1)))
+
+    return v.withColumn("moments", run("x"))
 
-    return _vectors(spark, d).groupBy("session_id").applyInPandas(run, "session_id string, vec_id long, feature array<double>")
+
+FOUR, ASYMMETRY = ("c3", "c4", "f3", "f4"), {"use_csp": True, "use_power": True, "use_asym": True, "symmetry": (("c3", "c4"), ("f3", "f4"))}
+
+
+@register()
+def csp_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of spatial filters that were trained on all subjects but a vector's own."""
+    v = _products(_vectors(spark, d), 1e-3)
+    trained = spatial.train(v.withColumn("prep", F.lit("raw")), FOUR, 16, most=3)
+    own = trained.select("subject", F.array("filters").alias("filters"))
+    return spatial.applied(v, own, ["subject"], FOUR, ASYMMETRY, column="moments", name="feature").select("subject", "vec_id", "feature")
 
 
 @register()
 def mdm_riemann(spark: SparkSession, d: str) -> DataFrame:
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("vec_id")  # rows come in any order, and sums of logarithms follow it
-        m = np.stack(g["x"].to_numpy()).reshape(len(g), -1, 4)
-        covs = spd.estimate(np.einsum("nti,ntj->nij", m, m) / m.shape[1], m.shape[1])
-        model = classify.fit_mdm(covs, g["label"].to_numpy())
-        y = classify.mdm_log_prob(model, covs).argmax(axis=1) + 1 if model else np.ones(len(g), dtype=int)
-        return pd.DataFrame({"session_id": key[0], "vec_id": g["vec_id"], "y": y.astype("int64")})
-
-    return _vectors(spark, d).groupBy("session_id").applyInPandas(run, "session_id string, vec_id long, y long")
+    """Each vector's nearest class by affine-invariant distance to the Riemannian means of all classes' matrices."""
+    v = _products(_vectors(spark, d))
+    centres = riemann.means(v, ["label"], "moments", 4)
+    out = riemann.distances(v.select("vec_id", "label", "moments"), centres, "label", "moments", 4)
+    return out.select("vec_id", long("label").alias("truth"), long(F.array_position("d2", F.array_min("d2"))).alias("y"), "d2")
+
+
+def _student_sql(r: str, n: str) -> str:
+    """p of a correlation by Simpson's rule: the incomplete beta as an integral of powers of the sine."""
+    steps = 4000
+    return f"(select sum((case when i in (0, {steps}) then 1 when i % 2 = 1 then 4 else 2 end) * pow(sin(asin(sqrt(1 - {r} * {r})) * i / {steps}), {n} - 3)) * asin(sqrt(1 - {r} * {r})) / {steps} / 3 * 2 / exp(lgamma(({n} - 2) / 2.0) + lgamma(0.5) - lgamma(({n} - 1) / 2.0)) from range({steps} + 1) t(i))"
+
+
+@register(f"with g as (select c_nationkey k, corr(c_acctbal, c_custkey) r, count(*) n from customer group by 1) select k::bigint k, round(r, 9) r, n::bigint n, round({_student_sql('g.r', 'g.n')}, 8) p from g where n > 3")
+def correlation_p(spark: SparkSession, d: str) -> DataFrame:
+    g = read(spark, d, "customer").groupBy(long("c_nationkey").alias("k")).agg(F.corr("c_acctbal", F.col("c_custkey").cast("double")).alias("r"), F.count("*").alias("n")).where("n > 3")
+    return g.select("k", F.round("r", 9).alias("r"), "n", F.round(stats.correlation_p(F.col("r"), F.col("n")), 8).alias("p"))
 
 
 DRAW = "(('0x' || substr(md5({1}), 1, 8))::bigint % {0})"

@@ -11,7 +11,7 @@ from ..functions import scalar as S
 from ..operators import fusion, scoring, sequence, signal, stats
 from ..sources import files, schemas
 from . import analysis, session
-from .catalog import LS, SEGMENTS, STREAM, T, TRIPLE, TRUTH, NEAR, U, _vectors, class_means, long, r6, read, register, samples, spread_sql, triples, truth3
+from .catalog import LS, SEGMENTS, STREAM, T, TRIPLE, TRUTH, NEAR, U, _student_sql, _vectors, class_means, long, r6, read, register, samples, spread_sql, triples, truth3
 
 LP = ("lp1", "lp2", "lp3")
 CLASS = "case event_type when 'click' then 1 when 'purchase' then 2 when 'view' then 3 end"
@@ -569,7 +569,7 @@ def compared_runs(spark: SparkSession, d: str) -> DataFrame:
     return analysis.compared(run("y"), run("y2"), "min_f1").select(r6("difference").alias("difference"), r6("w").alias("w"), "n")
 
 
-@register(f"with {ANSWERS}, {STRENGTH}, {f1_sql('a', 'session_id', 'y', 'true_y')}, c as (select session_id, median(db) c from w group by 1), j as (select f.session_id, c.c, round(f.min_f1, 12) m from f join c using (session_id)), r as (select *, rank() over (order by c) + (count(*) over (partition by c) - 1) / 2.0 rc, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2.0 rm from j) select round(corr(rc, rm), 6) rho, count(*)::bigint n, round(regr_slope(m, c), 6) slope, round(regr_intercept(m, c), 6) intercept, round(regr_r2(m, c), 6) r2 from r")
+@register(f"with {ANSWERS}, {STRENGTH}, {f1_sql('a', 'session_id', 'y', 'true_y')}, c as (select session_id, median(db) c from w group by 1), j as (select f.session_id, c.c, round(f.min_f1, 12) m from f join c using (session_id)), r as (select *, rank() over (order by c) + (count(*) over (partition by c) - 1) / 2.0 rc, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2.0 rm from j), z as (select corr(rc, rm) rho, count(*)::bigint n, regr_slope(m, c) slope, regr_intercept(m, c) intercept, regr_r2(m, c) r2 from r) select round(rho, 6) rho, n, round(slope, 6) slope, round(intercept, 6) intercept, round(r2, 6) r2, round({_student_sql('z.rho', 'z.n')}, 6) p from z")
 def control_correlations(spark: SparkSession, d: str) -> DataFrame:
     a = answers(spark, d)
     per = scoring.metrics(a, ["session_id"], "y", "true_y").withColumn("min_f1", F.round("min_f1", 12))
