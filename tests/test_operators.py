@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +132,100 @@ def test_statistics(spark):
     assert sorted(r.lab for r in p.collect()) == sorted(r.lab for r in segs.collect())
     assert {r.start_sample for r in p.where("lab = 1").collect()} == {r.start_sample for r in segs.where("lab = 1").collect()}
     assert sorted(r.lab for r in stats.phase_permuted(segs, ["s", "block"], "lab", 1).collect()) == sorted(r.lab for r in segs.collect())
+
+
+def test_means_over_uneven_times(spark):
+    import numpy as np
+
+    from wavemill.operators import sequence
+
+    rng = np.random.default_rng(3)
+    t = np.cumsum(rng.exponential(2, 400))
+    rows = [(int(k % 3), float(t[k]), [float(v) for v in rng.normal(size=2)], float(rng.normal())) for k in range(400)]
+    df = spark.createDataFrame(rows, "g int, t double, v array<double>, w double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")  # means go over from batch to batch
+    try:
+        got = {(r.g, r.t): (r.ema, r.v) for r in sequence.ema_uneven(df, ["g"], "t", "v", 5.0).collect()}
+        even = {(r.g, r.t): r.y for r in sequence.ema(df, ["g"], ["t"], "w", 0.7, "y").collect()}
+        none = {(r.g, r.t): r.y for r in sequence.ema_uneven(df, ["g"], "t", "w", 0.0, "y").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in range(3):
+        own, last, y, z = sorted(r for r in rows if r[0] == g), None, None, None
+        for _, at, v, w in own:
+            a = 0.0 if last is None else np.exp(-(at - last) / 5)
+            y = np.array(v) if y is None else a * y + (1 - a) * np.array(v)
+            z = w if z is None else 0.7 * z + 0.3 * w
+            last = at
+            np.testing.assert_allclose(got[g, at][0], y, atol=1e-12)
+            assert even[g, at] == pytest.approx(z, abs=1e-12) and none[g, at] == w
+    assert sequence.ema(df.limit(0), ["g"], ["t"], "w", 0.7).count() == 0
+
+
+def test_windows_that_end_anywhere(spark):
+    import numpy as np
+
+    from wavemill.operators import sequence
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2)) + 1e6
+    df = spark.createDataFrame([("s", k, *map(float, x[k])) for k in range(200)], "k string, sample long, a double, b double")
+    ends = spark.createDataFrame([("s", e) for e in (0, 1, 3, 50, 63, 199, 200, 260)] + [("none", 5), ("s", None)], "k string, stop long")
+    for centred in (False, True):
+        got = {(r.k, r.stop): r for r in sequence.moments_at(df, ["k"], "sample", ["a", "b"], ends, "stop", 50, centred).collect()}
+        assert got["none", 5].m_0_0 is None and got["s", 0].m_0_0 is None and ("s", None) not in got
+        for e in (1, 3, 50, 63, 199, 200):
+            w = x[max(0, e - 50) : e]
+            w = w - w.mean(axis=0) if centred else w
+            want = w.T @ w / len(w)
+            np.testing.assert_allclose([got["s", e].m_0_0, got["s", e].m_0_1, got["s", e].m_1_1], want[np.triu_indices(2)], rtol=1e-9, atol=1e-9)
+        assert got["s", 260].m_0_0 == got["s", 200].m_0_0  # as of the last sample there is
+
+
+def test_documents_over_many_lines(spark, tmp_path):
+    from wavemill.sources import files
+
+    one = {"status": "ok", "session": "a/2025_N02.mat", "hybrid": {"confusion": [[3, 0, 0], [0, 1, 0], [0, 0, 1]], "f1": {"1": 1.0, "2": 0.5, "3": 0.25}, "min_f1": 0.25, "macro_recall": 0.5, "n_windows": 5}, "nirs_only": None, "timings": {"predict_max_s": 0.03, "n_fit": 7, "penalty_fit": 10}, "score": {"base_quality": 52.25, "nirs_bonus": {"present": True, "points": 11.5, "detail": "x"}, "penalties": 10, "total": 63.3}, "wall_s": 1.5}
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "N02.json").write_text(json.dumps(one, indent=2))
+    (tmp_path / "lines.json").write_text(json.dumps(one) + "\n" + json.dumps({**one, "status": "bad"}) + "\n")
+    (tmp_path / "odd.json").write_text("no document")
+    got = sorted(files.metric_documents(spark, str(tmp_path)).collect(), key=lambda r: (r.file, str(r.status)))
+    assert [(r.file, r.status) for r in got] == [("N02", "ok"), ("lines", "bad"), ("lines", "ok"), ("odd", None)]
+    r = got[0]
+    assert r.hybrid.f1["3"] == 0.25 and r.hybrid.confusion[0][0] == 3 and r.nirs_only is None and r.timings.penalty_fit == 10 and r.timings.n_fit == 7 and r.score.nirs_bonus.points == 11.5 and r.score.total == 63.3
+
+
+def test_latencies_of_a_stream(spark, tmp_path):
+    import time
+
+    from wavemill.operators import scoring
+    from wavemill.streaming import latency
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.range(10)
+    for _ in range(3):
+        df.coalesce(1).write.mode("append").parquet(src)
+    listener = latency.Latencies(spark, out)
+    spark.streams.addListener(listener)
+    try:
+        slow = lambda batch, k: time.sleep(1.5 if k == 1 and batch.count() else 0 * batch.count())
+        q = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src).writeStream.foreachBatch(slow).queryName("timed").option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+        until = time.time() + 20
+        while time.time() < until:
+            time.sleep(0.5)
+            try:
+                got = latency.latencies(spark, out).where("query = 'timed' and event = 'addBatch'")
+                if got.where("rows > 0").count() == 3:
+                    break
+            except Exception:  # noqa: BLE001, S112 (nothing written yet)
+                continue
+    finally:
+        spark.streams.removeListener(listener)
+    own = got.where("rows > 0")
+    per = scoring.latency(own, []).first()
+    assert per.n == 3 and 1.5 <= per.max_s < 15
+    slow, fast = (own.where(c).agg(scoring.penalty(F.col("seconds"), 1.0, 0.1, 20.0).alias("p")).first().p for c in ("batch = 1", "batch = 2"))
+    assert slow >= 5 and fast < slow

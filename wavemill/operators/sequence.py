@@ -6,15 +6,15 @@ the key or an equi-join on it, so sessions spread over the cluster and no sessio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
-from ..functions import filters
-
 Keys = list[str]
 
 
@@ -120,27 +120,63 @@ def cyclic_shift(value: str, keys: Keys, order: Keys) -> Column:
     return F.coalesce(F.lead(value).over(w), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _ema_filter(alpha: float) -> filters.Stream:
-    """y = alpha * y + (1 - alpha) * x as a filter section, from y = the first x; blocks are matrix products, so it's linear."""
-    return filters.Stream(np.array([[1 - alpha, 0.0, 0.0, 1.0, -alpha, 0.0]]))
+def scanned(a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """y_i = a_i y_(i-1) + b_i over rows of b, from `before`: pairs (a, b) combine, so spans of 1, 2, 4 ... rows are joined."""
+    a, y = a.astype(float)[:, None].copy(), b.astype(float).copy()
+    if before is not None and len(y):
+        y[0] += a[0] * before
+    reach = 1
+    while reach < len(y):
+        y[reach:] = y[reach:] + a[reach:] * y[:-reach]
+        a[reach:] = a[reach:] * a[:-reach]
+        reach *= 2
+    return y
 
 
-def ema(df: DataFrame, keys: Keys, order: Keys, value: str, alpha: float, name: str = "ema") -> DataFrame:
-    """Adds the exponential mean of `value`, a number or an array of numbers, over the rows of each key in order.
+def _recursive_mean(df: DataFrame, keys: Keys, order: Keys, value: str, kept: Column, name: str) -> DataFrame:
+    """Adds the mean that keeps `kept` of what it was and takes the rest from each row; a key's first row is its first mean.
 
-    A session is one group, whose size is bounded by its length; sessions spread over the cluster.
+    Rows are sorted by key and order once; a task reads them in batches and carries one mean over, so no key is held whole.
     """
-    kind = df.schema[value].dataType
-    many = isinstance(kind, ArrayType)
-    schema = StructType([*[f for f in df.schema if f.name != name], StructField(name, ArrayType(DoubleType()) if many else DoubleType())])
+    many = isinstance(df.schema[value].dataType, ArrayType)
+    keep = [f for f in df.schema if f.name != name]
+    schema = StructType([*keep, StructField(name, ArrayType(DoubleType()) if many else DoubleType())])
+    begins = F.row_number().over(over(keys, order)) == 1
+    rows = df.select(*[f.name for f in keep], F.when(begins, 0.0).otherwise(kept).alias("_kept"), begins.alias("_begins"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: np.ndarray | None = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            column = batch.column(batch.schema.get_field_index(value))
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if many else column.to_numpy(zero_copy_only=False).astype(float)[:, None]
+            a, begins = batch.column(n_own).to_numpy(zero_copy_only=False).astype(float), batch.column(n_own + 1).to_numpy(zero_copy_only=False).astype(bool)
+            y = np.empty_like(x)
+            edge = [*np.flatnonzero(begins).tolist(), n]
+            if edge[0] > 0:  # goes on from the batch before
+                y[: edge[0]] = scanned(a[: edge[0]], (1 - a[: edge[0], None]) * x[: edge[0]], last)
+            if len(edge) > 1:
+                y[edge[0] :] = scanned(a[edge[0] :], (1 - a[edge[0] :, None]) * x[edge[0] :])
+            last = y[-1]
+            out = pa.array(list(y), pa.list_(pa.float64())) if many else pa.array(y[:, 0], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], out], [*batch.schema.names[:n_own], name])
+
+    n_own = len(keep)
+    return rows.mapInArrow(run, schema)
+
+
+def ema(df: DataFrame, keys: Keys, order: Keys, value: str, alpha: float, name: str = "ema") -> DataFrame:
+    """Adds the exponential mean of `value`, a number or an array of numbers, over the rows of each key in order."""
+    return _recursive_mean(df, keys, order, value, F.lit(float(alpha)), name)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        x = np.stack(g[value].to_numpy()).astype(float) if many else g[value].to_numpy(dtype=float)[:, None]
-        y = _ema_filter(alpha)(x)
-        return g.assign(**{name: list(y) if many else y[:, 0]})
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def ema_uneven(df: DataFrame, keys: Keys, time: str, value: str, tau: float, name: str = "ema") -> DataFrame:
+    """Adds the exponential mean over rows at uneven times: each keeps exp(-dt / tau) of the mean before, dt the time since the row
+    before. Rows of one time follow each other with nothing taken in; tau 0 keeps nothing."""
+    dt = F.col(time) - F.lag(time).over(over(keys, [time]))
+    return _recursive_mean(df, keys, [time], value, F.exp(-dt / tau) if tau else F.lit(0.0), name)
 
 
 def ema_final(df: DataFrame, keys: Keys, order: Keys, value: str, alpha: float, name: str = "ema") -> DataFrame:
@@ -171,6 +207,33 @@ def window_moments(df: DataFrame, keys: Keys, order: Keys, channels: Keys, win:
     return rows.where(on_grid).withColumn("end_sample", F.col("sample") + 1).drop("sample")
 
 
+def moments_at(df: DataFrame, keys: Keys, sample: str, channels: Keys, ends: DataFrame, end: str, win: int, centred: bool = False) -> DataFrame:
+    """`ends` (keys, end) with m_<i>_<j>: second moments of the `win` samples before each end (of all there are, where those are
+    fewer), wherever it lies; null before the first sample.
+
+    Running sums of outer products, taken once per sample about each key's first values so that no digits go, are looked up at a
+    window's two ends; a window costs two rows, however long it is. `sample` numbers a key's rows from 0.
+    """
+    w = over(keys, [sample])
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = df.select(*keys, sample, *channels, *[F.first(c).over(run).alias(f"_o{i}") for i, c in enumerate(channels)])
+    pairs = [(i, j) for i in range(len(channels)) for j in range(i, len(channels))]
+    x = [F.col(c) - F.col(f"_o{i}") for i, c in enumerate(channels)]
+    sums = F.array(*[F.sum(v).over(run) for v in x], *[F.sum(x[i] * x[j]).over(run) for i, j in pairs])
+    d = d.select(*keys, (F.col(sample) + 1).alias("_at"), sums.alias("_s"), F.array(*[F.col(f"_o{i}") for i in range(len(channels))]).alias("_o"))
+    last = asof_backward(ends, d.withColumn("_n", F.col("_at")), keys, end, "_at", ["_n", "_s", "_o"]).where(F.col(end).isNotNull())
+    from_ = d.select(*keys, F.col("_at").alias("_from"), F.col("_s").alias("_before"))
+    both = last.withColumn("_from", F.greatest(F.col("_n") - win, F.lit(0))).join(from_, [*keys, "_from"], "left")
+    n = F.col("_n") - F.col("_from")
+    part = lambda k: (F.col("_s")[k] - F.coalesce(F.col("_before")[k], F.lit(0.0))) / n
+    cols, p = [], len(channels)
+    for k, (i, j) in enumerate(pairs):
+        a, b = part(i), part(j)
+        about = part(p + k) - a * b  # the covariance, whatever the origin
+        cols.append((about if centred else about + (a + F.col("_o")[i]) * (b + F.col("_o")[j])).alias(f"m_{i}_{j}"))
+    return both.select(*ends.columns, *cols)
+
+
 def completed(df: DataFrame, block: str, state: str, which: int) -> DataFrame:
     """Labelled samples of a block that has ended: what a fit gets to see of it."""
     return df.where((F.col(block) == which) & (F.col(state) > 0))

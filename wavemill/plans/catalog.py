@@ -7,6 +7,8 @@ the hierarchy of sessions and subjects. Doubles are rounded and whole numbers ar
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,8 @@ from pyspark.sql.window import Window
 from ..functions import classify, filters, spd
 from ..functions import scalar as S
 from ..operators import crossfit, fusion, riemann, scoring, sequence, signal, spatial, stats
-from ..sources import synthetic
+from ..sources import files
+from ..sources.schemas import CHANNELS, NIRS_REGIONS
 from . import config, session
 
 QUERIES: dict = {}
@@ -620,12 +623,48 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return b.agg(*[r6(q).alias(n) for q, n in zip(stats.quantiles("value", [0.025, 0.5, 0.975]), ("low", "middle", "high"), strict=True)])
 
 
+#: Order keys of a session, samples of a segment (of which the first are a pause) and of a block.
+SESSION_KEYS, SEGMENT, PAUSE, BLOCK = 18_750, 2_000, 375, 16_000
+CARRIER = 2 * math.pi * 10 / 250
+
+
+def table_recordings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, eeg, nirs) made of `lineitem`: each line is a sample of 21 channels, whose background follows from its columns and
+    whose 10 Hz rhythm is weaker over the side away from a movement; every twentieth line is one of the slow stream. A session is a
+    range of order keys, two sessions a subject; segments and blocks follow from a line's place in its session."""
+    n = (F.row_number().over(Window.partitionBy("session").orderBy("l_orderkey", "l_linenumber")) - 1).alias("sample")
+    li = read(spark, d, "lineitem").withColumn("session", F.floor(F.col("l_orderkey") / SESSION_KEYS))
+    li = li.select("session", n, "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    seg = F.floor(F.col("sample") / SEGMENT)
+    state = F.when(F.col("sample") % SEGMENT < PAUSE, 0).when(seg % 2 == 0, 1).otherwise(2 + F.floor(seg / 2) % 2).cast("int")
+    rows = li.select("*", F.format_string("s%05d", "session").alias("session_id"), state.alias("state"), (F.floor(F.col("sample") / BLOCK) + 1).cast("int").alias("block"))
+
+    def channel(c: int, name: str) -> Column:
+        ground = ((F.col("l_partkey") * (2 * c + 3) + F.col("l_suppkey") * (c + 1)) % 997) / 120.0 + (F.col("l_quantity") - 25) * ((c % 5) / 20.0) + F.col("l_extendedprice") * ((c % 3) / 40_000.0)
+        away = {"c4": 2, "c3": 3}.get(name)
+        size = F.lit(2.5) if away is None else F.when(F.col("state") == away, 1.0).otherwise(5.0)
+        return ground + size * F.sin(F.col("sample") * CARRIER * (1 + 0.005 * c) + c)
+
+    eeg = rows.select("session_id", F.col("sample").cast("long").alias("sample"), F.array(*[channel(c, name) for c, name in enumerate(CHANNELS)]).alias("x"), "state", "block")
+
+    def slow(c: int) -> Column:
+        side = 2 if c in NIRS_REGIONS["right"] else 3 if c in NIRS_REGIONS["left"] else 0
+        noise = (F.col("l_discount") - 0.05) * ((c % 4) + 1) + (F.col("l_tax") - 0.04) * ((c % 3) + 1)
+        return noise + F.when((F.col("state") == side) & (side > 0), (F.col("sample") % SEGMENT) / (2.0 * SEGMENT)).otherwise(0.0)
+
+    every = rows.where(F.col("sample") % 20 == 0)
+    hbo = F.array(*[slow(c) for c in range(18)])
+    nirs = every.select("session_id", F.floor(F.col("sample") / 20).cast("long").alias("seq"), F.col("sample").cast("int").alias("frame"), hbo.alias("hbo"), F.transform(hbo, lambda v: -0.4 * v).alias("hbr"), "state", "block")
+    sessions = rows.groupBy("session_id", "session").agg(F.count("*").alias("n_samples"))
+    sessions = sessions.select("session_id", F.format_string("N%05d", F.floor(F.col("session") / 2)).alias("subject"), F.lit(250.0).alias("fs_eeg"), F.lit(12.5).alias("fs_nirs"), F.lit(True).alias("has_nirs"), F.lit(18).alias("n_nirs_ch"), "n_samples")
+    return sessions, eeg, nirs
+
+
 @register()
 def session_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The final configuration on seeded recordings of full length, which the driver's tables don't have: two subjects and one
-    more for every 500 suppliers, two sessions each."""
-    subjects = 2 + read(spark, d, "supplier").count() // 500
-    s, eeg, nirs = synthetic.recordings(spark, subjects, 2, blocks=7, trials=4, prep=1.5, task=9.0)
+    """The final configuration over recordings made of the table of lines: about 75,000 samples a session."""
+    s, eeg, nirs = table_recordings(spark, d)
+    s, eeg, nirs = files.kept(s), files.kept(eeg), files.kept(nirs)
     return session.scored(session.run(s, eeg, nirs, config.build(preset="final")), s)
 
 

@@ -658,3 +658,26 @@ def listed_files(spark: SparkSession, d: str) -> DataFrame:
     files.write_predictions(e.select("session_id", F.col("event_id").alias("end_sample")), path)
     found = files.listed(spark, path, "*.csv").select(F.regexp_extract("path", "session_id=([^/]*)", 1).alias("stem")).distinct()
     return found.join(e.groupBy(F.col("session_id").alias("stem")).agg(F.count("*").alias("n")), "stem")
+
+
+EPOCH = "floor(epoch(ts::timestamp))::bigint"
+
+
+@register(f"with recursive s as (select user_id, {EPOCH} t, event_id, value, row_number() over (partition by user_id order by {EPOCH}, event_id) n from events), g as (select user_id, t, avg(value) value, row_number() over (partition by user_id order by t) n from s group by user_id, t), e as (select user_id, t, n, value::double y from g where n = 1 union all select g.user_id, g.t, g.n, exp(-(g.t - e.t) / 3600.0) * e.y + (1 - exp(-(g.t - e.t) / 3600.0)) * g.value from e join g on g.user_id = e.user_id and g.n = e.n + 1) select user_id, t, round(y, 6) y from e")
+def uneven_ema(spark: SparkSession, d: str) -> DataFrame:
+    """An exponential mean of an hour over each user's events, at the times they come."""
+    e = read(spark, d, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value")
+    e = e.groupBy("user_id", "t").agg(F.avg("value").alias("value"))
+    return sequence.ema_uneven(e, ["user_id"], "t", "value", 3600.0, "y").select("user_id", "t", r6("y").alias("y"))
+
+
+OFF_GRID = 9
+
+
+@register(f"with {STREAM}, x as (select user_id, sample, value / pi() a, (sample % 7 + value / 2) / pi() b from s), e as (select distinct user_id, 5 + (event_id * 13) % 40 stop from events), j as (select e.user_id, e.stop, x.sample, a, b, row_number() over (partition by e.user_id, e.stop order by x.sample desc) n from e join x on x.user_id = e.user_id and x.sample < e.stop) select user_id, stop::bigint stop, round(avg(a * a), 6) m_0_0, round(avg(a * b), 6) m_0_1, round(avg(b * b), 6) m_1_1 from j where n <= {OFF_GRID} group by all")
+def off_grid_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Second moments of two channels over windows that end anywhere."""
+    x = samples(spark, d).select("user_id", "sample", (F.col("value") / F.pi()).alias("a"), ((F.col("sample") % 7 + F.col("value") / 2) / F.pi()).alias("b"))
+    ends = read(spark, d, "events").select("user_id", (5 + (F.col("event_id") * 13) % 40).alias("stop")).distinct()
+    m = sequence.moments_at(x, ["user_id"], "sample", ["a", "b"], ends, "stop", OFF_GRID).where("m_0_0 is not null")
+    return m.select("user_id", long("stop").alias("stop"), *[r6(c).alias(c) for c in ("m_0_0", "m_0_1", "m_1_1")])
