@@ -83,3 +83,36 @@ def test_permutation_null(data):
     f = session.eeg_features(session.eeg_windows(data[1], cfg, 250.0), cfg)
     null = session.permutation_null(f, 3).collect()
     assert len(null) == 3 and all(0 <= r.value <= 1 for r in null)
+
+
+def test_power_of_segments_and_its_course(spark):
+    """A rhythm whose size is known gives back its drop, side and course."""
+    import numpy as np
+
+    from wavemill.plans import analysis
+    from wavemill.sources.schemas import CHANNELS
+
+    fs, long = 250, 2000
+    labels = [1, 2, 1, 3] * 4
+    n = long * len(labels)
+    t = np.arange(n)
+    lab = np.repeat(labels, long)
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 0.05, (n, len(CHANNELS)))
+    size = {"c3": np.where(lab == 3, 0.5, 2.0), "c4": np.where(lab == 2, 0.5, 2.0)}
+    for c, a in size.items():
+        x[:, CHANNELS.index(c)] += a * np.sin(2 * np.pi * 10.5 * t / fs) + 100
+    strong = np.repeat([0, 8, 0, 0.5] * 4, long)  # class 2 carries the artefact
+    x += (1 + strong)[:, None] * np.sin(2 * np.pi * 83 * t / fs)[:, None] * 0.2
+    eeg = spark.createDataFrame([("s", int(k), x[k].tolist()) for k in t], "session_id string, sample long, x array<double>")
+    segs = spark.createDataFrame([("s", k * long, (k + 1) * long, v) for k, v in enumerate(labels)], "session_id string, start_sample long, end_sample long, label int")
+    eeg, segs = eeg.cache(), segs.cache()
+    got = analysis.physiology(eeg, segs).first()
+    # one side falls by 20 log10(4) dB, the other stays: half of that in the mean of logs
+    assert got.early_drop_db == pytest.approx(-10 * np.log10(16) / 2, abs=0.3) and got.side_auc == 0.0
+    s = analysis.power_by_stratum(eeg, segs).first()
+    assert (s.n_high, s.n_low) == (4, 0) or (s.n_high, s.n_low) == (4, 4)
+    assert s.late_high_db == pytest.approx(-6.02, abs=0.3) and s.late_db == pytest.approx(-6.02, abs=0.3) and s.early_db == pytest.approx(-6.02, abs=0.3)
+    c = {(r.label, round(r.offset_s, 2)): r.db for r in analysis.power_course(eeg, segs, "c4", (8.0, 13.0)).collect()}
+    assert c[2, 3.0] == pytest.approx(-12.04, abs=0.4) and c[3, 3.0] == pytest.approx(0, abs=0.4) and abs(c[2, -0.75]) < 1.5
+    assert min(k[1] for k in c) == -1.0 and max(k[1] for k in c) == 4.75

@@ -15,6 +15,89 @@ from ..operators import fusion, scoring, sequence, signal, stats
 from ..sources.schemas import CHANNELS, NIRS_REGIONS
 
 
+#: Parts of a segment in seconds from its start (an end of None is the segment's): its first second left out, early, and late.
+PARTS = {"whole": (1.0, None), "early": (0.5, 2.5), "late": (5.0, None)}
+
+
+def band_power(eeg: DataFrame, channels: tuple[str, ...], band: tuple[float, float], fs: float = 250.0, both_ways: bool = True) -> DataFrame:
+    """(session_id, sample, power): squares of channels within a band, less their medians first; a recording is a group."""
+    at, sos = [CHANNELS.index(c) for c in channels], filters.butterworth(4, band, fs)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("sample")
+        x = np.stack(g["x"].to_numpy())[:, at]
+        x = x - np.median(x, axis=0)
+        y = filters.zero_phase(sos, x) if both_ways else filters.Stream(sos)(x)
+        return pd.DataFrame({"session_id": key[0], "sample": g["sample"].to_numpy(dtype="int64"), "power": list(y * y)})
+
+    return eeg.select("session_id", "sample", "x").groupBy("session_id").applyInPandas(run, "session_id string, sample long, power array<double>")
+
+
+def segment_powers(power: DataFrame, segs: DataFrame, n: int, fs: float = 250.0, parts: dict = PARTS) -> DataFrame:
+    """(session_id, start_sample, label, <part>): for each labelled segment and part, an array of ln mean power of the n channels, all
+    parts and channels in one pass over the samples; null where a part has none."""
+    s = segs.where("label > 0").select("session_id", "start_sample", "end_sample", "label", (F.col("end_sample") - 1).alias("_last"))
+    rows = sequence.range_join(power, s, ["session_id"], "sample", "start_sample", "_last", int(4 * fs))
+    since = F.col("sample") - F.col("start_sample")
+    sums = []
+    for name, (a, b) in parts.items():
+        inside = (since >= int(round(a * fs))) & (F.lit(True) if b is None else since < int(round(b * fs)))
+        sums += [F.avg(F.when(inside, F.col("power")[c])).alias(f"{name}_{c}") for c in range(n)]
+    g = rows.groupBy("session_id", "start_sample", "label").agg(*sums)
+    log = lambda name: F.when(F.col(f"{name}_0").isNotNull(), F.array(*[F.ln(F.col(f"{name}_{c}") + 1e-9) for c in range(n)]))
+    return g.select("session_id", "start_sample", "label", *[log(name).alias(name) for name in parts])
+
+
+def _mean(array: str) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, v: a + v) / F.size(array)
+
+
+def _decibels(log_ratio: Column) -> Column:
+    return log_ratio * (10 / float(np.log(10)))
+
+
+def physiology(eeg: DataFrame, segs: DataFrame, fs: float = 250.0, band: tuple[float, float] = (8.0, 13.0)) -> DataFrame:
+    """(session_id, side_auc, early_drop_db): how well the difference of the two sides' log power tells the movements apart (the
+    chance that class 3 has the larger one), and the change of early movement against rest in decibels."""
+    p = segment_powers(band_power(eeg, ("c3", "c4"), band, fs), segs, 2, fs, {k: PARTS[k] for k in ("whole", "early")})
+    side = stats.rank_auc(p.where("label > 1 and whole is not null").withColumn("_d", F.col("whole")[0] - F.col("whole")[1]), "_d", F.col("label") == 3, ["session_id"])
+    drop = p.groupBy("session_id").agg(_decibels(F.avg(F.when(F.col("label") > 1, _mean("early"))) - F.avg(F.when(F.col("label") == 1, _mean("whole")))).alias("early_drop_db"))
+    return drop.join(side.select("session_id", F.col("auc").alias("side_auc")), "session_id", "left").select("session_id", "side_auc", "early_drop_db")
+
+
+def power_by_stratum(eeg: DataFrame, segs: DataFrame, fs: float = 250.0, band: tuple[float, float] = (8.0, 13.0), artefact: tuple[float, float] = (81.5, 85.5), high: float = 6.0, low: float = 2.0) -> DataFrame:
+    """Per session: movements of strong (over `high` dB above rest late in the segment) and weak (under `low`) artefact, the change of
+    band power of c3 and c4 against rest in either stratum, early and late over all, and the correlation of both."""
+    own = segment_powers(band_power(eeg, ("c3", "c4"), band, fs, both_ways=False), segs, 2, fs, {k: PARTS[k] for k in ("early", "late")})
+    art = segment_powers(_mean_power(band_power(eeg, CHANNELS, artefact, fs, both_ways=False)), segs, 1, fs, {"late": PARTS["late"]}).select("session_id", "start_sample", F.col("late")[0].alias("a"))
+    p = own.join(art, ["session_id", "start_sample"]).select("session_id", "label", _mean("early").alias("e"), _mean("late").alias("l"), "a")
+    rest = F.col("label") == 1
+    w = Window.partitionBy("session_id")
+    less = lambda c: _decibels(F.col(c) - F.avg(F.when(rest, F.col(c))).over(w)).alias(c)
+    m = p.select("session_id", "label", less("e"), less("l"), less("a")).where("label > 1")
+    strong, weak = F.col("a") > high, F.col("a") < low
+    return m.groupBy("session_id").agg(F.sum(strong.cast("long")).alias("n_high"), F.sum(weak.cast("long")).alias("n_low"), F.avg(F.when(strong, F.col("l"))).alias("late_high_db"), F.avg(F.when(weak, F.col("l"))).alias("late_low_db"), F.avg("e").alias("early_db"), F.avg("l").alias("late_db"), F.corr("a", "l").alias("r"))
+
+
+def _mean_power(power: DataFrame) -> DataFrame:
+    return power.select("session_id", "sample", F.array(_mean("power")).alias("power"))
+
+
+def power_course(eeg: DataFrame, segs: DataFrame, channel: str, band: tuple[float, float], before_s: float = 1.0, after_s: float = 5.0, step_s: float = 0.25, fs: float = 250.0) -> DataFrame:
+    """(label, offset_s, db): the mean change of a band's power over time, each segment against the mean of the seconds before it."""
+    before = int(round(before_s * fs))
+    p = band_power(eeg, (channel,), band, fs).select("session_id", "sample", F.col("power")[0].alias("v"))
+    s = segs.where("label > 0").select("session_id", F.col("start_sample").alias("at"), "label")
+    e = s.withColumn("_lo", F.col("at") - before).withColumn("_hi", F.col("at") + int(round(after_s * fs)) - 1)
+    rows = sequence.range_join(p, e, ["session_id"], "sample", "_lo", "_hi", before + int(round(after_s * fs)))
+    since = F.col("sample") - F.col("at")
+    g = rows.groupBy("session_id", "at", "label", F.floor(since / (step_s * fs)).alias("bin")).agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    w = Window.partitionBy("session_id", "at")
+    base = F.sum(F.when(F.col("bin") < 0, F.col("s"))).over(w) / F.sum(F.when(F.col("bin") < 0, F.col("n"))).over(w)
+    g = g.select("label", "bin", _decibels(F.ln((F.col("s") / F.col("n")) / base)).alias("db"))
+    return g.groupBy("label", (F.col("bin") * step_s).alias("offset_s")).agg(F.avg("db").alias("db"))
+
+
 def by_block(predictions: DataFrame) -> DataFrame:
     """Metrics per (session, block)."""
     return scoring.metrics(predictions, ["session_id", "block"], "y", "true_y")

@@ -668,6 +668,17 @@ def session_plan(spark: SparkSession, d: str) -> DataFrame:
     return session.scored(session.run(s, eeg, nirs, config.build(preset="final")), s)
 
 
+@register()
+def physiology(spark: SparkSession, d: str) -> DataFrame:
+    """Side contrast and early drop of band power per session, and the drop by artefact stratum, of recordings made of `lineitem`."""
+    from . import analysis
+
+    _, eeg, _ = table_recordings(spark, d)
+    eeg = files.kept(eeg)
+    segs = sequence.segments(eeg, ["session_id"], ["sample"], "state")
+    return analysis.physiology(eeg, segs).join(analysis.power_by_stratum(eeg, segs), "session_id")
+
+
 @register(f"with {TRUTH}, {cells_sql('l_suppkey')}, g as (select least(f1, f2, f3) a, (p1 + p2 + p3) / 3 b from f), r as (select rank() over (order by round(a, 12)) + (count(*) over (partition by round(a, 12)) - 1) / 2.0 x, rank() over (order by round(b, 12)) + (count(*) over (partition by round(b, 12)) - 1) / 2.0 y from g) select round(corr(x, y), 6) rho, count(*)::bigint n from r")
 def metric_correlations(spark: SparkSession, d: str) -> DataFrame:
     m = scoring.metrics(truth3(spark, d, "l_suppkey"), ["l_suppkey"]).select(*[F.round(c, 12).alias(c) for c in ("min_f1", "macro_recall")])
