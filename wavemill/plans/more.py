@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import fusion, scoring, sequence, signal, stats
+from ..operators import fusion, scoring, sequence, signal, stacking, stats
 from ..sources import files, schemas
 from . import analysis, session
 from .catalog import LS, SEGMENTS, STREAM, T, TRIPLE, TRUTH, NEAR, U, _student_sql, _vectors, class_means, long, r6, read, register, samples, spread_sql, triples, truth3
@@ -370,6 +370,25 @@ def stacked_fusion(spark: SparkSession, d: str) -> DataFrame:
     return t.select("vec_id", *[r6(F.col("v")[k]).alias(n) for k, n in enumerate(LP)])
 
 
+def _by_subject(spark: SparkSession, d: str) -> DataFrame:
+    return logp(spark, d).withColumn("subject", F.concat(F.lit("N"), F.col("vec_id") % 5))
+
+
+@register()
+def stacked_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's class by the stack that was fitted on all other subjects' answers."""
+    out = stacking.unseen(_by_subject(spark, d), "a", "b", "t", "subject")
+    return out.select("vec_id", "subject", F.col("t").cast("long").alias("truth"), S.argmax_first("stacked").cast("long").alias("y"))
+
+
+@register()
+def fitted_stack(spark: SparkSession, d: str) -> DataFrame:
+    """The penalty that unseen subjects choose, its score there, and the biases of the stack of all rows."""
+    m = stacking.fitted(_by_subject(spark, d), "a", "b", "t", ["g"], "subject")
+    rows = [(m["c"], round(m["value"], 6), m["bias"][1], m["bias"][2])] if m else []
+    return spark.createDataFrame(rows, "c double, value double, b2 double, b3 double")
+
+
 FIRST = {"mu": [0.1, -0.1, 0.0], "sd": [0.5, 0.4, 0.3], "w": [1.0, -0.5, 0.2], "b": 0.3}
 SECOND = {"mu": [0.0, 0.2, 0.1], "sd": [0.6, 0.5, 0.4], "w": [-0.4, 0.8, 0.1], "b": -0.2}
 one_row = lambda m: linear_sql("a", {**m, "w": [m["w"]], "b": [m["b"]]})
