@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, small_batches, texts
 from .rolling import U, mix, range_hashes
 
-#: Paragraphs of the corpus that the fit takes as examples of the unknown class, at most (in expectation).
-FIT_PARAGRAPHS = 4_000
+#: Windows of the corpus that the fit takes as examples of the unknown class (in expectation).
+FIT_WINDOWS = 6_000
 #: Words of a window and from one window to the next.
 WINDOW, STEP = 8, 2
 #: Windows that are scored at once.
@@ -32,8 +32,6 @@ BLOCK = 1 << 13
 BEFORE, AFTER = 6, 3
 #: Of a judged reference; of a family among those that a window may name; of a notice's three-word runs.
 LEAST_PROBABILITY, LEAST_SHARE, LEAST_COVERAGE = 0.6, 0.01, 0.6
-#: What parts paragraphs: line ends with no word between them.
-BREAK = r"\n[^0-9A-Za-z\x{80}-\x{10FFFF}]*\n"
 # Sentences by which works refer to public licences, and of their usual notices.
 NOTICES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": ("licensed under the GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
@@ -287,23 +285,25 @@ def sampled(share: float):
             for t in texts(batch):
                 w, _, _, cuts = paragraphs(t)
                 if len(w):
-                    key = mix(np.add.reduceat(w, cuts[:-1]))
-                    for k in np.flatnonzero((key >> U(40)) < int(share * (1 << 24))):
-                        own = w[cuts[k] : cuts[k + 1]]
-                        parts = windows(len(own))
-                        a, b = parts[int(key[k] & U(0xFFFFFF)) % len(parts)]  # any place of the paragraph
-                        if not np.isin(grams(own[a:b], 3), runs).any():
-                            out.append(features(own[a:b]).tobytes())
+                    part = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                    first = np.flatnonzero((np.arange(len(w)) - cuts[part]) % WINDOW == 0)
+                    key = mix(np.add.reduceat(w, first))
+                    for k in np.flatnonzero((key >> U(40)) < int(share * (1 << 24))).tolist():
+                        own = w[first[k] : min(first[k] + WINDOW, cuts[part[first[k]] + 1])]
+                        if not np.isin(grams(own, 3), runs).any():
+                            out.append(features(own).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["x"])
 
     return run
 
 
-def fit(docs: DataFrame, most: int = FIT_PARAGRAPHS) -> dict:
-    """Trains against about `most` corpus paragraphs, chosen by a hash of their words so that copies count once at most each."""
+def fit(docs: DataFrame, most: int = FIT_WINDOWS) -> dict:
+    """Trains against about `most` windows of the corpus, chosen by a hash of their words so that copies count once at most each.
+
+    How many windows there are is estimated from the length of all texts, at seven characters a word."""
     small_batches(docs.sparkSession)
-    parts = docs.select(F.sum(F.regexp_count("text", F.lit(BREAK)) + 1)).first()[0] or 0
-    share = min(1.0, most / max(1, parts))
+    chars = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    share = min(1.0, most * 7 * WINDOW / max(1, chars))
     part = docs.select("text").where(F.col("text").isNotNull())
     rows = part.mapInArrow(sampled(share), "x binary").distinct().orderBy(F.xxhash64("x"), "x").limit(4 * most).collect()  # bounded by `most`
     return train([np.frombuffer(r["x"], dtype=np.uint64) for r in sorted(rows, key=lambda r: r["x"])])
