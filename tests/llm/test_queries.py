@@ -532,6 +532,23 @@ def test_ann_finds_as_many_as_there_are(spark, monkeypatch):
     assert both.shape == (3, 3) and (both[:, 0] & 15).tolist() == [0, 5, 10] and (both[:, 0] >> 4).tolist() == [1, 6, 11]
 
 
+def test_ann_tells_apart_what_lies_close(spark):
+    """Half of the vectors lie within a hundredth of one point, among others far away: codes must resolve both."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    close = rng.random(2000) < 0.5
+    x[close] = x[close] * 0.01 + rng.normal(size=64)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    by = collections.defaultdict(set)
+    for r in ann.nearest(df).collect():
+        by[r.query_id].add(r.vec_id)
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    hits = [len(by[q] & set(np.argsort(-s[q])[:20].tolist())) / 20 for q in range(0, 2000, 20)]
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.6
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

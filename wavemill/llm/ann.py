@@ -1,10 +1,12 @@
 """Maximum inner product search with score-aware anisotropic quantisation and four-bit tables.
 
 Vectors go to the list of their nearest centre; what remains is quantised in sub-spaces of two dimensions with 16 centres
-each. Errors along a vector change its large inner products more than errors across it, so codes and codebooks minimise a
-loss that weighs the parallel part higher. A query reads its best lists: tables of 16 entries per sub-space give approximate
-scores for all codes of a list, and the best of them are ranked again by exact inner products in double precision. Two codes
-share a byte, and their two tables are one of 256 entries.
+each, in units of its own length: dense and wide lists are told apart equally well. Errors along a vector change its large
+inner products more than errors across it, so codes and codebooks minimise a loss that weighs the parallel part higher. A query
+reads its best lists: tables of 16 entries per sub-space give approximate scores for all codes of a list. The best of them are
+ranked again by exact inner products in double precision, and so is every vector that may be among the best by the length of its
+code's error. Two codes share a byte, and their two tables are one of 256 entries. How many lists are read follows from sampled
+queries of the table itself, whose true neighbours among all rows are known.
 
 Lists are dealt out in parts of bounded size, and so are the queries that read a part: no task holds all of either. A query that
 finds fewer vectors than it should in its lists reads all of them.
@@ -32,8 +34,12 @@ PART_ROWS = 8_192
 QUERY_ROWS = 4_096
 #: Rows of a part of a list that are ranked again for a query, and the share of a part if that is more.
 RERANK, RERANK_SHARE = 64, 1 / 64
-#: Share of true neighbours in the lists that are read, on the sample.
-AIM = 0.97
+#: Standard deviations of a code's error in a score, within which a vector may still be among the best.
+MARGIN = 3.0
+#: Share of true neighbours in the lists that are read, on the sample; share of its own that a query may miss, and of queries that may miss more.
+AIM, MISS, RARE = 0.97, 0.1, 0.02
+#: Queries (in expectation) whose true neighbours among all rows say how many lists to read.
+TRIED = 256
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -103,7 +109,7 @@ class Index:
         x = self.padded(x)
         self.lists = int(max(1, min(round(np.sqrt(rows) / 2), max(1024, len(x) // 8), len(x))))
         self.centres = k_means(x, self.lists, rng)
-        r, unit = self._residuals(x)
+        r, unit, _ = self._residuals(x)
         self.weight = parallel_weight(self.dim)
         self.books = codebooks(r, unit, self.weight, rng)
         self.probes = self._probes(x, k, rng)
@@ -111,9 +117,12 @@ class Index:
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(np.asarray(x, dtype=np.float64), ((0, 0), (0, self.pad)))
 
-    def _residuals(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _residuals(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What remains of each vector, scaled to length 1, the vector's direction, and the length of what remains."""
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        return x - self.centres[_nearest(x, self.centres)], unit
+        r = x - self.centres[_nearest(x, self.centres)]
+        length = np.linalg.norm(r, axis=1)
+        return r / np.maximum(length, 1e-300)[:, None], unit, length
 
     def _probes(self, x: np.ndarray, k: int, rng) -> int:
         """The fewest lists that hold AIM of the true neighbours of sampled queries."""
@@ -129,24 +138,42 @@ class Index:
         need = np.sort(np.take_along_axis(place, _nearest(x, self.centres)[top], axis=1).ravel())
         return int(min(self.lists, need[min(len(need) - 1, int(np.ceil(AIM * len(need))))] + 1))
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes of each vector."""
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, scale and length of the codes' error of each vector."""
         x = self.padded(x)
         at = _nearest(x, self.centres)
-        r, unit = self._residuals(x)
-        return at, packed(encode(r, unit, self.books, self.weight))
+        r, unit, length = self._residuals(x)
+        codes = encode(r, unit, self.books, self.weight)
+        off = r - self.books[np.arange(len(self.books)), codes].reshape(len(r), -1)
+        return at, packed(codes), length, length * np.linalg.norm(off, axis=1)
 
     def routes(self, q: np.ndarray, probes: int) -> np.ndarray:
         """The lists each query reads, the best of them first."""
         return np.argsort(-(self.padded(q) @ self.centres.T), axis=1, kind="stable")[:, :probes]
 
-    def approximate(self, q: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-        """Scores of all packed codes of a list for all queries, from one table per query and pair of sub-spaces."""
+    def enough(self, q: np.ndarray, query: np.ndarray, lists: np.ndarray) -> int:
+        """The fewest lists to read, given the list of each true neighbour of query q[query]: they hold AIM of all neighbours, and
+        all but MISS of those of each query but RARE."""
+        place = np.argsort(self.routes(q, self.lists), axis=1)[query, lists]
+        if not len(place):
+            return 1
+        order = np.lexsort((place, query))
+        query, place = query[order], place[order]
+        n = np.bincount(query, minlength=len(q))
+        last = (np.cumsum(n) - n + np.ceil((1 - MISS) * n).astype(int) - 1)[n > 0]
+        own, every = np.sort(place[last]), np.sort(place)
+        at = lambda v, share: v[min(len(v), int(np.ceil(share * len(v)))) - 1]
+        return int(max(at(own, 1 - RARE), at(every, AIM))) + 1
+
+    def approximate(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the packed codes of a list add to their centre's score, in units of their scales, for all queries: from one table per
+        query and pair of sub-spaces; queries count as of length 1."""
         q = self.padded(q)
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         tables = np.einsum("qsd,scd->scq", q.reshape(len(q), len(self.books), SUB), self.books).astype(np.float32)
         if len(tables) % 2:
             tables = np.concatenate([tables, np.zeros_like(tables[:1])])
-        out = np.broadcast_to((self.centres[centre] @ q.T).astype(np.float32), (len(codes), len(q))).copy()
+        out = np.zeros((len(codes), len(q)), dtype=np.float32)
         for s in range(codes.shape[1]):
             pair = tables[2 * s + 1][:, None, :] + tables[2 * s][None, :, :]
             out += pair.reshape(CENTRES * CENTRES, -1)[codes[:, s]]
@@ -183,12 +210,13 @@ def searcher(index: Index, k: int):
             v = v.sort_values("list", kind="stable")
             ids, x, at = v["vec_id"].to_numpy(), _matrix(v["embedding"]), v["list"].to_numpy()
             codes = np.frombuffer(b"".join(v["codes"]), dtype=np.uint8).reshape(len(v), -1)
+            scale, off = v["scale"].to_numpy(), v["off"].to_numpy()
             cuts = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 who = np.array([i for i in range(len(q)) if (i, int(at[a])) in asks], dtype=np.int64)
                 for w in np.array_split(who, max(1, -(-len(who) // 256))):
                     if len(w):
-                        found.append(_best(index, k, qid[w], qs[w], int(at[a]), ids[a:b], x[a:b], codes[a:b]))
+                        found.append(_best(index, k, qid[w], qs[w], int(at[a]), ids[a:b], x[a:b], codes[a:b], scale[a:b], off[a:b]))
         if not found:
             return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
         q_, v_, s_ = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -201,18 +229,34 @@ def searcher(index: Index, k: int):
     return run
 
 
-def _best(index: Index, k: int, qid: np.ndarray, qs: np.ndarray, centre: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
-    """Queries, vectors and exact scores of the k best of a list: all of its codes are scanned, the best ranked again."""
-    rough = index.approximate(qs, centre, codes)
-    rough[ids[None, :] == qid[:, None]] = -np.inf
+def _best(index: Index, k: int, qid: np.ndarray, qs: np.ndarray, centre: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray, off: np.ndarray):
+    """Queries, vectors and exact scores of the k best of a list: all of its codes are scanned, the best ranked again, and then all
+    that the errors of their codes may hide."""
+    rough = index.approximate(qs, codes) * scale
+    own = ids[None, :] == qid[:, None]
+    rough[own] = -np.inf
     most = max(RERANK, 2 * k, int(RERANK_SHARE * len(ids)))
     best = np.argpartition(-rough, most - 1, axis=1)[:, :most] if most < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
-    score, vec = exact(qs[:, None, :], x[best]), ids[best]
-    score[vec == qid[:, None]] = -np.inf
-    order = np.lexsort((vec, -score), axis=1)[:, :k]
-    score, vec = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
+    score = exact(qs[:, None, :], x[best])
+    score[np.take_along_axis(own, best, 1)] = -np.inf
+    at, vec, score = np.repeat(np.arange(len(qs)), best.shape[1]), best.ravel(), score.ravel()
+    if most < len(ids):
+        least = np.sort(score.reshape(len(qs), -1), axis=1)[:, -k]
+        length = np.maximum(np.linalg.norm(qs.astype(np.float64), axis=1), 1e-300)
+        base = index.padded(qs) @ index.centres[centre]
+        more = rough + (MARGIN / np.sqrt(index.dim)) * off >= ((least - base) / length)[:, None]
+        np.put_along_axis(more, best, False, 1)
+        i, j = np.nonzero(more & ~own)
+        s = exact(qs[i], x[j])
+        ok = s >= least[i]
+        at, vec, score = np.append(at, i[ok]), np.append(vec, j[ok]), np.append(score, s[ok])
     ok = score > -np.inf
-    return np.repeat(qid, ok.sum(axis=1)), vec[ok], score[ok]
+    at, vec, score = at[ok], vec[ok], score[ok]
+    order = np.lexsort((ids[vec], -score, at))
+    at, vec, score = at[order], vec[order], score[order]
+    n = np.bincount(at, minlength=len(qs))
+    top = np.arange(len(at)) - (np.cumsum(n) - n)[at] < k
+    return qid[at[top]], ids[vec[top]], score[top]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -255,12 +299,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     useful = plain.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n")
 
-    @F.pandas_udf("struct<list:int,codes:binary>")
+    @F.pandas_udf("struct<list:int,codes:binary,scale:double,off:double>")
     def placed(e: pd.Series) -> pd.DataFrame:
-        at, codes = index.place(_matrix(e))
-        return pd.DataFrame({"list": at.astype(np.int32), "codes": [c.tobytes() for c in codes]})
+        at, codes, scale, off = index.place(_matrix(e))
+        return pd.DataFrame({"list": at.astype(np.int32), "codes": [c.tobytes() for c in codes], "scale": scale, "off": off})
 
-    stored = staged(useful.withColumn("p", placed("embedding")).select("vec_id", "embedding", "p.list", "p.codes"))
+    stored = staged(useful.withColumn("p", placed("embedding")).select("vec_id", "embedding", "p.list", "p.codes", "p.scale", "p.off"))
     # Small lists share a part of about PART_ROWS rows; a list of more has parts of its own. One row per list: bounded by the fit.
     sizes = stored.groupBy("list").agg(F.count("*").alias("n"))
     shares = max(1, -(-stored.count() // PART_ROWS))
@@ -269,8 +313,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     block = F.pmod(F.xxhash64("vec_id"), F.greatest("own", F.lit(1)))
     parts = stored.join(sizes, "list").withColumn("part", _part(block)).drop("own", "share")
     queries = plain.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    found = staged(_searched(queries, parts, sizes, index, k, index.probes))
-    if index.probes < index.lists:
+    probes = max(index.probes, _tried(queries, stored, index, k))
+    found = staged(_searched(queries, parts, sizes, index, k, probes))
+    if probes < index.lists:
         least = min(k, useful.count() - 1)
         have = found.groupBy("query_id").agg(F.count("*").alias("n"))
         short = staged(queries.join(have.where(F.col("n") >= least), "query_id", "left_anti"))
@@ -281,6 +326,36 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _tried(queries: DataFrame, stored: DataFrame, index: Index, k: int) -> int:
+    """How many lists hold what sampled queries look for: their true neighbours come from all rows, block by block."""
+    n = queries.count()
+    some = queries if n <= TRIED else queries.where(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * TRIED / n))
+    asked = some.toPandas()  # bounded by TRIED
+    if not len(asked):
+        return 1
+    q, ids = _matrix(asked["embedding"]).astype(np.float64), asked["query_id"].to_numpy()
+
+    def best(batches):
+        kept = [(np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(q)
+        for v in batches:
+            if not len(v):
+                continue
+            s, vec, at = q @ _matrix(v["embedding"]).astype(np.float64).T, v["vec_id"].to_numpy(), v["list"].to_numpy()
+            s[vec[None, :] == ids[:, None]] = -np.inf
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(vec) else np.broadcast_to(np.arange(len(vec)), s.shape)
+            for i, t in enumerate(top):
+                new = [np.append(a, b) for a, b in zip(kept[i], (s[i, t], vec[t], at[t]), strict=True)]
+                first = np.lexsort((new[1], -new[0]))[:k]
+                kept[i] = tuple(a[first] for a in new)
+        for i, (s, vec, at) in enumerate(kept):
+            yield pd.DataFrame({"query": i, "vec_id": vec, "list": at, "score": s})
+
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    near = stored.select("vec_id", "embedding", "list").mapInPandas(best, "query int, vec_id long, list int, score double").where("score > double('-Infinity')")
+    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query", "list").toPandas()  # k rows a query
+    return index.enough(q, near["query"].to_numpy(), near["list"].to_numpy())
+
+
 def _part(block: F.Column) -> F.Column:
     return F.when(F.col("own") > 0, F.concat_ws("-", "list", block)).otherwise(F.concat(F.lit("s"), F.col("share")))
 
