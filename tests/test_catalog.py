@@ -49,3 +49,17 @@ def test_kernel_queries_read_all_components(spark, tmp_path, monkeypatch):
     for r in catalog.QUERIES["spd_tangent"](spark, str(tmp_path)).collect():
         np.testing.assert_allclose(r.tangent, want[r.vec_id], rtol=1e-9, atol=1e-12)
     assert all(r.y == r.truth for r in catalog.QUERIES["lr_predict"](spark, str(tmp_path)).collect())
+
+
+def test_signed_rank_adds_up_in_the_order_of_rows(spark, tmp_path):
+    """Hundreds of differences tie but for their last digits; the sums are those of the SQL on one thread."""
+    import random
+
+    rng = random.Random(4)
+    lines = [(k, round(rng.randint(1, 400) * 0.1, 2), rng.randint(0, 10) / 10, 0.0) for k in range(1, 1500) for _ in range(rng.randint(1, 7))]
+    rng.shuffle(lines)
+    spark.createDataFrame(lines, "l_orderkey long, l_extendedprice double, l_discount double, l_tax double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect()
+    c.execute(f"set threads = 1; create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalog.QUERIES["signed_rank"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == c.execute(catalog.ORACLES["signed_rank"]).fetchall()

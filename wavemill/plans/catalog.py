@@ -499,8 +499,12 @@ def rollup_means(spark: SparkSession, d: str) -> DataFrame:
 
 @register("with d as (select l_orderkey, sum(l_extendedprice) - sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) - 0.01 * l_orderkey x from lineitem group by 1), z as (select x, rank() over (order by abs(x)) + (count(*) over (partition by abs(x)) - 1) / 2.0 k from d where x <> 0) select round(least(sum(case when x > 0 then k else 0 end), sum(case when x < 0 then k else 0 end)), 2)::double w, count(*)::bigint n from z")
 def signed_rank(spark: SparkSession, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("s"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("c"))
-    w = stats.wilcoxon(li.select((F.col("s") - F.col("c") - 0.01 * F.col("l_orderkey")).alias("a"), F.lit(0.0).alias("b")), "a", "b")
+    """Differences that are ties but for their last digits count as the table's order leaves them: an order's lines are added up in
+    the order of their rows, and a hundredth of the key is the double next to it, as in the SQL on one thread."""
+    at = F.struct("_metadata.file_path", "_metadata.row_index", F.col("l_extendedprice").alias("s"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("c"))
+    li = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(at)).alias("rows"))
+    total = lambda c: F.when(F.exists("rows", lambda r: r[c].isNotNull()), S.asum(F.filter(F.transform("rows", lambda r: r[c]), lambda v: v.isNotNull())))
+    w = stats.wilcoxon(li.select((total("s") - total("c") - F.col("l_orderkey") / 100).alias("a"), F.lit(0.0).alias("b")), "a", "b")
     return w.select(F.round("w", 2).alias("w"), "n")
 
 
