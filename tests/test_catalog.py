@@ -63,3 +63,16 @@ def test_signed_rank_adds_up_in_the_order_of_rows(spark, tmp_path):
     c.execute(f"set threads = 1; create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     got = catalog.QUERIES["signed_rank"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == c.execute(catalog.ORACLES["signed_rank"]).fetchall()
+
+
+@pytest.mark.parametrize(("name", "most"), [("predictions_round_trip", 40), ("dumps_round_trip", 40), ("listed_files", None)])
+def test_round_trips_write_few_files(spark, tmp_path, monkeypatch, name, most):
+    """Rows of all tasks for all sessions: one file a session at most, or a number of files that doesn't follow the sessions'."""
+    from wavemill.plans import more
+
+    rows = [(k, 1_700_000_000 + k, k % 60, "view", float(k % 100), "{}") for k in range(2400)]
+    df = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string").selectExpr("event_id", "timestamp_seconds(t) ts", "user_id", "event_type", "value", "props")
+    df.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(more, "scratch", lambda spark: str(tmp_path / "out"))
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() == (60 if name == "listed_files" else 2400 if name.startswith("pred") else 600)
+    assert len(list((tmp_path / "out").rglob("*.csv"))) <= (most or 60)

@@ -623,8 +623,8 @@ def scratch(spark: SparkSession) -> str:
 def predictions_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
     a = answers(spark, d).select(F.concat(F.lit("u"), F.col("session_id")).alias("session_id"), "end_sample", "start_sample", "true_y", "y", F.col("y2").alias("y_eeg"), F.lit(None).cast("int").alias("y_nirs"))
-    files.write_predictions(a, path)
-    p = files.predictions(spark, path)
+    files.write_predictions(a, path, packed=True)
+    p = files.predictions(spark, path, packed=True)
     return p.select("session_id", *[long(c).alias(c) for c in ("end_sample", "start_sample", "true_y", "y", "y_eeg", "y_nirs")])
 
 
@@ -636,8 +636,8 @@ def dumps_round_trip(spark: SparkSession, d: str) -> DataFrame:
     a = files.as_dump(a.withColumn("ls1", F.lit(float("nan"))))
     half = F.col("end_sample") % 20 < 10
     for part in (a.where(half), a.where(~half)):
-        files.append_dump(part, path, "end_sample")
-    return files.dumps(spark, path, "end_sample").select("session_id", F.col("end").alias("slot"), long("y").alias("y"), long("y_eeg").alias("y_eeg"), F.isnan("ls1").alias("missing"))
+        files.append_dump(part, path, "end_sample", packed=True)
+    return files.dumps(spark, path, "end_sample", packed=True).select("session_id", F.col("end").alias("slot"), long("y").alias("y"), long("y_eeg").alias("y_eeg"), F.isnan("ls1").alias("missing"))
 
 
 @register(f"with {ANSWERS}, {f1_sql('a', 'session_id', 'y', 'true_y')} select 'u' || session_id as session, round(min_f1, 6) min_f1, round(macro_recall, 6) macro_recall, n::bigint n, 'done' status from f")
