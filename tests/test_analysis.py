@@ -116,3 +116,15 @@ def test_power_of_segments_and_its_course(spark):
     c = {(r.label, round(r.offset_s, 2)): r.db for r in analysis.power_course(eeg, segs, "c4", (8.0, 13.0)).collect()}
     assert c[2, 3.0] == pytest.approx(-12.04, abs=0.4) and c[3, 3.0] == pytest.approx(0, abs=0.4) and abs(c[2, -0.75]) < 1.5
     assert min(k[1] for k in c) == -1.0 and max(k[1] for k in c) == 4.75
+
+
+def test_only_the_channels_asked_for_reach_a_group(spark):
+    """What is shuffled to the recordings' groups holds the band's channels, and the mean of many is one number."""
+    from wavemill.sources.schemas import CHANNELS
+
+    _, eeg, _ = synthetic.recordings(spark, 1, 1)
+    p = analysis.band_power(eeg, ("c3", "c4"), (8.0, 13.0))
+    assert "Project [session_id" in p._jdf.queryExecution().optimizedPlan().toString() and p.first().power is not None and len(p.first().power) == 2
+    every = {r.sample: r.power for r in analysis.band_power(eeg, CHANNELS, (81.5, 85.5), both_ways=False).collect()}
+    one = {r.sample: r.power for r in analysis.band_power(eeg, CHANNELS, (81.5, 85.5), both_ways=False, mean=True).collect()}
+    assert all(len(v) == 1 and v[0] == pytest.approx(sum(every[k]) / len(CHANNELS), rel=1e-12) for k, v in one.items()) and len(one) == len(every)

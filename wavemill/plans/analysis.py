@@ -19,18 +19,22 @@ from ..sources.schemas import CHANNELS, NIRS_REGIONS
 PARTS = {"whole": (1.0, None), "early": (0.5, 2.5), "late": (5.0, None)}
 
 
-def band_power(eeg: DataFrame, channels: tuple[str, ...], band: tuple[float, float], fs: float = 250.0, both_ways: bool = True) -> DataFrame:
-    """(session_id, sample, power): squares of channels within a band, less their medians first; a recording is a group."""
+def band_power(eeg: DataFrame, channels: tuple[str, ...], band: tuple[float, float], fs: float = 250.0, both_ways: bool = True, mean: bool = False) -> DataFrame:
+    """(session_id, sample, power): squares of channels within a band, less their medians first, or their `mean` alone; a recording
+    is a group, to which only the channels asked for are sent."""
     at, sos = [CHANNELS.index(c) for c in channels], filters.butterworth(4, band, fs)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("sample")
-        x = np.stack(g["x"].to_numpy())[:, at]
+        x = np.stack(g["x"].to_numpy())
         x = x - np.median(x, axis=0)
         y = filters.zero_phase(sos, x) if both_ways else filters.Stream(sos)(x)
-        return pd.DataFrame({"session_id": key[0], "sample": g["sample"].to_numpy(dtype="int64"), "power": list(y * y)})
+        y = y * y
+        if mean:
+            y = sum(y[:, c] for c in range(len(at)))[:, None] / len(at)
+        return pd.DataFrame({"session_id": key[0], "sample": g["sample"].to_numpy(dtype="int64"), "power": list(y)})
 
-    return eeg.select("session_id", "sample", "x").groupBy("session_id").applyInPandas(run, "session_id string, sample long, power array<double>")
+    return eeg.select("session_id", "sample", F.array(*[F.col("x")[c] for c in at]).alias("x")).groupBy("session_id").applyInPandas(run, "session_id string, sample long, power array<double>")
 
 
 def segment_powers(power: DataFrame, segs: DataFrame, n: int, fs: float = 250.0, parts: dict = PARTS) -> DataFrame:
@@ -69,7 +73,7 @@ def power_by_stratum(eeg: DataFrame, segs: DataFrame, fs: float = 250.0, band: t
     """Per session: movements of strong (over `high` dB above rest late in the segment) and weak (under `low`) artefact, the change of
     band power of c3 and c4 against rest in either stratum, early and late over all, and the correlation of both."""
     own = segment_powers(band_power(eeg, ("c3", "c4"), band, fs, both_ways=False), segs, 2, fs, {k: PARTS[k] for k in ("early", "late")})
-    art = segment_powers(_mean_power(band_power(eeg, CHANNELS, artefact, fs, both_ways=False)), segs, 1, fs, {"late": PARTS["late"]}).select("session_id", "start_sample", F.col("late")[0].alias("a"))
+    art = segment_powers(band_power(eeg, CHANNELS, artefact, fs, both_ways=False, mean=True), segs, 1, fs, {"late": PARTS["late"]}).select("session_id", "start_sample", F.col("late")[0].alias("a"))
     p = own.join(art, ["session_id", "start_sample"]).select("session_id", "label", _mean("early").alias("e"), _mean("late").alias("l"), "a")
     rest = F.col("label") == 1
     w = Window.partitionBy("session_id")
@@ -79,10 +83,6 @@ def power_by_stratum(eeg: DataFrame, segs: DataFrame, fs: float = 250.0, band: t
     return m.groupBy("session_id").agg(F.sum(strong.cast("long")).alias("n_high"), F.sum(weak.cast("long")).alias("n_low"), F.avg(F.when(strong, F.col("l"))).alias("late_high_db"), F.avg(F.when(weak, F.col("l"))).alias("late_low_db"), F.avg("e").alias("early_db"), F.avg("l").alias("late_db"), F.corr("a", "l").alias("r"))
 
 
-def _mean_power(power: DataFrame) -> DataFrame:
-    return power.select("session_id", "sample", F.array(_mean("power")).alias("power"))
-
-
 def power_course(eeg: DataFrame, segs: DataFrame, channel: str, band: tuple[float, float], before_s: float = 1.0, after_s: float = 5.0, step_s: float = 0.25, fs: float = 250.0) -> DataFrame:
     """(label, offset_s, db): the mean change of a band's power over time, each segment against the mean of the seconds before it."""
     before = int(round(before_s * fs))
