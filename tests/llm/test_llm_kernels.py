@@ -140,6 +140,23 @@ def test_ordinal_regression_orders_grades():
     assert f[0] < m["cuts"][0] < f[1] < m["cuts"][1] < f[2]
 
 
+def test_ordinal_regression_takes_a_block_of_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 2000)
+    at = [np.sort(rng.choice(3000, 500, replace=False)).astype(np.uint16) if k else np.zeros(0, dtype=np.uint16) for k in range(2000)]
+    v = [rng.random(len(a), dtype=np.float32) for a in at]
+    whole = quality.fit_ordinal(at, v, y, width=3000, steps=3)
+    monkeypatch.setattr(quality, "FIT_SLOTS", 10_000, raising=False)
+    tracemalloc.start()
+    m = quality.fit_ordinal(at, v, y, width=3000, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # the million slots alone are 8 MB as doubles
+    assert m["w"] == pytest.approx(whole["w"], abs=1e-9) and m["cuts"] == pytest.approx(whole["cuts"], abs=1e-9)
+
+
 def test_quality_slots():
     for t in ("", "x", "ab", "one two two\n\n"):
         assert np.isfinite(quality.score_text(t, np.ones(quality.WIDTH)))

@@ -453,6 +453,16 @@ def test_quality(spark):
     assert quality.accepted(docs, none).count() == len(rows) and quality.grades(docs, none).where("kept").count() == len(rows)
 
 
+def test_quality_is_fitted_off_the_driver(spark, monkeypatch):
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(k, prose(rng, 20) + " junk!" * (k % 2)) for k in range(200)] + [(3, "junk!")], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit_ordinal", None)  # here, not in tasks
+    model, again = quality.fit(docs.repartition(7, "doc_id"), lab), quality.fit(docs.repartition(2, "text"), lab)
+    assert model["grades"] == [0, 1] and model["w"].any() and np.array_equal(model["w"], again["w"]) and np.array_equal(model["cuts"], again["cuts"])
+    assert quality.fit(docs.limit(0), lab)["grades"] == [] and quality.fit(docs.where("doc_id = 3"), lab)["grades"] == [1]
+
+
 def test_licence_scan(spark):
     rng = random.Random(13)
     rows = [(k, prose(rng, 40) + "\n" + (licences.NOTICES[f][0] + ".\n" if (f := licences.FAMILIES[k % 20] if k % 20 < len(licences.FAMILIES) else None) else "") + prose(rng, 40)) for k in range(80)] + [(500, None), (501, "")]

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, small_batches, texts
 
-#: Rated rows that the fit looks at, at most (in expectation).
-FIT_ROWS = 5_000
+#: Rated rows that the fit looks at, at most (in expectation), and slots of them that it unfolds at once.
+FIT_ROWS, FIT_SLOTS = 5_000, 1 << 18
 #: Grades that a scale may have: each is a threshold of the model.
 LARGEST_SCALE = 100
 TWO, THREE = 1 << 11, 1 << 12
@@ -50,25 +50,26 @@ def score_text(text: str, w: np.ndarray) -> float:
 def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
     *grams, shape = slots(text)
     share = [np.full(len(x), 1 / (len(x) + SHORT), dtype=np.float32) for x in grams]
-    return np.concatenate([*grams, shape]).astype(np.int32), np.concatenate([*share, np.ones(len(shape), dtype=np.float32)])
+    return np.concatenate([*grams, shape]).astype(np.uint16), np.concatenate([*share, np.ones(len(shape), dtype=np.float32)])
 
 
 def sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, 4 << 20):
         x = [sparse(t) for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.tobytes() for a, _ in x], pa.binary()), pa.array([v.tobytes() for _, v in x], pa.binary())], ["y", "at", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.tobytes() for a, _ in x], pa.binary()), pa.array([v.tobytes() for _, v in x], pa.binary())], ["doc_id", "y", "at", "v"])
 
 
 def fit_ordinal(at: list[np.ndarray], v: list[np.ndarray], y: np.ndarray, width: int = WIDTH, steps: int = 200, ridge: float = 1e-2) -> dict:
     """Weights and thresholds; y are ranks 0..K-1 of the grades. Grades count alike, however many rows they have.
 
-    Columns are scaled by their root mean square for the descent and the weights scaled back.
+    Columns are scaled by their root mean square for the descent and the weights scaled back. Each step goes over the rows in
+    blocks of about FIT_SLOTS slots, so that besides `at` and `v` only a block's worth of memory is taken.
     """
     n, k = len(y), int(y.max()) + 1
-    row = np.repeat(np.arange(n), [len(a) for a in at])
-    col, val = np.concatenate(at).astype(np.int64), np.concatenate(v).astype(np.float64)
-    scale = np.sqrt(np.bincount(col, val * val, width) / n) + 1e-4
-    val = val / scale[col]
+    size = np.array([len(a) for a in at])
+    ends = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // FIT_SLOTS)) + 1).tolist(), n]
+    rows = [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+    scale = np.sqrt(sum(np.bincount(np.concatenate(at[b]), np.concatenate(v[b]).astype(np.float64) ** 2, width) for b in rows) / n) + 1e-4
     share = 1 / (k * np.maximum(1, np.bincount(y, minlength=k)))[y]
     theta = np.concatenate([np.zeros(width), [-1.0], np.zeros(max(0, k - 2))])
     m, s = np.zeros_like(theta), np.zeros_like(theta)
@@ -76,7 +77,9 @@ def fit_ordinal(at: list[np.ndarray], v: list[np.ndarray], y: np.ndarray, width:
     for step in range(1, steps + 1):
         w, gaps = theta[:width], np.exp(theta[width + 1 :])
         cuts = theta[width] + np.concatenate([[0.0], np.cumsum(gaps)])
-        f = np.bincount(row, w[col] * val, n)
+        by, f = w / scale, np.zeros(n)
+        for b in rows:
+            f[b] = np.bincount(np.repeat(np.arange(b.stop - b.start), size[b]), by[np.concatenate(at[b])] * np.concatenate(v[b]), b.stop - b.start)
         edges = np.concatenate([[-np.inf], cuts, [np.inf]])
         up, low = sigmoid(edges[y + 1] - f), sigmoid(edges[y] - f)
         up[y == k - 1], low[y == 0] = 1.0, 0.0
@@ -86,7 +89,8 @@ def fit_ordinal(at: list[np.ndarray], v: list[np.ndarray], y: np.ndarray, width:
         gcut = np.zeros(k - 1)
         for c in range(k - 1):
             gcut[c] = -(share * du / p)[y == c].sum() + (share * dl / p)[y == c + 1].sum()
-        g = np.concatenate([np.bincount(col, gf[row] * val, width) + ridge * w, [gcut.sum()], [gcut[c + 1 :].sum() * gaps[c] for c in range(k - 2)]])
+        gw = sum(np.bincount(np.concatenate(at[b]), np.repeat(gf[b], size[b]) * np.concatenate(v[b]), width) for b in rows) / scale
+        g = np.concatenate([gw + ridge * w, [gcut.sum()], [gcut[c + 1 :].sum() * gaps[c] for c in range(k - 2)]])
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         theta = theta - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
     gaps = np.exp(theta[width + 1 :])
@@ -115,10 +119,23 @@ def ranked_grades(ratings: DataFrame, grade: str) -> tuple[DataFrame, list[float
     return y.select("doc_id", rank.cast("long").alias("rank")), [v for _, v, _ in steps], [n for _, _, n in steps]
 
 
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for the rows of a partition: the ranks found, and weights and thresholds if they are two or more."""
+    ys, at, v = [], [], []
+    for batch in batches:
+        ys += batch.column(1).to_pylist()
+        at += [np.frombuffer(x, dtype=np.uint16) for x in batch.column(2).to_pylist()]
+        v += [np.frombuffer(x, dtype=np.float32) for x in batch.column(3).to_pylist()]
+    found = sorted(set(ys))
+    m = fit_ordinal(at, v, np.searchsorted(found, ys)) if len(found) > 1 else {"w": np.zeros(WIDTH), "cuts": np.zeros(0)}
+    yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.int64())), *(pa.array([m[x].tobytes()], pa.binary()) for x in ("w", "cuts"))], ["found", "w", "cuts"])
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", most: int = FIT_ROWS) -> dict:
     """The model from rated rows (as ranked_grades reads them), `most` of them at most in expectation.
 
-    With fewer than two grades nothing can be learned: every text then has the only grade (or none).
+    With fewer than two grades nothing can be learned: every text then has the only grade (or none). Slots are found where the
+    texts lie and one task fits them, in an order that their number of partitions doesn't change; the driver gets the model only.
     """
     small_batches(docs.sparkSession)
     y, values, counts = ranked_grades(ratings, grade)
@@ -130,14 +147,12 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", most: int =
         picked = picked | ((F.col("rank") == k) & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(1_000_000 * min(1, each / n))))
     # At most twice the bound, so that it can go to all tasks; texts of other rows are never shuffled.
     some = y.where(picked).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(2 * most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("rank").alias("y"))
-    x = rows.mapInArrow(sparse_rows, "y long, at binary, v binary").collect()
-    ys = np.array([r["y"] for r in x], dtype=np.int64)
-    found = sorted(set(ys.tolist()))  # grades whose documents aren't in `docs` are no grades here
-    values = [values[k] for k in found]
-    if len(found) < 2:
-        return {"grades": values, "w": np.zeros(WIDTH), "cuts": np.zeros(0)}
-    return {"grades": values, **fit_ordinal([np.frombuffer(r["at"], dtype=np.int32) for r in x], [np.frombuffer(r["v"], dtype=np.float32) for r in x], np.searchsorted(found, ys))}
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", F.col("rank").alias("y"))
+    rows = rows.mapInArrow(sparse_rows, "doc_id long, y long, at binary, v binary").repartition(1).sortWithinPartitions("doc_id", "y", "at")
+    x = rows.mapInArrow(fitted, "found array<long>, w binary, cuts binary").first()
+    found = x["found"] if x else []  # grades whose documents aren't in `docs` are no grades here
+    w, cuts = (np.frombuffer(x[c], dtype=np.float64) for c in ("w", "cuts")) if x else (np.zeros(WIDTH), np.zeros(0))
+    return {"grades": [values[k] for k in found], "w": w, "cuts": cuts}
 
 
 def scored(model: dict):
