@@ -235,3 +235,44 @@ def test_ranks_are_a_suffix_array():
         order = sorted(set(s))
         assert r.tolist() == [order.index(x) for x in s]
     assert len(suffix_dedup.ranks(data[:9], 10)) == 0
+
+
+def test_stage_workers_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from wavemill.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    ids, ts = pa.array([1, 2, 3, 4], pa.int64()), pa.array(["a b c d e f", "a b c d e f g", "x y", None])
+    docs = [pa.RecordBatch.from_arrays([ids, ts], ["doc_id", "text"])] * 3
+    rated = [pa.RecordBatch.from_arrays([ids, ts, pa.array([0, 1, 0, 1], pa.int64())], ["doc_id", "text", "y"])]
+    sparse = list(quality.sparse_rows(iter(rated)))
+    sketches = list(near_dedup.sketched(iter(docs)))[0]
+    group = [pa.array([7] * 3, pa.int64()), pa.array([0] * 3, pa.int32()), pa.array([0] * 3, pa.int32()), pa.array([0] * 3, pa.int32()), ids[:3], sketches.column(3)[:3]]
+    names = [*near_dedup.GROUP, "side", "id", "sig"]
+    sets = list(near_dedup.whole_sets(iter(docs)))[0].column(1)[:3]
+    least = near_dedup.least_matches(0.85, 1e-6)
+    runs = [
+        (quality.sparse_rows, rated), (quality.fitted, sparse), (quality.scored({"w": np.zeros(quality.WIDTH)}), docs), (near_dedup.sketched, docs), (near_dedup.whole_sets, docs),
+        (near_dedup.link_buckets(least), [pa.RecordBatch.from_arrays(group, names)]), (near_dedup.link_canopies(least, 85), [pa.RecordBatch.from_arrays([*group, sets], [*names, "shingles"])]),
+        (decontaminate._without_hits([(1, "p q r")], 10), docs), (decontaminate.scanner([(1, "p q r")], 10, False), docs), (pieces.encoded(pieces.default_model(), True), docs),
+    ]
+    for run, batches in runs:
+        given.clear()
+        assert sum(b.num_rows for b in run(iter(batches))) >= 0 and len(given) == 1
+    given.clear()
+    assert sum(b.num_rows for b in common.lean(iter, each=1)(docs)) == 12 and len(given) == 4  # after each batch, and at the end
+
+
+def test_pieces_keep_a_part_of_the_words(monkeypatch):
+    from wavemill.llm import word_ids
+
+    rng = random.Random(5)
+    ts = [" ".join("".join(rng.choice("abcdeé") for _ in range(9)) for _ in range(40)) for _ in range(40)]
+    want = [x.tolist() for x in pieces.Pieces(pieces.default_model()).encode(ts)]
+    monkeypatch.setattr(word_ids, "MOST", 400)
+    w = pieces.Pieces(pieces.default_model())
+    for k in range(0, 40, 2):
+        assert [x.tolist() for x in w.encode(ts[k : k + 2])] == want[k : k + 2]
+        assert len(w.kept.keys) <= 400 // pieces.KEPT_PART + 80  # of the last batch

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches, texts
+from .common import by_bytes, lean, small_batches, texts
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton, which takes some hundred times that. A larger benchmark is several of them.
@@ -87,6 +87,7 @@ _SCHEMA = "doc_id long, key binary, n_words long, hits array<struct<a:int,b:int>
 
 
 def scanner(items: list[tuple], width: int, keyed: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(items, width)
         pair, wide = pa.struct([("a", pa.int32()), ("b", pa.int32())]), pa.struct([("a", pa.int64()), ("b", pa.int64())])
@@ -149,6 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mo
 
 
 def _without_hits(items: list[tuple], width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(items, width)
         for batch in by_bytes(batches):

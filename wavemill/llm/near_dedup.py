@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, components, small_batches, staged, texts, together, whole_groups
+from .common import by_bytes, components, lean, small_batches, staged, texts, together, whole_groups
 from .rolling import U, mix, range_hashes
 
 WIDTH = 5
@@ -75,6 +75,7 @@ def set_key(s: np.ndarray) -> bytes | None:
     return np.array([s.sum(), mix(s).sum()], dtype=np.uint64).tobytes() + len(s).to_bytes(4, "little") if len(s) else None
 
 
+@lean
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches):
         n, keys, sigs = [], [], []
@@ -86,6 +87,7 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
 
+@lean
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of texts: eight bytes a shingle."""
     for batch in by_bytes(batches, 2 << 20):
@@ -184,6 +186,7 @@ GROUP = ["group", "i", "j"]
 def link_buckets(least: list[int]):
     small = 12
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, GROUP):
             ids, sig, forest = _rows(table, "id"), _sigs(table), Forest(table.num_rows)
@@ -208,6 +211,7 @@ def link_buckets(least: list[int]):
 
 
 def link_canopies(least: list[int], percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, GROUP):
             ids, sig, forest = _rows(table, "id"), _sigs(table), Forest(table.num_rows)

@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, model_path, small_batches, texts
+from .common import by_bytes, lean, model_path, small_batches, texts
 from .word_ids import WordIds, laid_out
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: A worker keeps this part of the words that WordIds would: they stay in it when later stages need its executor's memory.
+KEPT_PART = 4
 
 
 class Pieces:
@@ -59,7 +61,7 @@ class Pieces:
         alone = re.escape("".join(c for c in map(chr, range(128)) if c not in used))
         self.simple = prefix and not crossing
         self.words = re.compile(".+" if crossing else f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+", re.DOTALL)
-        self.kept = WordIds(lambda words, _: laid_out(self.encode_words(words)), by_place=False)
+        self.kept = WordIds(lambda words, _: laid_out(self.encode_words(words)), by_place=False, part=KEPT_PART)
 
     def _ids(self, word: str, back: list[int]) -> list[int]:
         out, at = [], len(word)
@@ -129,9 +131,10 @@ def walker_of(path: str) -> Pieces:
 
 
 def encoded(path: str, keep: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker = walker_of(path)
-        for batch in by_bytes(batches, 2 << 20):
+        for batch in by_bytes(batches, 1 << 20):
             ts = texts(batch)
             ids = walker.encode(ts)
             back = [walker.decode(x) for x in ids]

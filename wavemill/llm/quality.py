@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches, texts
+from .common import by_bytes, lean, small_batches, texts
 
 #: Rated rows that the fit looks at, at most (in expectation), and slots of them that it unfolds at once.
 FIT_ROWS, FIT_SLOTS = 5_000, 1 << 18
@@ -53,6 +53,7 @@ def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*grams, shape]).astype(np.uint16), np.concatenate([*share, np.ones(len(shape), dtype=np.float32)])
 
 
+@lean
 def sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, 4 << 20):
         x = [sparse(t) for t in texts(batch)]
@@ -119,6 +120,7 @@ def ranked_grades(ratings: DataFrame, grade: str) -> tuple[DataFrame, list[float
     return y.select("doc_id", rank.cast("long").alias("rank")), [v for _, v, _ in steps], [n for _, _, n in steps]
 
 
+@lean
 def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for the rows of a partition: the ranks found, and weights and thresholds if they are two or more."""
     ys, at, v = [], [], []
@@ -158,6 +160,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str = "quality", most: int =
 def scored(model: dict):
     w = model["w"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([score_text(t, w) for t in texts(batch)], pa.float64())], [*batch.schema.names[:-1], "f"])
@@ -194,6 +197,7 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     w = model["w"]
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = model["cuts"]
         for batch in by_bytes(batches):

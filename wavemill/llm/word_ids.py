@@ -42,10 +42,10 @@ class _Grown:
 
 class WordIds:
     """`learn` takes words and whether each begins its text, and gives ids in one array with the place and number of each
-    word's; `by_place` tells if it matters that a word begins a text."""
+    word's; `by_place` tells if it matters that a word begins a text. It keeps MOST // `part` words, and bytes likewise."""
 
-    def __init__(self, learn: Callable[[list[str], list[bool]], tuple], by_place: bool):
-        self.learn, self.by_place = learn, by_place
+    def __init__(self, learn: Callable[[list[str], list[bool]], tuple], by_place: bool, part: int = 1):
+        self.learn, self.by_place, self.part = learn, by_place, part
         self._set(np.zeros(0, dtype=np.int64))
 
     def _set(self, kept: np.ndarray) -> None:
@@ -62,9 +62,10 @@ class WordIds:
             self.again[:] = False
 
     def _forget(self) -> None:
-        if len(self.keys) > MOST or self.text.used > MOST_BYTES:
+        most, most_bytes = MOST // self.part, MOST_BYTES // self.part
+        if len(self.keys) > most or self.text.used > most_bytes:
             kept = np.flatnonzero(self.again)
-            few = len(kept) <= MOST // 2 and int(self.length[kept].sum()) <= MOST_BYTES // 2
+            few = len(kept) <= most // 2 and int(self.length[kept].sum()) <= most_bytes // 2
             self._set(kept if few else kept[:0])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
