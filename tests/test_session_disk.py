@@ -41,6 +41,18 @@ def test_samples_and_windows_are_not_sent(spark, lines, monkeypatch):
     assert answers.where("y_nirs is not null").count() == 9 * 6  # windows of the second block
 
 
+def test_few_sessions_take_few_tasks(spark, lines, monkeypatch):
+    monkeypatch.setattr(catalog, "SESSION_KEYS", 4_250)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        _, eeg, _ = catalog.table_recordings(spark, lines)
+        groups = eeg.groupBy("session_id").applyInPandas(lambda g: g[["session_id", "sample"]].iloc[:1], "session_id string, sample long")
+        assert groups.rdd.getNumPartitions() == 4 * 9 + 1 and groups.count() == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_samples_made_of_lines_are_in_order(spark, lines, monkeypatch):
     monkeypatch.setattr(catalog, "SESSION_KEYS", 4_250)
     _, eeg, nirs = catalog.table_recordings(spark, lines)
